@@ -124,6 +124,48 @@ class _Words(dict):
         return n
 
 
+class PieceTable:
+    """What ``resolve`` makes of each different piece (a list of numbers), computed once and kept as flat arrays; at most about ``limit`` pieces."""
+
+    def __init__(self, resolve: Callable[[bytes], list[int]], dtype, limit: int = 1_000_000):
+        self.resolve, self.dtype, self.limit = resolve, dtype, limit
+        self._reset()
+
+    def _reset(self) -> None:
+        self.words = _Words()
+        self.flat = np.empty(1 << 16, self.dtype)
+        self.first = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int64)
+        self.known = self.used = 0
+
+    def _learn(self) -> None:
+        fresh, self.words.fresh = self.words.fresh, []
+        got = [self.resolve(w) for w in fresh]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter(itertools.chain.from_iterable(got), self.dtype)
+        while self.known + len(got) > len(self.first):
+            self.first, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.first, self.size))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(len(self.flat), self.dtype)])
+        at = slice(self.known, self.known + len(got))
+        self.first[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.known += len(got)
+        self.used += len(flat)
+
+    def gather(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the pieces' numbers in a row, how many are each piece's)."""
+        if len(self.words) > self.limit:
+            self._reset()
+        at = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
+        if self.words.fresh:
+            self._learn()
+        n = self.size[at]
+        stop = np.cumsum(n)
+        total = int(stop[-1]) if len(stop) else 0
+        return self.flat[np.repeat(self.first[at] - stop + n, n) + np.arange(total)], n
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable characters that byte-level vocabularies write for bytes: printable Latin-1 ones stand for themselves, the rest follow from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -141,24 +183,17 @@ class WordTokenizer:
 
     ``pieces`` cuts a UTF-8 text where the tokenizer never joins characters, so that the pieces' ids in a row are the text's ids;
     it returns None for a text that can't be cut so, which is then encoded whole. Plain Latin words go straight to the file's model
-    (``lower``: its normalizer lower-cases), all other pieces through the whole tokenizer. At most ``limit`` pieces are remembered.
+    (``lower``: its normalizer lower-cases), all other pieces through the whole tokenizer.
     """
 
-    def __init__(self, path: str, pieces: Callable[[bytes], list[bytes] | None], lower: bool, limit: int = 1_000_000):
+    def __init__(self, path: str, pieces: Callable[[bytes], list[bytes] | None], lower: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.pieces, self.lower, self.limit = pieces, lower, limit
-        self._reset()
-
-    def _reset(self) -> None:
-        self.words = _Words()
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
-        self.known = self.used = 0
+        self.pieces, self.lower = pieces, lower
+        self.table = PieceTable(self._piece_ids, np.uint32)
 
     def _piece_ids(self, piece: bytes) -> list[int]:
         text = piece.decode("utf-8", "replace")
@@ -171,39 +206,11 @@ class WordTokenizer:
             return got + [t.id for t in self.model.tokenize(marks)] if marks else got
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self) -> None:
-        fresh, self.words.fresh = self.words.fresh, []
-        got = [self._piece_ids(w) for w in fresh]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(itertools.chain.from_iterable(got), np.uint32)
-        while self.known + len(got) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.first, self.size))
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(len(self.flat), np.uint32)])
-        at = slice(self.known, self.known + len(got))
-        self.first[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.known += len(got)
-        self.used += len(flat)
-
     def encode(self, text: bytes, end: int) -> np.ndarray:
         """The text's ids and then ``end``, as uint32."""
         parts = self.pieces(text)
-        if parts is None:
-            return np.array([*self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, end], np.uint32)
-        if len(self.words) > self.limit:
-            self._reset()
-        at = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
-        if self.words.fresh:
-            self._learn()
-        n = self.size[at]
-        stop = np.cumsum(n)
-        total = int(stop[-1]) if len(stop) else 0
-        out = np.empty(total + 1, np.uint32)
-        out[total] = end
-        if total:
-            out[:total] = self.flat[np.repeat(self.first[at] - stop + n, n) + np.arange(total)]
-        return out
+        ids = np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32) if parts is None else self.table.gather(parts)[0]
+        return np.append(ids, np.uint32(end))
 
 
 _TOKENIZERS: dict[tuple, WordTokenizer] = {}
