@@ -127,7 +127,7 @@ class _Words(dict):
 class PieceTable:
     """What ``resolve`` makes of each different piece (a list of numbers), computed once and kept as flat arrays; at most about ``limit`` pieces."""
 
-    def __init__(self, resolve: Callable[[bytes], list[int]], dtype, limit: int = 1_000_000):
+    def __init__(self, resolve: Callable[[bytes], list[int]], dtype, limit: int = 500_000):
         self.resolve, self.dtype, self.limit = resolve, dtype, limit
         self._reset()
 

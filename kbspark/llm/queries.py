@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import packing, token_binary
+from kbspark.llm import license_scan, mixing, packing, quality_classifier, quality_rules, token_binary, url_filters
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,19 +16,64 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: The URL rules, as the contract fixes them: (host, path, verdict).
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.filter_urls(pages, url_filters.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _read(spark, sf_dir, "documents")
     pieces = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.classify(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: Target weights in hundredths; all other sources share the rest.
+MIX_SHARES = {"src0": 20, "src1": 15, "src2": 12, "src3": 10, "src4": 8}
+MIX_OTHER = 35
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), MIX_SHARES, MIX_OTHER)
+    return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_seq")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths of their own: a source is a directory, and each language of it one below."""
+    docs = _read(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return license_scan.scan(files).select("doc_id", "path", "license", "license_via", "license_score")
+
+
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _read(spark, sf_dir, "documents")
     return token_binary.token_digests(token_binary.write_token_files(docs, tokenizer_path("word_bpe_49k.json")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_retrieval_packing": op2_retrieval_packing,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_source_mixing": op6_source_mixing,
+    "op8_license_scan": op8_license_scan,
     "op9_token_binary": op9_token_binary,
 }
 

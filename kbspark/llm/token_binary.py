@@ -101,7 +101,7 @@ def _writer(path: str, end: int, ids_per_file: int):
     return write
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end: int = 1, ids_per_file: int = 1_000_000) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end: int = 1, ids_per_file: int = 500_000) -> DataFrame:
     """Encode every whole text and write the files (see the module) to the shared folder; returns the written table.
 
     Null texts are empty; every document gets ``end`` as its last id, so none has no ids. Rows with a null ``doc_id`` come first; equal
@@ -115,7 +115,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int = 1, ids_pe
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
             ids = decode_file(row["ranks"], row["control"], row["data"], row["n_ids"])
             sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
             stop = np.cumsum(sizes)
