@@ -124,6 +124,19 @@ class _Words(dict):
         return n
 
 
+class _Bounded(dict):
+    """Forgets everything when it holds ``most`` entries."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def __setitem__(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.clear()
+        super().__setitem__(key, value)
+
+
 class PieceTable:
     """What ``resolve`` makes of each different piece (a list of numbers), computed once and kept as flat arrays; at most about ``limit`` pieces."""
 
@@ -194,16 +207,22 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         self.pieces, self.lower = pieces, lower
         self.table = PieceTable(self._piece_ids, np.uint32)
+        self.marks = _Bounded(4096)
 
     def _piece_ids(self, piece: bytes) -> list[int]:
         text = piece.decode("utf-8", "replace")
         if plain := _PLAIN.fullmatch(text):
             space, word, marks = plain.groups()
-            word = space + (word.lower() if self.lower else word)
-            if not word.isascii() or space:
+            if self.lower:
+                word = word.lower()
+            if not word.isascii():
                 word = word.encode().decode("latin-1").translate(_LETTERS)
-            got = [t.id for t in self.model.tokenize(word)]
-            return got + [t.id for t in self.model.tokenize(marks)] if marks else got
+            got = [t.id for t in self.model.tokenize(_LETTERS[32] + word if space else word)]
+            if marks:
+                if marks not in self.marks:
+                    self.marks[marks] = [t.id for t in self.model.tokenize(marks)]
+                got += self.marks[marks]
+            return got
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: bytes, end: int) -> np.ndarray:

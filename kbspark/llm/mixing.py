@@ -66,12 +66,12 @@ def mix(docs: DataFrame, shares: dict[str, int], other: int = 0, block_chars: in
     names = set(shares)
     lane = F.when(F.col("source").isin(*names), F.col("source")) if names else F.lit(None).cast("string")
     keyed = docs.withColumns({"__lane": lane, "__hash": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
-    keyed = keyed.withColumns({"__range": F.substring("__hash", 1, 3), "__chars": F.coalesce(F.length(text), F.lit(0)).cast("long")})
+    keyed = keyed.withColumns({"__range": F.substring("__hash", 1, 3), "__chars": F.coalesce(F.length(text), F.lit(0)).cast("long"), "__digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
     sums = keyed.groupBy("__lane", "__range").agg(F.sum("__chars").alias("__sum"))
     # at most 4096 rows for each source
     before = F.sum("__sum").over(Window.partitionBy("__lane").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select(F.col("__lane").alias("__l"), F.col("__range").alias("__r"), F.coalesce(before, F.lit(0)).alias("__start"))
-    within = Window.partitionBy("__lane", "__range").orderBy("__hash", F.col("doc_id").asc_nulls_first(), "__chars", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    within = Window.partitionBy("__lane", "__range").orderBy("__hash", F.col("doc_id").asc_nulls_first(), "__chars", "__digest")
     placed = keyed.withColumn("__upto", F.coalesce(F.sum("__chars").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = placed.withColumn("mix_seq", F.row_number().over(within).cast("long"))
     placed = placed.join(starts, F.col("__lane").eqNullSafe(F.col("__l")) & (F.col("__range") == F.col("__r")), "left")

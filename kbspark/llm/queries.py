@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import license_scan, mixing, packing, quality_classifier, quality_rules, token_binary, url_filters
+from kbspark.llm import jaccard_join, license_scan, mixing, packing, quality_classifier, quality_rules, token_binary, url_filters
 
 
 def tokenizer_path(name: str) -> str:
@@ -67,6 +67,10 @@ def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_digests(token_binary.write_token_files(docs, tokenizer_path("word_bpe_49k.json")))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_retrieval_packing": op2_retrieval_packing,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_source_mixing": op6_source_mixing,
     "op8_license_scan": op8_license_scan,
     "op9_token_binary": op9_token_binary,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
