@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import jaccard_join, license_scan, mixing, packing, quality_classifier, quality_rules, token_binary, url_filters
+from kbspark.llm import jaccard_join, license_scan, mixing, packing, pii, quality_classifier, quality_rules, token_binary, url_filters
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,6 +40,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    # counts are of the base spans, which every kind's name begins
+    counts = [F.size(F.filter(F.split("base_spans", ","), lambda x, k=kind: F.startswith(x, F.lit(f"{k}:")))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_retrieval_packing": op2_retrieval_packing,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_source_mixing": op6_source_mixing,
     "op8_license_scan": op8_license_scan,
