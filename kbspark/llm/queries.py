@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import jaccard_join, license_scan, mixing, packing, pii, quality_classifier, quality_rules, token_binary, url_filters
+from kbspark.llm import embedding_dedup, jaccard_join, license_scan, mixing, packing, pii, quality_classifier, quality_rules, token_binary, url_filters
 
 
 def tokenizer_path(name: str) -> str:
@@ -62,6 +62,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "mix_block", "mix_slot", "mix_seq")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents have no paths of their own: a source is a directory, and each language of it one below."""
     docs = _read(spark, sf_dir, "documents")
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_source_mixing": op6_source_mixing,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_token_binary": op9_token_binary,
     "op10_jaccard_join": op10_jaccard_join,
