@@ -199,14 +199,14 @@ class WordTokenizer:
     (``lower``: its normalizer lower-cases), all other pieces through the whole tokenizer.
     """
 
-    def __init__(self, path: str, pieces: Callable[[bytes], list[bytes] | None], lower: bool):
+    def __init__(self, path: str, pieces: Callable[[bytes], list[bytes] | None], lower: bool, limit: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.pieces, self.lower = pieces, lower
-        self.table = PieceTable(self._piece_ids, np.uint32)
+        self.table = PieceTable(self._piece_ids, np.uint32, limit)
         self.marks = _Bounded(4096)
 
     def _piece_ids(self, piece: bytes) -> list[int]:
@@ -235,9 +235,9 @@ class WordTokenizer:
 _TOKENIZERS: dict[tuple, WordTokenizer] = {}
 
 
-def tokenizer_of(path: str, pieces: Callable[[bytes], list[bytes] | None], lower: bool) -> WordTokenizer:
-    """One per file and worker process."""
+def tokenizer_of(path: str, pieces: Callable[[bytes], list[bytes] | None], lower: bool, limit: int = 500_000) -> WordTokenizer:
+    """One per file and worker process; it remembers about ``limit`` pieces (some 200 bytes each)."""
     key = (path, pieces, lower)
     if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = WordTokenizer(path, pieces, lower)
+        _TOKENIZERS[key] = WordTokenizer(path, pieces, lower, limit)
     return _TOKENIZERS[key]
