@@ -44,6 +44,13 @@ def rows_to_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
+def slices(batches, rows: int = 1000):
+    """Arrow batches of at most ``rows`` rows, so that what a function holds for a batch stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def utf8_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """The strings of a column as their UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
@@ -78,17 +85,26 @@ def _local_forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["v", "m"])
 
 
+#: Edges that one task joins in memory.
+FOREST_EDGES = 400_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(id, component): for every node of an undirected edge, the smallest id it reaches. Nodes without an edge aren't returned.
 
-    Each partition first reduces its edges to a forest; alternating large-star and small-star rounds (each a written table) then
-    flatten the forests to stars. Work per round follows the remaining edges, and the number of rounds the logarithm of the nodes.
-    Null ends and self-loops are ignored; repeated edges count once.
+    Each partition reduces its edges to a forest, and so do tasks of ``FOREST_EDGES`` edges each over what remains. Until these forests
+    are stars (at once, where one task held them all), alternating large-star and small-star rounds flatten them, each a written table.
+    Work per round follows the remaining edges, and the number of rounds the logarithm of the nodes. Null ends and self-loops are
+    ignored; repeated edges count once.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("m")).where("v is not null and m is not null and v <> m")
     e = cut(e.mapInArrow(_local_forest, "v long, m long"), "forest")
+    e = cut(e.repartition(-(-e.count() // FOREST_EDGES) or 1, "v").mapInArrow(_local_forest, "v long, m long"), "forest")
     for _ in range(rounds):
+        # stars: no node has two parents, and no parent has one
+        twice = e.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        if not twice and not e.join(e.select(F.col("v").alias("m")).distinct(), "m", "left_semi").limit(1).count():
+            break
         # large star: neighbours larger than u go to the smallest of u and its neighbours
         both = e.select("v", "m").union(e.select(F.col("m").alias("v"), F.col("v").alias("m")))
         low = both.groupBy("v").agg(F.min("m").alias("lo")).select("v", F.least("v", "lo").alias("lo"))
@@ -97,11 +113,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         least = large.groupBy("v").agg(F.min("m").alias("lo"))
         small = large.join(least, "v").select(F.col("m").alias("v"), F.col("lo").alias("m")).union(least.select("v", F.col("lo").alias("m"))).where("v <> m").distinct()
         e = cut(small, "stars")
-        # done when no node has two parents and no parent has a parent: then every tree is a star
-        parents = e.groupBy("v").agg(F.count("*").alias("n"))
-        deep = e.join(e.select(F.col("v").alias("m")).distinct(), "m", "left_semi").limit(1).count()
-        if not deep and not parents.where("n > 1").limit(1).count():
-            break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("m").alias("id")).distinct()
@@ -138,7 +149,12 @@ class _Bounded(dict):
 
 
 class PieceTable:
-    """What ``resolve`` makes of each different piece (a list of numbers), computed once and kept as flat arrays; at most about ``limit`` pieces."""
+    """What ``resolve`` makes of each different piece (a list of numbers), computed once and kept as flat arrays; at most about ``limit`` pieces.
+
+    Workers are used again by other operators, so a process keeps the pieces of one table only: the one used last.
+    """
+
+    _active: PieceTable | None = None
 
     def __init__(self, resolve: Callable[[bytes], list[int]], dtype, limit: int = 500_000):
         self.resolve, self.dtype, self.limit = resolve, dtype, limit
@@ -168,6 +184,10 @@ class PieceTable:
 
     def gather(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(the pieces' numbers in a row, how many are each piece's)."""
+        if PieceTable._active is not self:
+            if PieceTable._active is not None:
+                PieceTable._active._reset()
+            PieceTable._active = self
         if len(self.words) > self.limit:
             self._reset()
         at = np.fromiter(map(self.words.__getitem__, parts), np.int64, len(parts))
@@ -211,6 +231,8 @@ class WordTokenizer:
 
     def _piece_ids(self, piece: bytes) -> list[int]:
         text = piece.decode("utf-8", "replace")
+        if not self.lower and text[:1] == " " and text.isascii() and text[1:].isalpha():
+            return [t.id for t in self.model.tokenize(_LETTERS[32] + text[1:])]
         if plain := _PLAIN.fullmatch(text):
             space, word, marks = plain.groups()
             if self.lower:
