@@ -55,3 +55,27 @@ Q.add("asof_heading", lambda t: R.attach_to_headings(*_events(t)).select("doc_id
 Q.add("heading_nesting", lambda t: R.nest(t.lineitem.groupBy((F.col("l_orderkey") % 200).alias("doc_id"), F.col("l_orderkey").alias("heading_id")).agg(F.min("l_linenumber").alias("level")).withColumn("ord", F.col("heading_id"))).select("heading_id", "parent"),
       "WITH h AS (SELECT l_orderkey % 200 AS doc_id, l_orderkey AS id, min(l_linenumber) AS level FROM lineitem GROUP BY ALL) SELECT a.id AS heading_id, (SELECT max(b.id) FROM h b WHERE b.doc_id = a.doc_id AND b.id < a.id AND b.level < a.level) AS parent FROM h a")
 Q.add("unique_node_ids", lambda t: R.with_unique_ids(t.customer.select(F.col("c_mktsegment").alias("node_id"), F.col("c_custkey").alias("ord"))), "SELECT CASE WHEN n > 0 THEN c_mktsegment || '#' || n ELSE c_mktsegment END AS node_id, c_custkey AS ord FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS n FROM customer)")
+
+
+def _tree_docs(t):
+    """A tree for each region, of nations as sections and suppliers as leaves."""
+    n = nodes(t).where("node_id <> 'w'").withColumn("summary", F.lit(""))
+    r = t.region.select(F.col("r_regionkey").alias("k"))
+    of = n.alias("n").join(R.top_ancestor(R.closure(nodes(t)), nodes(t)), F.col("n.node_id") == F.col("node")).select("n.*", F.col("top").alias("doc_id"))
+    return of.join(r, F.concat(F.lit("r"), "k") == F.col("doc_id")).drop("k").withColumn("parent_id", F.when(F.col("node_id") != F.col("doc_id"), F.col("parent_id")))
+
+
+def _nav(t):
+    from kbspark.operators.navigate import navigate
+
+    return navigate(_tree_docs(t), "text of Supplier")
+
+
+def _routing(t):
+    from kbspark.operators.navigate import route
+
+    return route(t.benchmark.select(F.col("item_id").cast("string").alias("doc_id"), F.col("text").alias("card")), "the of and", 5).select("doc_id", "score")
+
+
+Q.add("tree_nav", _nav)
+Q.add("doc_routing", _routing)

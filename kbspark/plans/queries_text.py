@@ -118,3 +118,35 @@ Q.add("repeated_lines", lambda t: layout.repeated_texts(chunking.lines(t.documen
       "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), k AS (SELECT * FROM l WHERE line <> '') SELECT doc_id, count(*) AS n FROM k WHERE line NOT IN (SELECT line FROM k GROUP BY line HAVING count(*) > 1) GROUP BY doc_id")
 Q.add("page_offsets", lambda t: layout.global_tops(t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).agg(F.max("l_quantity").alias("top")).withColumn("bottom", F.col("top") + 1), t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).agg(F.max("l_quantity").alias("height"))).select("doc_id", F.col("page").cast("long").alias("page"), F.round("top", 2).alias("top")),
       "WITH p AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page, max(l_quantity) AS h FROM lineitem GROUP BY 1, 2) SELECT doc_id, page, round(h + coalesce(sum(h) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS top FROM p")
+
+
+def _json_pieces(t):
+    from kbspark.sources import markup
+
+    return markup.json_rows(t.events, "event_id", "props", 200, 50)
+
+
+def _markdown(t):
+    from kbspark.sources import markup
+
+    marked = t.documents.select("doc_id", F.concat(F.lit("# "), F.regexp_replace("text", "\n", "\n\n## ")).alias("text"))
+    return markup.markdown_blocks(marked)
+
+
+def _calls(t):
+    from kbspark.functions import parse
+
+    text = F.concat(F.col("role"), F.lit(' <｜DSML｜invoke name="find"><｜DSML｜parameter name="q" string="true">x</｜DSML｜parameter></｜DSML｜invoke>'))
+    return t.conversations.select("conv_id", "turn", parse.tool_calls_column(text).alias("c")).select("conv_id", "turn", F.col("c.text").alias("text"), F.col("c.calls")[0]["name"].alias("name"), F.col("c.calls")[0]["arguments"].alias("arguments"))
+
+
+def _extracted(t):
+    from kbspark.functions import parse
+
+    return t.events.select("event_id", parse.extract_json_column(F.concat(F.lit("note "), "props", F.lit(" end } ["))).alias("found"))
+
+
+Q.add("json_pieces", _json_pieces)
+Q.add("markdown_blocks", _markdown, "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM l) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS seq, 'heading' AS kind, CASE WHEN i = 1 THEN 0 ELSE 1 END AS level, trim(line) AS text FROM x WHERE trim(line) <> ''")
+Q.add("tool_calls", _calls, "SELECT conv_id, turn, role AS text, 'find' AS name, '{\"q\": \"x\"}' AS arguments FROM conversations")
+Q.add("json_extract", _extracted, "SELECT event_id, props AS found FROM events")
