@@ -67,9 +67,10 @@ class Quantiser:
         return out, np.sqrt((left * left).sum((1, 2)))
 
     def tables(self, q: np.ndarray, home: int) -> np.ndarray:
-        """Squared distances of queries to every code of a list [queries, subspaces, codes]."""
-        rest = self.pad(q - self.centres[home]).reshape(len(q), self.codes.shape[0], -1)
-        return ((rest[:, :, None, :] - self.codes[None]) ** 2).sum(3)
+        """Squared distances of queries to every code of a list [subspaces, queries, codes]."""
+        rest = self.pad(q - self.centres[home]).reshape(len(q), self.codes.shape[0], -1).transpose(1, 0, 2)
+        across = rest @ self.codes.transpose(0, 2, 1)
+        return (rest * rest).sum(2)[:, :, None] - 2 * across + (self.codes * self.codes).sum(2)[:, None, :]
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -134,7 +135,7 @@ def _merge_labels(hit: np.ndarray, lq: np.ndarray, lm: np.ndarray) -> None:
 
 
 def _blocks(quantiser, dims: int, least: float):
-    reach = float(np.sqrt(2 - 2 * least)) + 1e-9
+    reach = float(np.sqrt(2 - 2 * least)) + 1e-6
 
     def block(home: int, q: dict, m: dict) -> Iterator[pa.RecordBatch]:
         z = quantiser.value
@@ -150,10 +151,10 @@ def _blocks(quantiser, dims: int, least: float):
         for i in range(0, len(qc), 256):
             at = slice(i, min(i + 256, len(qc)))
             table = z.tables(qx[at], home)
-            far = np.zeros((table.shape[0], len(mc)))
+            far = np.zeros((table.shape[1], len(mc)))
             for s in range(codes.shape[1]):
-                far += table[:, s][:, codes[:, s]]
-            near = np.sqrt(far) - rest[None] <= reach
+                far += table[s][:, codes[:, s]]
+            near = np.sqrt(np.maximum(far, 0)) - rest[None] <= reach
             cols = np.flatnonzero(near.any(0))
             if not len(cols):
                 continue
