@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import re
 import tempfile
@@ -40,6 +42,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give what a worker process no longer needs back to the system: Spark keeps idle workers, of which an executor may have several."""
+    if PieceTable._active is not None:
+        PieceTable._active._reset()
+        PieceTable._active = None
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(function):
+    """``function`` of Arrow batches, with its memory released when a task ends."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
 def rows_to_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
@@ -98,8 +122,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     ignored; repeated edges count once.
     """
     e = edges.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("m")).where("v is not null and m is not null and v <> m")
-    e = cut(e.mapInArrow(_local_forest, "v long, m long"), "forest")
-    e = cut(e.repartition(-(-e.count() // FOREST_EDGES) or 1, "v").mapInArrow(_local_forest, "v long, m long"), "forest")
+    e = cut(e.mapInArrow(lean(_local_forest), "v long, m long"), "forest")
+    e = cut(e.repartition(-(-e.count() // FOREST_EDGES) or 1, "v").mapInArrow(lean(_local_forest), "v long, m long"), "forest")
     for _ in range(rounds):
         # stars: no node has two parents, and no parent has one
         twice = e.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
@@ -151,7 +175,7 @@ class _Bounded(dict):
 class PieceTable:
     """What ``resolve`` makes of each different piece (a list of numbers), computed once and kept as flat arrays; at most about ``limit`` pieces.
 
-    Workers are used again by other operators, so a process keeps the pieces of one table only: the one used last.
+    A process keeps the pieces of one table only, the one used last, and those until its task ends (see ``lean``).
     """
 
     _active: PieceTable | None = None

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import connected_components, cut
+from kbspark.llm.common import connected_components, cut, lean
 
 
 @dataclass(frozen=True)
@@ -241,7 +241,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
     if margin is None:
         margin = 0.3 * float(np.sqrt(2 - 2 * least))
 
-    index = cut(classes.mapInArrow(_assign(sent, dims, margin), "cls long, copies long, vector array<double>, own long, probes array<long>, code binary, rest double"), "index")
+    index = cut(classes.mapInArrow(lean(_assign(sent, dims, margin)), "cls long, copies long, vector array<double>, own long, probes array<long>, code binary, rest double"), "index")
     # both are a row for each list at most; tiles are dealt by a hash of the id
     sizes = index.groupBy(F.col("own").alias("list")).agg(F.ceil(F.count("*") / tile).alias("m_tiles"))
     asked = index.select(F.explode("probes").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / tile).alias("q_tiles"))
@@ -253,7 +253,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
     stored = index.withColumnRenamed("own", "list").join(tiles, "list")
     members = stored.select("list", deal("m_tiles").alias("mt"), up_to("q_tiles").alias("qt"), F.lit(1).alias("member"), "cls", "copies", "vector", F.col("list").alias("own"), "probes", "code", "rest")
     rows = queries.unionByName(members).repartition("list", "mt", "qt").sortWithinPartitions("list", "mt", "qt", "member", "cls")
-    links = cut(rows.mapInArrow(_blocks(sent, dims, least), "cls long, n long, low long"), "links")
+    links = cut(rows.mapInArrow(lean(_blocks(sent, dims, least)), "cls long, n long, low long"), "links")
 
     counts = links.groupBy("cls").agg(F.sum("n").alias("n"))
     components = connected_components(links, "cls", "low")

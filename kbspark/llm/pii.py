@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.llm.common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -421,8 +423,10 @@ def detect(docs: DataFrame, model: Tagger | None = None, sample: int = 400) -> D
     plain = docs.drop("base_spans", "spans", "redacted")
 
     @F.arrow_udf("struct<base_spans string, spans string, redacted string>")
-    def judge(column: pa.Array) -> pa.Array:
-        texts = column.to_pylist()
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(lambda parts: (one(c.to_pylist()) for c in parts))(columns)
+
+    def one(texts: list[str | None]) -> pa.Array:
         found = find_spans(sent.value, [t or "" for t in texts])
         parts = [[written(b) for b, _ in found], [written(s) for _, s in found], [t if t is None or not s else redact(t, s) for t, (_, s) in zip(texts, found)]]
         return pa.StructArray.from_arrays([pa.array(p, pa.string()) for p in parts], ["base_spans", "spans", "redacted"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import PieceTable
+from kbspark.llm.common import PieceTable, lean
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -106,9 +107,9 @@ def score_column(model: Model, docs: DataFrame, text: str = "text") -> Column:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def score(column: pa.Array) -> pa.Array:
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
-        return pa.array([float(m.score(x or b"")) for x in column.cast(pa.binary()).to_pylist()], pa.float64())
+        yield from lean(lambda parts: (pa.array([float(m.score(x or b"")) for x in c.cast(pa.binary()).to_pylist()], pa.float64()) for c in parts))(columns)
 
     return score(F.col(text))
 

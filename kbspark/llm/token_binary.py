@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import cut, rows_to_batch, tokenizer_of, utf8_column
+from kbspark.llm.common import cut, lean, rows_to_batch, tokenizer_of, utf8_column
 
 FILE_SCHEMA = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.binary()), ("no_id", pa.binary()), ("sizes", pa.binary()), ("ranks", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
 FILE_DDL = "part int, number int, before long, n_ids long, doc_ids binary, no_id binary, sizes binary, ranks binary, control binary, data binary"
@@ -110,7 +110,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int = 1, ids_pe
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(dealt.mapInArrow(_writer(tokenizer_path, end, ids_per_file), FILE_DDL), "tokens")
+    return cut(dealt.mapInArrow(lean(_writer(tokenizer_path, end, ids_per_file)), FILE_DDL), "tokens")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
         sums[row["part"]] = total
         total += row["n"]
     starts = files.sparkSession.createDataFrame(list(sums.items()), "part int, base long")
-    found = files.mapInArrow(_reader, "part int, doc_id long, local_start long, n_tokens long, ids binary")
+    found = files.mapInArrow(lean(_reader), "part int, doc_id long, local_start long, n_tokens long, ids binary")
     return found.join(F.broadcast(starts), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
