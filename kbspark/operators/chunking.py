@@ -114,3 +114,24 @@ def hash_embedding(text: Column, dims: int = 64) -> Column:
     counts = F.aggregate(places, zero, lambda acc, i: F.transform(acc, lambda v, k: F.when(k == i, v + 1).otherwise(v)))
     length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
     return F.when(F.size(places) > 0, F.transform(counts, lambda v: v / length)).otherwise(zero)
+
+
+def token_count(text: Column) -> Column:
+    from kbspark.functions.text import layout_tokens
+
+    t = layout_tokens(text)
+    return F.when(t == "", 0).otherwise(F.size(F.split(t, " "))).cast("long")
+
+
+def merged_parts(parts: Column, most: int = 128, between: str = "\n") -> Column:
+    """Parts in order, joined while a group has at most ``most`` tokens; parts without tokens are dropped, and a larger one stands alone."""
+    kept = F.filter(parts, lambda p: token_count(p) > 0)
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        n = token_count(p)
+        fits = (F.size(acc["out"]) > 0) & (acc["used"] + n <= most)
+        grown = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.concat_ws(between, F.try_element_at(acc["out"], F.lit(-1)), p)))
+        return F.struct(F.when(fits, acc["used"] + n).otherwise(n).alias("used"), F.when(fits, grown).otherwise(F.array_append(acc["out"], p)).alias("out"))
+
+    return F.aggregate(kept, start, step, lambda acc: acc["out"])

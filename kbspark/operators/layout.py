@@ -121,3 +121,182 @@ def merge_horizontal(boxes: DataFrame) -> DataFrame:
 def greedy_labels(indices: list[int], blank: int = 0) -> list[int]:
     """Labels of a best path: repeats once, blanks dropped."""
     return [x for i, x in enumerate(indices) if x != blank and (i == 0 or indices[i - 1] != x)]
+
+
+def tightest_column(boxes: DataFrame, columns: DataFrame) -> DataFrame:
+    """(a_id, b_id): for each box the column of the same page that overlaps it vertically and lies nearest by an edge or the middle."""
+    a, b = _prefixed(boxes, "a_"), _prefixed(columns, "b_")
+    meets = (F.col("a_page") == F.col("b_page")) & (F.least("a_bottom", "b_bottom") > F.greatest("a_top", "b_top"))
+    near = a.join(b, meets).withColumn("d", T.x_distance("a_", "b_"))
+    return near.groupBy("a_id").agg(F.min(F.struct("d", "b_id")).alias("x")).select("a_id", "x.b_id")
+
+
+def captions_to_regions(captions: DataFrame, regions: DataFrame) -> DataFrame:
+    """(a_id, b_id): each caption's nearest table or figure of its page, by the squared distance of the middles. Pages are the join key."""
+    a, b = _prefixed(captions, "a_"), _prefixed(regions, "b_")
+    middle = lambda p, lo, hi: (F.col(f"{p}{lo}") + F.col(f"{p}{hi}")) / 2
+    d = F.pow(middle("a_", "x0", "x1") - middle("b_", "x0", "x1"), F.lit(2)) + F.pow(middle("a_", "top", "bottom") - middle("b_", "top", "bottom"), F.lit(2))
+    near = a.join(b, F.col("a_page") == F.col("b_page")).withColumn("d", d)
+    return near.groupBy("a_id").agg(F.min(F.struct("d", "b_id")).alias("x")).select("a_id", "x.b_id")
+
+
+#: Fixed value: layout kinds in the order in which they claim a box.
+CLAIM_ORDER = ("footer", "header", "reference", "figure caption", "table caption", "title", "table", "text", "figure", "equation")
+
+
+def tag(boxes: DataFrame, regions: DataFrame, least: float = 0.4) -> DataFrame:
+    """Boxes with the kind of the region that covers at least ``least`` of them; of several kinds the first in ``CLAIM_ORDER``, of one the largest cover."""
+    order = F.coalesce(*[F.when(F.col("b_layout_type") == k, F.lit(i)) for i, k in enumerate(CLAIM_ORDER)], F.lit(len(CLAIM_ORDER)))
+    hits = overlaps(boxes.drop("layout_type"), regions).where(F.col("share") >= least)
+    best = hits.groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct(order.alias("o"), (-F.col("share")).alias("s"), F.col("b_layout_type").alias("kind"))).alias("x")).select("id", F.col("x.kind").alias("layout_type"))
+    return boxes.drop("layout_type").join(best, "id", "left")
+
+
+def word_gaps(chars: DataFrame, ratio: float = 0.25) -> DataFrame:
+    """Characters of a line with a space after those whose distance to the next exceeds ``ratio`` of the line's mean width; none beside Han characters."""
+    line = Window.partitionBy("doc_id", "page", "line")
+    order = line.orderBy("x0", "id")
+    gap = F.lead("x0").over(order) - F.col("x1")
+    wide = gap > ratio * F.avg(F.col("x1") - F.col("x0")).over(line)
+    han = T.contains_han(F.col("text")) | T.contains_han(F.lead("text").over(order))
+    return chars.withColumn("spaced", F.when(F.coalesce(wide & ~han, F.lit(False)), F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+
+
+def _merge_runs(boxes: DataFrame, joins) -> DataFrame:
+    """Boxes of a page in order; each that ``joins`` the last result is merged into it."""
+
+    def page(g: pd.DataFrame) -> pd.DataFrame:
+        rows: list[dict] = []
+        height = (g.bottom - g.top).mean()
+        for b in g.sort_values(["col_id", "top", "x0", "id"]).to_dict("records"):
+            if rows and joins(rows[-1], b, height):
+                last = rows[-1]
+                last.update(x0=min(last["x0"], b["x0"]), x1=max(last["x1"], b["x1"]), top=min(last["top"], b["top"]), bottom=max(last["bottom"], b["bottom"]), text=f"{last['text']}\n{b['text']}" if joins is _same_bullet else f"{last['text']}{'' if _han_end(last['text']) else ' '}{b['text']}")
+            else:
+                rows.append(b)
+        return pd.DataFrame(rows, columns=g.columns)
+
+    return boxes.groupBy("doc_id", "page").applyInPandas(page, boxes.schema)
+
+
+def _han_end(text: str) -> bool:
+    return bool(text) and "一" <= text[-1] <= "鿿"
+
+
+def _continues(a: dict, b: dict, height: float) -> bool:
+    """Whether a box goes on in the one below: near, over each other, of one kind, and not parted by a sentence's end or a bullet."""
+    if a["col_id"] != b["col_id"] or a["layout_type"] != b["layout_type"] or b["top"] - a["bottom"] > 1.5 * height:
+        return False
+    width = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])
+    if width < 0.3 * min(a["x1"] - a["x0"], b["x1"] - b["x0"]):
+        return False
+    return not a["text"].rstrip().endswith(tuple(".!?。！？；;:：")) or b["text"][:1].islower()
+
+
+def _same_bullet(a: dict, b: dict, height: float) -> bool:
+    mark = a["text"].lstrip()[:1]
+    return bool(mark) and not mark.isalnum() and not _han_end(mark) and b["text"].lstrip()[:1] == mark and a["col_id"] == b["col_id"]
+
+
+def merge_vertical(boxes: DataFrame) -> DataFrame:
+    """Lines of a paragraph as one box."""
+    return _merge_runs(boxes, _continues)
+
+
+def merge_bullets(boxes: DataFrame) -> DataFrame:
+    """Neighbouring boxes that begin with the same mark as one box."""
+    return _merge_runs(boxes, _same_bullet)
+
+
+def columns_of_page(boxes: DataFrame, most: int = 4) -> DataFrame:
+    """Boxes with ``col_id``: left edges in the number of groups, up to ``most``, that a page's silhouette favours (one-dimensional k-means)."""
+    import numpy as np
+
+    def grouped(x, k: int):
+        centres = np.quantile(x, (np.arange(k) + 0.5) / k)
+        for _ in range(20):
+            label = np.abs(x[:, None] - centres[None]).argmin(1)
+            new = np.array([x[label == j].mean() if (label == j).any() else centres[j] for j in range(k)])
+            if np.allclose(new, centres):
+                break
+            centres = new
+        order = np.argsort(centres)
+        return np.argsort(order)[label]
+
+    def silhouette(x, label) -> float:
+        d = np.abs(x[:, None] - x[None])
+        kinds = np.unique(label)
+        if len(kinds) < 2:
+            return 0.0
+        mean = np.stack([d[:, label == j].sum(1) / np.maximum((label == j).sum() - (label[:, None] == j)[:, 0], 1) for j in kinds], 1)
+        own = mean[np.arange(len(x)), np.searchsorted(kinds, label)]
+        mean[np.arange(len(x)), np.searchsorted(kinds, label)] = np.inf
+        other = mean.min(1)
+        return float(((other - own) / np.maximum(np.maximum(own, other), 1e-9)).mean())
+
+    def page(g: pd.DataFrame) -> pd.DataFrame:
+        x = g.x0.to_numpy(float)
+        tries = [(0.5, np.zeros(len(x), int))] + [(silhouette(x, lab := grouped(x, k)), lab) for k in range(2, min(most, len(set(x.tolist()))) + 1)]
+        return g.assign(col_id=max(tries, key=lambda t: t[0])[1].astype("int32"))
+
+    return boxes.groupBy("doc_id", "page").applyInPandas(page, boxes.schema)
+
+
+def distinct_headings(headings: DataFrame, group: str = "doc_id", order: str = "ord") -> DataFrame:
+    """Headings in order without those whose title matches an earlier kept one's, over the whole document."""
+    import re
+
+    bare = [re.compile(p) for p, _ in T.HEADING_PATTERNS]
+
+    def norm(title: str) -> str:
+        t = (title or "").strip()
+        for p in bare:
+            if m := p.match(t):
+                t = t[m.end() :]
+                break
+        return re.sub(r"\s+", "", t).lower()
+
+    def document(g: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple[str, int]] = []
+        for i, title in g.sort_values(order)["title"].items():
+            n = norm(title)
+            if not any(n and k and (n == k or (min(n, k, key=len) in max(n, k, key=len) and min(len(n), len(k)) >= 0.6 * max(len(n), len(k)))) for k, _ in kept):
+                kept.append((n, i))
+        return g.loc[[i for _, i in kept]]
+
+    return headings.groupBy(group).applyInPandas(document, headings.schema)
+
+
+def level_by_height(boxes: DataFrame, group: str = "doc_id", ratio: float = 1.4) -> DataFrame:
+    """Title boxes with ``level`` 0 from ``ratio`` times the document's upper median height on, else 1."""
+    h = F.col("bottom") - F.col("top")
+    middle = boxes.groupBy(group).agg(F.array_sort(F.collect_list(h)).alias("hs")).select(group, F.get("hs", F.floor(F.size("hs") / 2).cast("int")).alias("median"))
+    return boxes.join(middle, group).withColumn("level", F.when(h >= ratio * F.col("median"), 0).otherwise(1)).drop("median")
+
+
+def document_title(boxes: DataFrame, group: str = "doc_id") -> DataFrame:
+    """(doc, title): the first title if it has no number, is the tallest, and at least 1.3 times the second tallest."""
+    h = F.col("bottom") - F.col("top")
+    listed = boxes.groupBy(group).agg(F.min_by(F.struct("text", h.alias("h")), F.struct("page", "top", "id")).alias("first"), F.sort_array(F.collect_list(h), asc=False).alias("hs"))
+    unnumbered = T.heading_level(F.col("first.text")).isNull()
+    tall = (F.col("first.h") >= F.get("hs", F.lit(0))) & ((F.size("hs") < 2) | (F.get("hs", F.lit(0)) >= 1.3 * F.get("hs", F.lit(1))))
+    return listed.where(unnumbered & tall).select(group, F.col("first.text").alias("title"))
+
+
+def front_matter(boxes: DataFrame, dots: int = 3) -> DataFrame:
+    """Boxes without the pages of which more than ``dots`` boxes have dot leaders."""
+    leading = boxes.where(F.col("text").rlike(r"(\.{4,}|…{2,}|·{4,})")).groupBy("doc_id", "page").count().where(F.col("count") > dots)
+    return boxes.join(leading.select("doc_id", "page"), ["doc_id", "page"], "left_anti")
+
+
+def without_scraps(boxes: DataFrame, width: float = 0.25) -> DataFrame:
+    """Boxes that lead with a heading or bullet, or are at least ``width`` of their page's widest."""
+    widest = F.max(F.col("x1") - F.col("x0")).over(Window.partitionBy("doc_id", "page"))
+    kept = T.bullet_class(F.col("text")).isNotNull() | T.heading_level(F.col("text")).isNotNull() | (F.col("x1") - F.col("x0") >= width * widest)
+    return boxes.withColumn("__k", kept).where("__k").drop("__k")
+
+
+def garbled_fonts(chars: DataFrame, least: int = 20) -> DataFrame:
+    """(doc_id, page, garbled): at least ``least`` characters, 30 % of subset fonts, under 5 % Han and over 40 % punctuation."""
+    share = lambda c: F.avg(c.cast("double"))
+    return chars.groupBy("doc_id", "page").agg(((F.count("*") >= least) & (share(F.col("font").rlike(r"^[A-Z]{6}\+")) >= 0.3) & (share(T.contains_han(F.col("text"))) < 0.05) & (share(F.col("text").rlike(r"^\p{Punct}$")) > 0.4)).alias("garbled"))

@@ -252,3 +252,41 @@ def result_items(html: str, most: int = 5) -> list[dict]:
             p = re.search(r"(?s)<p[^>]*>(.*?)</p>", part)
             out.append({"title": _plain(m[2]), "url": m[1], "snippet": _plain(p[1]) if p else ""})
     return out[:most]
+
+
+def tables(text: str) -> tuple[str, list[str]]:
+    """(text without its tables, the tables): pipe tables with a rule, and HTML tables, outside fenced code."""
+    found, keep, last = [], [], 0
+    for m in _PROTECTED.finditer(text):
+        if m["f"] is None:
+            keep.append(text[last : m.start()])
+            found.append(m[0])
+            last = m.end()
+    return "".join([*keep, text[last:]]), found
+
+
+def engines(query: str, first, *others) -> list[dict]:
+    """The results of the first engine that has any; an engine that fails has none."""
+    for engine in (first, *others):
+        try:
+            found = engine(query)
+        except Exception:  # noqa: BLE001  an engine may fail in any way
+            found = []
+        if found:
+            return found
+    return []
+
+
+#: Block kinds of outside parsers and the kinds they count as here; headers, footers and page numbers are dropped.
+BLOCK_KINDS = {"title": "heading", "text": "paragraph", "paragraph": "paragraph", "list": "paragraph", "list_item": "paragraph", "code": "paragraph", "table": "table", "image": "figure", "figure": "figure", "chart": "figure", "equation": "paragraph", "formula": "paragraph"}
+
+
+def normalized_blocks(blocks: DataFrame, kind: str = "type", text: str = "text") -> DataFrame:
+    """Blocks of an outside parser under this library's kinds, cleaned of tags; unknown kinds and empty texts are dropped."""
+    from pyspark.sql import functions as F
+
+    from kbspark.functions.text import lookup
+
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?i)<br\s*/?>|</(p|div|tr|li)\s*>", "\n"), "<[^>]+>", ""), r"\n\s*\n+", "\n"))
+    mapped = blocks.withColumns({kind: lookup(BLOCK_KINDS, F.lower(kind), F.lit(None).cast("string")), text: clean})
+    return mapped.where(F.col(kind).isNotNull() & (F.col(text) != ""))
