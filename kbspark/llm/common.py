@@ -113,16 +113,16 @@ def _local_forest(batches):
 FOREST_EDGES = 400_000
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, forests: bool = False) -> DataFrame:
     """(id, component): for every node of an undirected edge, the smallest id it reaches. Nodes without an edge aren't returned.
 
-    Each partition reduces its edges to a forest, and so do tasks of ``FOREST_EDGES`` edges each over what remains. Until these forests
+    Each partition reduces its edges to a forest (``forests``: they are that already), and so do tasks of ``FOREST_EDGES`` edges each over what remains. Until these forests
     are stars (at once, where one task held them all), alternating large-star and small-star rounds flatten them, each a written table.
     Work per round follows the remaining edges, and the number of rounds the logarithm of the nodes. Null ends and self-loops are
     ignored; repeated edges count once.
     """
     e = edges.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("m")).where("v is not null and m is not null and v <> m")
-    e = cut(e.mapInArrow(lean(_local_forest), "v long, m long"), "forest")
+    e = cut(e if forests else e.mapInArrow(lean(_local_forest), "v long, m long"), "forest")
     e = cut(e.repartition(-(-e.count() // FOREST_EDGES) or 1, "v").mapInArrow(lean(_local_forest), "v long, m long"), "forest")
     for _ in range(rounds):
         # stars: no node has two parents, and no parent has one

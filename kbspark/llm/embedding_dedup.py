@@ -256,7 +256,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
     links = cut(rows.mapInArrow(lean(_blocks(sent, dims, least)), "cls long, n long, low long"), "links")
 
     counts = links.groupBy("cls").agg(F.sum("n").alias("n"))
-    components = connected_components(links, "cls", "low")
+    components = connected_components(links, "cls", "low", forests=True)
     of_class = classes.join(counts, "cls", "left").join(components, F.col("cls") == F.col("id"), "left")
     of_class = of_class.select(F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
     named = named.withColumn("u", F.when(F.col("vec_id").isNotNull() & usable("v", dims), F.col("v")))
