@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import embedding_dedup, jaccard_join, license_scan, mixing, packing, pii, quality_classifier, quality_rules, token_binary, url_filters
+from kbspark.llm import embedding_dedup, jaccard_join, license_scan, mixing, oracles, packing, pii, quality_classifier, quality_rules, token_binary, url_filters
 
 
 def tokenizer_path(name: str) -> str:
@@ -95,4 +95,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": oracles.url_filters(URL_RULES),
+    "op5_quality_rules": oracles.quality(),
+    "op6_source_mixing": oracles.mixing_sql(MIX_SHARES, MIX_OTHER),
+    "op7_embedding_dedup": oracles.EMBEDDINGS,
+    "op10_jaccard_join": oracles.JACCARD,
+}
