@@ -42,22 +42,31 @@ def packed_lines(docs: DataFrame, most: int = MOST_CHARS, key: str = "doc_id", t
     return parts.groupBy(key, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("chunk_text"))
 
 
+def _named(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_long(text: Column, most: int = MOST_CHARS) -> Column:
     """Pieces of at most ``most`` characters, cut after the last sentence end of the second half of each window where there is one; trimmed, empty ones dropped."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-    # as many steps as a text can need when each cut comes right after the half
-    steps = F.sequence(F.lit(0), F.floor(F.length(t) * 2 / most).cast("int"))
-
-    def step(acc: Column, _: Column) -> Column:
-        window = F.substring(t, acc["at"] + 1, F.lit(most))
-        whole = acc["at"] + most >= F.length(t)
-        upto = F.length(F.regexp_extract(window, f"(?s)^.*{SENTENCE_ENDS}", 0))
-        cut = F.when(~whole & (upto * 2 > most), upto).otherwise(F.length(window))
-        return F.when(acc["at"] >= F.length(t), acc).otherwise(F.struct((acc["at"] + cut).cast("int").alias("at"), F.array_append(acc["out"], F.substring(t, acc["at"] + 1, cut)).alias("out")))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    pieces = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return F.filter(F.transform(pieces, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+    def pieces(t: Column) -> Column:
+        # as many steps as a text can need when each cut comes right after the half
+        steps = F.sequence(F.lit(0), F.floor(F.length(t) * 2 / most).cast("int"))
+
+        def step(acc: Column, _: Column) -> Column:
+            def grown(window: Column) -> Column:
+                upto = F.length(F.regexp_extract(window, f"(?s)^.*{SENTENCE_ENDS}", 0))
+                cut = F.when((acc["at"] + most < F.length(t)) & (upto * 2 > most), upto).otherwise(F.length(window))
+                return F.struct((acc["at"] + cut).cast("int").alias("at"), F.array_append(acc["out"], F.substring(window, F.lit(1), cut)).alias("out"))
+
+            return F.when(acc["at"] >= F.length(t), acc).otherwise(_named(F.substring(t, acc["at"] + 1, F.lit(most)), grown))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+
+    whole = _named(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), pieces)
+    return F.filter(F.transform(whole, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
 
 
 def windows(text: Column, tokens: int, overlap: int = 0) -> Column:
