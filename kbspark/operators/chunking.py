@@ -36,7 +36,7 @@ def greedy_groups(sizes: Column, most: int, gap: int = 0) -> Column:
 
 def packed_lines(docs: DataFrame, most: int = MOST_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, chunk, chunk_text): lines packed in order into chunks of at most ``most`` characters, newlines included; a longer line stays whole."""
-    kept = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda v: F.trim(v)), lambda x: x != "")
     numbered = docs.select(key, kept.alias("l")).select(key, "l", greedy_groups(F.transform("l", lambda x: F.length(x).cast("long")), most, 1).alias("g"))
     parts = numbered.select(key, F.posexplode(F.arrays_zip("l", "g")).alias("pos", "x")).select(key, "pos", F.col("x.g").alias("chunk"), F.col("x.l").alias("line"))
     return parts.groupBy(key, "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("chunk_text"))

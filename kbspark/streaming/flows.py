@@ -14,7 +14,7 @@ from kbspark.operators import chunking
 
 def chunk_stream(documents: DataFrame) -> DataFrame:
     """A stream of (doc_id, text) as its lines packed into chunks; stateless, so no order or watermark is needed."""
-    kept = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != "")
+    kept = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda v: F.trim(v)), lambda x: x != "")
     return documents.select("doc_id", F.posexplode(kept).alias("seq", "line"))
 
 
