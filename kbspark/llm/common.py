@@ -42,9 +42,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
+def release(keep: int = 0) -> None:
     """Give what a worker process no longer needs back to the system: Spark keeps idle workers, of which an executor may have several."""
-    if PieceTable._active is not None:
+    if PieceTable._active is not None and len(PieceTable._active.words) > keep:
         PieceTable._active._reset()
         PieceTable._active = None
     pa.default_memory_pool().release_unused()
@@ -52,14 +52,14 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def lean(function):
-    """``function`` of Arrow batches, with its memory released when a task ends."""
+def lean(function, keep: int = 0):
+    """``function`` of Arrow batches, with its memory released when a task ends; a table of at most ``keep`` pieces stays for the worker's next task."""
 
     def run(batches):
         try:
             yield from function(batches)
         finally:
-            release()
+            release(keep)
 
     return run
 
@@ -175,7 +175,7 @@ class _Bounded(dict):
 class PieceTable:
     """What ``resolve`` makes of each different piece (a list of numbers), computed once and kept as flat arrays; at most about ``limit`` pieces.
 
-    A process keeps the pieces of one table only, the one used last, and those until its task ends (see ``lean``).
+    A process keeps the pieces of one table only, the one used last, and those until its task ends or somewhat longer (see ``lean``).
     """
 
     _active: PieceTable | None = None

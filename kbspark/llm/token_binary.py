@@ -110,7 +110,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end: int = 1, ids_pe
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(dealt.mapInArrow(lean(_writer(tokenizer_path, end, ids_per_file)), FILE_DDL), "tokens")
+    return cut(dealt.mapInArrow(lean(_writer(tokenizer_path, end, ids_per_file), keep=450_000), FILE_DDL), "tokens")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
