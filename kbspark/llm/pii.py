@@ -409,7 +409,11 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 def fit(docs: DataFrame, sample: int = 400) -> Tagger:
     """Train on windows of at most ``sample`` texts (those whose text hashes are smallest): the surroundings into which labelled spans are set."""
-    texts = docs.select(F.col("text").alias("t"), F.xxhash64("text").alias("h")).where("t <> ''").orderBy("h", "t").limit(sample).toArrow()["t"].to_pylist()
+    hashed = docs.where("text <> ''").select("text", F.xxhash64("text").alias("h"))
+    # hashes alone are ordered; at most ``sample`` of them are broadcast, and each text comes once
+    chosen = hashed.select("h").distinct().orderBy("h").limit(sample)
+    found = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("t")).toArrow()
+    texts = [t for _, t in sorted(zip(found["h"].to_pylist(), found["t"].to_pylist()))]
     return train(texts)
 
 
