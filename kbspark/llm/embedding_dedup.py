@@ -4,9 +4,8 @@ Vectors are scaled to length one, so cosine c is distance sqrt(2 - 2c). Three st
 
 * A vector probes every list whose boundary to its own list lies within ``margin`` of it, and each pair is tried from both ends. The
   distances of two linked vectors to the boundary between their lists add up to the link distance at most, so that with ``margin`` at half
-  of it no link is lost. The default is 0.3 of it: a link is missed only if over six tenths of the difference between two vectors point
-  straight across the boundary, far from the eighth or so that a difference in no special direction has in 64 dimensions (see the tests
-  for the recall that is measured).
+  of it (the default, with an allowance for rounding) no link is lost. A smaller margin loses links that run straight across a boundary,
+  as they do where vectors drift along a line.
 * A table distance is off by at most the length of what the code leaves of the stored vector, which is kept with the code: a pair is
   ruled out only if the table distance less that length is over the link distance.
 * What remains is compared exactly, in double precision.
@@ -239,7 +238,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
     quantiser = fit(x, int(min(most_lists, max(1, total // list_size))))
     sent = spark.sparkContext.broadcast(quantiser)
     if margin is None:
-        margin = 0.3 * float(np.sqrt(2 - 2 * least))
+        margin = 0.5 * float(np.sqrt(2 - 2 * least)) + 1e-6
 
     index = cut(classes.mapInArrow(lean(_assign(sent, dims, margin)), "cls long, copies long, vector array<double>, own long, probes array<long>, code binary, rest double"), "index")
     # both are a row for each list at most; tiles are dealt by a hash of the id

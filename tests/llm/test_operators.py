@@ -329,6 +329,19 @@ def test_embedding_recall(spark, data):
     assert true > 100 and 0.99 * true <= found <= true
 
 
+def test_embedding_links_across_borders(spark):
+    """Vectors along an arc: links run straight across the borders of the lists."""
+    rng = np.random.default_rng(9)
+    a, b = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+    at = np.linspace(0, 2.5, 600)
+    x = np.cos(at)[:, None] * a + np.sin(at)[:, None] * b + rng.normal(size=(600, 16)) * 0.004
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    degree = (x @ x.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, list_size=15).collect()}
+    assert got == {i: (int(n), 0) for i, n in enumerate(degree)}
+
+
 # --- personal data -------------------------------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
