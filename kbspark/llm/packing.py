@@ -36,11 +36,11 @@ def spaced_pieces(text: bytes) -> list[bytes] | None:
 class ShardIndex:
     """BM25 inverted index over the token ids of a shard's documents, as arrays: for each term its documents and their weights.
 
-    A document's own tokens are the query for its neighbours. ``k1`` and ``b`` are BM25's parameters. Terms in over ``common`` of the
-    shard's documents weigh next to nothing in BM25 and aren't followed when neighbours are asked for; they stay in the index.
+    A document's own tokens are the query for its neighbours. ``k1`` and ``b`` are BM25's parameters. Terms of any
+    frequency are followed: copies that are a large part of a shard have no others.
     """
 
-    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, common: float = 0.25):
+    def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
         n = len(docs)
         terms, tfs, owners = [], [], []
         for i, ids in enumerate(docs):
@@ -58,12 +58,12 @@ class ShardIndex:
         self.first = np.concatenate([[0], np.cumsum(df)])
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         self.weight = (idf[term] * tf * (k1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        self.idf, self.df, self.n, self.most = idf, df, n, max(8, int(common * n))
+        self.idf, self.df, self.n = idf, df, n
 
     def scores(self, seed: int, query_terms: int = 32) -> np.ndarray:
         """Every document's BM25 score for the ``query_terms`` most telling terms of the seed."""
         own = self.own[seed]
-        own = own[(self.df[own] > 1) & (self.df[own] <= self.most)]
+        own = own[self.df[own] > 1]
         if len(own) > query_terms:
             own = own[np.argpartition(-self.idf[own], query_terms - 1)[:query_terms]]
         if not len(own):

@@ -138,6 +138,15 @@ def test_packing_finds_neighbours():
     assert sum(m == 1 for m in mixed) >= 0.7 * len(mixed)
 
 
+def test_packing_follows_frequent_terms():
+    """Copies that are a third of the documents find each other."""
+    rng = np.random.default_rng(1)
+    copy = np.arange(100, 180, dtype=np.uint32)
+    docs = [copy if i % 3 == 0 else rng.integers(1000, 9000, 20).astype(np.uint32) for i in range(90)]
+    made = [{i % 3 == 0 for i, _, _ in s} for s in packing.pack_shard(docs, 400) if sum(n for _, _, n in s) == 400]
+    assert sum(m == {True} for m in made) == 30 * 80 // 400
+
+
 def test_pieces_agree_with_the_whole(tokenizers):
     texts = ["a\t b", "a  b\n\nc \n d", "", "  ", "\n", "it's o'clock 's", "\u4e2d\u6587 b\u3000c", "e\u0301\u0301 x", "\u03a3 \u0391\u03a3", "<|endoftext|> x", "a\x1cb \x85 d", "\u00c9t\u00e9\u0301 \u00c0\u00d6!!", "a\0b c", "don't_x isn't: \n", " lead", "trail ", "na\u00efve... _a_ \u00ff\u00df\u00d7\u00f7", "x\u2028y\u00a0z"]
     for name, pieces, lower in (("byte_bpe_50k.json", packing.spaced_pieces, False), ("word_bpe_49k.json", token_binary.ascii_words, True)):
