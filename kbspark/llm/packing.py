@@ -58,19 +58,33 @@ class ShardIndex:
         self.first = np.concatenate([[0], np.cumsum(df)])
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         self.weight = (idf[term] * tf * (k1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        self.idf, self.df, self.n = idf, df, n
+        self.n = n
 
-    def scores(self, seed: int, query_terms: int = 32) -> np.ndarray:
-        """Every document's BM25 score for the ``query_terms`` most telling terms of the seed."""
+    def scores(self, seed: int) -> np.ndarray:
+        """Every document's BM25 score for the terms of the seed; those that were dropped have none."""
         own = self.own[seed]
-        own = own[self.df[own] > 1]
-        if len(own) > query_terms:
-            own = own[np.argpartition(-self.idf[own], query_terms - 1)[:query_terms]]
-        if not len(own):
+        spans = [slice(a, b) for a, b in zip(self.first[own].tolist(), self.first[own + 1].tolist()) if b > a]
+        if not spans:
             return np.zeros(self.n)
-        spans = [slice(a, b) for a, b in zip(self.first[own].tolist(), self.first[own + 1].tolist())]
         return np.bincount(np.concatenate([self.doc[x] for x in spans]), np.concatenate([self.weight[x] for x in spans]), self.n)
 
+    def keep(self, wanted: np.ndarray) -> None:
+        """Drop the postings of documents that aren't ``wanted`` any more; the weights of the others stay as they are."""
+        held = wanted[self.doc]
+        self.first = np.concatenate([[0], np.cumsum(held)])[self.first]
+        self.doc, self.weight = self.doc[held], self.weight[held]
+
+
+def falling(score: np.ndarray, block: int = 64) -> Iterator[int]:
+    """The places of all scores over 0, by falling score and then place; sorted block by block, as far as they're asked for."""
+    left = np.flatnonzero(score > 0)
+    while len(left):
+        least = np.partition(score[left], len(left) - block)[len(left) - block] if len(left) > block else 0
+        near = left[score[left] >= least]
+        yield from near[np.argsort(-score[near], kind="stable")].tolist()
+        left = left[score[left] < least]
+        block *= 4
+
 
 def pack_shard(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length) that hold every token of the shard once.
@@ -91,6 +105,7 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int,
     if not rest.any():
         return out
     index = ShardIndex(docs)
+    held = len(docs)
     seeds = np.argsort(-rest, kind="stable").tolist()
     next_unused = 0
     for seed in seeds:
@@ -100,13 +115,13 @@ def pack_shard(docs: list[np.ndarray], window: int) -> list[list[tuple[int, int,
         room = window - int(rest[seed])
         rest[seed] = 0
         if room:
+            unused = rest > 0
+            if 5 * np.count_nonzero(unused) < 4 * held:
+                index.keep(unused)
+                held = np.count_nonzero(unused)
             score = index.scores(seed)
             score[rest == 0] = 0
-            found = np.flatnonzero(score)
-            if len(found) > 64:  # as many as can fill the window, nearly always; the rest of the list comes in order below
-                top = np.argpartition(-score[found], 63)[:64]
-                found = np.sort(found[top])
-            for i in found[np.argsort(-score[found], kind="stable")].tolist():
+            for i in falling(score):
                 take = min(room, int(rest[i]))
                 row.append((i, int(begin[i]), take))
                 begin[i] += take

@@ -147,6 +147,18 @@ def test_packing_follows_frequent_terms():
     assert sum(m == {True} for m in made) == 30 * 80 // 400
 
 
+def test_packing_goes_down_the_whole_list():
+    """All terms of the seed are asked, and neighbours fill the window however many it takes."""
+    rng = np.random.default_rng(2)
+    docs = [np.concatenate([[k], rng.integers(10 + 40 * k, 50 + 40 * k, 5 - k)]).astype(np.uint32) for _ in range(150) for k in (0, 1)]
+    first = packing.pack_shard(docs, 512)[0]
+    assert len(first) > 80 and {i % 2 for i, _, _ in first} == {0}
+    rare = [np.array([1000 + 40 * k + j for j in range(40)] + [7] * 20, np.uint32) for k in range(4)]  # related by one frequent term only
+    others = [np.array([1000 + 40 * k + j for j in range(40)], np.uint32) for k in range(4)]
+    made = packing.pack_shard([*rare, *others, *[np.array([9], np.uint32)] * 8], 104)
+    assert [i for i, _, _ in made[0]][:3] == [0, 4, 1]
+
+
 def test_pieces_agree_with_the_whole(tokenizers):
     texts = ["a\t b", "a  b\n\nc \n d", "", "  ", "\n", "it's o'clock 's", "\u4e2d\u6587 b\u3000c", "e\u0301\u0301 x", "\u03a3 \u0391\u03a3", "<|endoftext|> x", "a\x1cb \x85 d", "\u00c9t\u00e9\u0301 \u00c0\u00d6!!", "a\0b c", "don't_x isn't: \n", " lead", "trail ", "na\u00efve... _a_ \u00ff\u00df\u00d7\u00f7", "x\u2028y\u00a0z"]
     for name, pieces, lower in (("byte_bpe_50k.json", packing.spaced_pieces, False), ("word_bpe_49k.json", token_binary.ascii_words, True)):
