@@ -1,19 +1,23 @@
-"""Lexical retrieval packing: a sharded BM25 inverted index gives each seed document its unused neighbours, which greedily fill its window."""
+"""Lexical retrieval packing: a sharded BM25 inverted index over the whole table gives each seed document its unused neighbours, which greedily fill its window."""
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from kbspark.llm.common import lean, rows_to_batch, tokenizer_of, utf8_column
+from kbspark.llm.common import cut, lean, rows_to_batch, shared_dir, slices, tokenizer_of, utf8_column
 
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECE_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+CODED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("terms", pa.binary()), ("tf", pa.binary())])
+CODED_DDL = "doc_id long, n long, ids binary, terms binary, tf binary"
 
 _PIECES = re.compile(rb" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
 #: Where white space runs on, the pattern above has to look ahead.
@@ -166,57 +170,279 @@ def _powers_of_two(row: list[tuple[int, int, int]]) -> list[list[tuple[int, int,
     return out
 
 
-def _packer(path: str, end: int, window: int, shard_ids: int, shard_docs: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
+def _coder(path: str, end: int):
+    """Each text's ids, its distinct terms and how often each of them occurs."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokenizer_of(path, spaced_pieces, lower=False)
-        names: list[int | None] = []
-        held: list[np.ndarray] = []
-        total = 0
+        for batch in slices(batches, 500):
+            rows = {f.name: [] for f in CODED_SCHEMA}
+            for doc, text in zip(batch.column(0).to_pylist(), utf8_column(batch, "text")):
+                ids = coder.encode(text or b"", end)
+                terms, tf = np.unique(ids, return_counts=True)
+                for k, v in zip(rows, (doc, len(ids), ids.tobytes(), terms.tobytes(), tf.astype(np.uint32).tobytes())):
+                    rows[k].append(v)
+            if rows["n"]:
+                yield rows_to_batch(CODED_SCHEMA, rows)
+
+    return code
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal made
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with each term, in one partition."""
+    df = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        for terms in batch.column(0).to_pylist():
+            t = np.frombuffer(terms, np.uint32)
+            if len(t) and t[-1] >= len(df):
+                df = np.concatenate([df, np.zeros(int(t[-1]) + 1, np.int64)])
+            df[t] += 1
+    t = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(df[t])], names=["term", "n"])
+
+
+def _full_windows(window: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made = TaskContext.get().partitionId(), 0
+        for batch in slices(batches, 200):
             rows = {f.name: [] for f in PIECE_SCHEMA}
-            raw = [memoryview(x).cast("B") for x in held]
-            volume = 0
-            for sequence in pack_shard(held, window):
-                offset = 0
-                for i, start, n in sequence:
-                    for k, v in zip(rows, (names[i], start, n, bytes(raw[i][4 * start : 4 * (start + n)]), len(held[i]), part << 40 | made, offset)):
+            for doc, n, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                for start in range(0, n - window + 1, window):
+                    for k, v in zip(rows, (doc, start, window, ids[4 * start : 4 * (start + window)], n, part << 40 | made, 0)):
                         rows[k].append(v)
-                    offset += n
-                made += 1
-                volume += offset
-                if volume > 1 << 21:
-                    yield rows_to_batch(PIECE_SCHEMA, rows)
-                    rows, volume = {f.name: [] for f in PIECE_SCHEMA}, 0
-            if volume:
-                yield rows_to_batch(PIECE_SCHEMA, rows)
-            names.clear()
-            held.clear()
+                    made += 1
+            yield rows_to_batch(PIECE_SCHEMA, rows)
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), utf8_column(batch, "text")):
-                ids = coder.encode(text or b"", end)
-                if held and (total + len(ids) > shard_ids or len(held) >= shard_docs):
-                    yield from flush()
-                    total = 0
-                names.append(doc)
-                held.append(ids)
-                total += len(ids)
+    return emit
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with its partition and its place there."""
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int64)), pa.array(np.arange(at, at + n))], names=[*batch.schema.names, "part", "place"])
+        at += n
+
+
+def _indexer(stats, shard_ids: int, shard_docs: int, k1: float = 1.2, b: float = 0.75):
+    """Shards of the BM25 index with the counts of the whole table; weights are whole multiples of 2^-16, so that their sums are the same in any order."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, mean = stats.value
+        held: list[tuple] = []
+        total = 0
+
+        def shard() -> pa.RecordBatch:
+            sizes = np.array([len(x[1]) for x in held])
+            term, tf = np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
+            doc = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+            norm = k1 * (1 - b + b * np.array([x[3] for x in held]) / mean)
+            weight = np.rint(65536 * idf[term] * tf * (k1 + 1) / (tf + norm[doc])).astype(np.int32)
+            order = np.argsort(term, kind="stable")
+            values = [np.array([x[0] for x in held], np.int64), term[order].astype(np.uint32), doc[order], weight[order]]
+            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in values], names=["numbers", "terms", "docs", "weights"])
+
+        for batch in slices(batches, 500):
+            for number, terms, tf, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                t = np.frombuffer(terms, np.uint32)
+                if held and (len(held) >= shard_docs or total + n > shard_ids):
+                    yield shard()
+                    held, total = [], 0
+                held.append((number, t, np.frombuffer(tf, np.uint32), n))
+                total += n
         if held:
-            yield from flush()
+            yield shard()
+
+    return emit
 
-    return pack
 
+def shard_scores(terms: np.ndarray, docs: np.ndarray, weights: np.ndarray, n: int, queries: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each query the scores of a shard's ``n`` documents: frequent terms by a matrix product, the others by their postings."""
+    names, first = np.unique(terms, return_index=True)
+    first = np.append(first, len(terms))
+    often = np.flatnonzero(np.diff(first) > max(16, n // 16))
+    spot = np.full(int(names[-1]) + 1 if len(names) else 1, -1, np.int64)
+    spot[names[often]] = np.arange(len(often))
+    dense = np.zeros((len(often), n))
+    at = spot[terms]
+    dense[at[at >= 0], docs[at >= 0]] = weights[at >= 0]
+    for i in range(0, len(queries), 128):
+        chunk = queries[i : i + 128]
+        ask = np.zeros((len(chunk), len(often)))
+        seldom = []
+        for r, q in enumerate(chunk):
+            q = q[q < len(spot)]
+            s = spot[q]
+            ask[r, s[s >= 0]] = 1
+            rare = q[s < 0]
+            k = np.searchsorted(names, rare)
+            seldom.append(k[names[np.minimum(k, len(names) - 1)] == rare] if len(names) else k[:0])
+        got = ask @ dense
+        for row, ks in zip(got, seldom):
+            if len(ks):
+                spans = [slice(a, b) for a, b in zip(first[ks].tolist(), first[ks + 1].tolist())]
+                row += np.bincount(np.concatenate([docs[x] for x in spans]), np.concatenate([weights[x] for x in spans]), n)
+            yield row
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end: int = 0, shard_ids: int = 3_000_000, shard_docs: int = 4096) -> DataFrame:
+
+def _search(asked):
+    """The best ``most`` unused documents of a task's shards for each query: (query, number, score)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, used, most = asked.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        for batch in batches:
+            for raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                numbers, terms, docs, weights = (np.frombuffer(x, t) for x, t in zip(raw, (np.int64, np.uint32, np.int32, np.int32)))
+                free = (used[numbers >> 3] >> (numbers & 7) & 1) == 0
+                if not free.any():
+                    continue
+                held = free[docs]
+                place = np.cumsum(free) - 1
+                numbers = numbers[free]
+                for q, score in enumerate(shard_scores(terms[held], place[docs[held]], weights[held].astype(np.float64), len(numbers), queries)):
+                    old, had = best[q]
+                    near = np.flatnonzero(score >= (had[-1] if len(had) == most else 1))
+                    if len(near) > most:
+                        near = near[score[near] >= np.partition(score[near], len(near) - most)[len(near) - most]]
+                    if len(near):
+                        n, s = np.concatenate([old, numbers[near]]), np.concatenate([had, score[near]])
+                        order = np.lexsort((n, -s))[:most]
+                        best[q] = n[order], s[order]
+        for i in range(0, len(best), 256):
+            part = best[i : i + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(i, i + len(part)), [len(n) for n, _ in part])), pa.array(np.concatenate([n for n, _ in part])), pa.array(np.concatenate([s for _, s in part]))], names=["query", "number", "score"])
+
+    return emit
+
+
+def _assign(spark, index: DataFrame, terms: DataFrame, rest: np.ndarray, window: int, block: int, emit) -> None:
+    """Windows of all rests, over the whole index. Documents are numbered by falling rest; ``emit`` gets each window's (number, skipped, taken).
+
+    Seeds are asked in blocks, the longest unused rests first, and each takes what of its list is still unused. A seed whose list was
+    cut off before its window is full goes first in the next block, where it's asked again for what is unused then.
+    """
+    whole = rest.copy()
+    waiting: list[tuple[int, list, int]] = []
+    next_seed, last = 0, len(rest) - 1
+    most = int(min(4096, max(32, 4 * window / rest.mean())))
+
+    def take(row: list, i: int, room: int) -> int:
+        n = min(room, int(rest[i]))
+        row.append((i, int(whole[i] - rest[i]), n))
+        rest[i] -= n
+        return room - n
+
+    while True:
+        seeds, waiting = [(s, row, room) for s, row, room in waiting], []
+        begun = {s for s, _, _ in seeds}
+        while next_seed < len(rest) and len(seeds) < block:
+            if rest[next_seed]:
+                seeds.append((next_seed, [], window))
+            next_seed += 1
+        if not seeds:
+            return
+        wanted = [s for s, _, _ in seeds]
+        got = terms.where(F.col("number").between(min(wanted), max(wanted)) & F.col("number").isin(wanted)).toArrow()
+        of = dict(zip(got["number"].to_pylist(), got["terms"].to_pylist()))
+        asked = spark.sparkContext.broadcast(([np.frombuffer(of[s], np.uint32) for s in wanted], np.packbits(rest == 0, bitorder="little"), most + 1))
+        found = index.mapInArrow(lean(_search(asked)), "query long, number long, score double").toArrow()
+        asked.unpersist()
+        query, number, score = (found[k].to_numpy() for k in ("query", "number", "score"))
+        order = np.lexsort((number, -score, query))
+        query, number = query[order], number[order]
+        starts = np.searchsorted(query, np.arange(len(seeds) + 1))
+        for q, (seed, row, room) in enumerate(seeds):
+            if seed not in begun:
+                if not rest[seed]:
+                    continue
+                room = take(row, seed, room)
+            listed = number[starts[q] : starts[q + 1]]
+            for i in listed[: most + 1].tolist():
+                if not room:
+                    break
+                if rest[i]:
+                    room = take(row, i, room)
+            if room and len(listed) > most:  # there's more than the list holds
+                waiting.append((seed, row, room))
+                continue
+            while room and last >= 0:  # none of the unused shares a term: the shortest rests first, they're hardest to place
+                if rest[last]:
+                    room = take(row, last, room)
+                else:
+                    last -= 1
+            for made in [row] if not room else _powers_of_two(row):
+                emit(made)
+        if 2 * len(waiting) > len(seeds):
+            most, block = min(4096, 2 * most), max(64, block // 2)
+
+
+def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end: int = 0, shard_ids: int = 3_000_000, shard_docs: int = 4096, block: int = 1024) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): pieces of all documents in sequences of ``window`` ids.
 
-    A shard is a run of a partition's rows with at most ``shard_ids`` ids (or one longer document) and ``shard_docs`` documents; it has
-    its own inverted index and is packed by itself, so there is no shuffle, memory is bounded whatever the keys, and a lost task is done
-    again from its own input. Rows keep the order of their partition, so an upstream mixing order holds from shard to shard.
+    Documents give their full windows by themselves. What is left of each is a rest: the longest unused rest is the seed, its best unused
+    neighbours in the whole table follow whole while they fit, and the next one is cut to fill the window (see ``pack_shard``, which does
+    the same within one list). Document counts and the mean length are those of the whole table, and each seed asks all shards of
+    ``shard_docs`` documents and ``shard_ids`` ids (or one longer document), so results don't depend on how the table is split. Work grows with the square of the table. The driver
+    holds two numbers for each rest and one block's lists.
+
     Null texts are empty and give only ``end``; null and repeated ids are kept as they are, each row packed for itself; other columns
-    are ignored. ``sequence_id`` is unique: the partition and a number in it. An empty table gives no rows.
+    are ignored. ``sequence_id`` is unique: the partition and a number in it for full windows, from 2^62 on for the others. An empty table gives no rows.
     """
-    return docs.select("doc_id", "text").mapInArrow(lean(_packer(tokenizer_path, end, window, shard_ids, shard_docs), keep=450_000), PIECE_DDL)
+    spark = docs.sparkSession
+    coded = cut(docs.select("doc_id", "text").mapInArrow(lean(_coder(tokenizer_path, end), keep=450_000), CODED_DDL), "coded")
+    counted = coded.select("terms").mapInArrow(lean(_counts), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary
+    total, mean = coded.agg(F.count("*"), F.avg("n")).first()
+    full = coded.where(F.col("n") >= window).select("doc_id", "n", "ids").mapInArrow(lean(_full_windows(window)), PIECE_DDL)
+    if not total:
+        return full
+    df = np.zeros(max(counted["term"].to_pylist()) + 1)
+    df[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    stats = spark.sparkContext.broadcast((np.log1p((total - df + 0.5) / (df + 0.5)), mean))
+
+    rests = coded.withColumns({"rest": F.col("n") % window, "key": F.xxhash64("doc_id", "ids")}).where("rest > 0")
+    parts = max(1, rests.rdd.getNumPartitions())
+    ranged = rests.repartitionByRange(parts, F.desc("rest"), "key").sortWithinPartitions(F.desc("rest"), "key").drop("key")
+    placed = cut(ranged.mapInArrow(lean(_placed), "doc_id long, n long, ids binary, terms binary, tf binary, rest long, part long, place long"), "rests")
+    # a row for each task and for each length below a window
+    sizes = sorted(map(tuple, placed.groupBy("part").count().collect()))
+    lengths = sorted(map(tuple, placed.groupBy("rest").count().collect()), reverse=True)
+    if not sizes:
+        return full
+    before = np.concatenate([[0], np.cumsum([n for _, n in sizes])[:-1]]).tolist()
+    starts = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(sizes, before)], "part long, before long")
+    numbered = placed.join(F.broadcast(starts), "part").withColumn("number", F.col("before") + F.col("place")).drop("part", "before", "place")
+    index = cut(numbered.select("number", "terms", "tf", "n").mapInArrow(lean(_indexer(stats, shard_ids, shard_docs)), "numbers binary, terms binary, docs binary, weights binary"), "index")
+    rest = np.repeat(np.array([r for r, _ in lengths], np.int32), [n for _, n in lengths])
+
+    path = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    made: list[tuple[int, int, int, int, int]] = []
+    count = 0
+    ddl = "number long, skip long, length long, sequence_id long, offset long"
+
+    def write() -> None:
+        table = pa.table([pa.array([x[i] for x in made], pa.int64()) for i in range(5)], names=["number", "skip", "length", "sequence_id", "offset"])
+        spark.createDataFrame(table, ddl).write.mode("append").parquet(path)
+        made.clear()
+
+    def emit(row: list[tuple[int, int, int]]) -> None:
+        nonlocal count
+        offset = 0
+        for number, skip, n in row:
+            made.append((number, skip, n, 1 << 62 | count, offset))
+            offset += n
+        count += 1
+        if len(made) >= 500_000:
+            write()
+
+    _assign(spark, index, numbered.select("number", "terms"), rest, window, block, emit)
+    write()
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    windows = spark.read.schema(ddl).parquet(path)
+    begin = F.col("n") - F.col("rest") + F.col("skip")
+    joined = windows.join(numbered.select("number", "doc_id", "n", "ids", "rest"), "number").withColumn("start", begin)
+    ids = F.expr("substring(ids, cast(4 * start + 1 as int), cast(4 * length as int))")
+    return full.union(joined.select("doc_id", "start", "length", ids.alias("ids"), F.col("n").alias("doc_tokens"), "sequence_id", "offset"))

@@ -159,6 +159,23 @@ def test_packing_goes_down_the_whole_list():
     assert [i for i, _, _ in made[0]][:3] == [0, 4, 1]
 
 
+def test_packing_searches_all_partitions(spark, tokenizers):
+    """Neighbours are found across partitions and shards, and the windows are those of one list with the whole table's counts."""
+    rng = np.random.default_rng(3)
+    words = [[f"{a}{b}" for b in ("stone", "river", "green", "window", "seven", "paper", "light", "cloud")] for a in ("north ", "old ", "cold ", "new ")]
+    rows = [(i, " ".join(rng.choice(words[i % 4], int(rng.integers(20, 60))))) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    made = []
+    for df, options in ((frame.repartition(7), {"shard_docs": 5, "block": 9}), (frame.coalesce(1), {"block": 9})):
+        got = packing.pack(df, Q.tokenizer_path("byte_bpe_50k.json"), window=256, **options).collect()
+        check_packed(got, dict(expected_tokens(rows, tokenizers["byte_bpe_50k.json"], 0)), 256)
+        sequences = defaultdict(list)
+        for r in got:
+            sequences[r.sequence_id].append((r.doc_id, r.start, r.length))
+        made.append(Counter(tuple(sorted(x)) for x in sequences.values()))
+    assert made[0] == made[1]
+
+
 def test_pieces_agree_with_the_whole(tokenizers):
     texts = ["a\t b", "a  b\n\nc \n d", "", "  ", "\n", "it's o'clock 's", "\u4e2d\u6587 b\u3000c", "e\u0301\u0301 x", "\u03a3 \u0391\u03a3", "<|endoftext|> x", "a\x1cb \x85 d", "\u00c9t\u00e9\u0301 \u00c0\u00d6!!", "a\0b c", "don't_x isn't: \n", " lead", "trail ", "na\u00efve... _a_ \u00ff\u00df\u00d7\u00f7", "x\u2028y\u00a0z"]
     for name, pieces, lower in (("byte_bpe_50k.json", packing.spaced_pieces, False), ("word_bpe_49k.json", token_binary.ascii_words, True)):
