@@ -6,21 +6,21 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What is written in headers and licence files, by licence.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004"),
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3."),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Creative Commons Attribution 4.0 International Public License"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3.", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"),
 }
 TERM_PATTERN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LICENCE_FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z0-9]+)?$"
@@ -57,8 +57,9 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     """``files`` without their text, with ``license``, ``license_via`` (header, file or inherited) and ``license_score`` (cosine, six decimals); nulls where none was found.
 
     Weights are tf * (ln((1 + N) / (1 + df)) + 1), with N and df over all files; a term that no template has counts as unseen (df 0).
-    Every line of a text is a possible header. A file is a licence file if its whole text's cosine reaches ``file_least``, or if it has a licence file's
-    name and reaches ``header_least``. A file's own header or text comes before what its directory gives; of several directories with a
+    Every line of a text is a possible header, and so is every passage of as many terms as a template has, wherever lines break. A file
+    is a licence file if its whole text's cosine reaches ``file_least``, or if it has a licence file's name and its text, a line or a passage
+    reaches ``header_least``. A file's own header or text comes before what its directory gives; of several directories with a
     licence file the nearest counts, of several such files in one the best. Null or empty texts have no licence of their own; a null path
     has no directory; rows that repeat are judged alike; an empty table gives no rows.
 
@@ -96,13 +97,32 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     dots = weighed.join(F.broadcast(weight_table), "term").groupBy("__unit", "template", "name").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     best = dots.join(lengths, "__unit").withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).groupBy("__unit").agg(F.max(F.struct("score", "name")).alias("best"))
     scored = units.select("__key", "whole", "__unit").distinct().join(best, "__unit")
-    of_text = scored.groupBy("__key").agg(F.max(F.when(~F.col("whole"), F.col("best"))).alias("header"), F.max(F.when(F.col("whole"), F.col("best"))).alias("file"))
+    # a passage's dot product is a difference of running sums; so is a lower bound of its length, exact but for repeated terms
+    frames = [(key, name, sum(c.values()), {t: w for t, k, _, w in weights if k == key}) for key, name, c in named if c]
+    by_term = [(t, idf[t], *(f[3].get(t, 0.0) * idf[t] for f in frames)) for t in vocabulary]
+    columns = [f"__c{i}" for i in range(len(frames))]
+    table = spark.createDataFrame(by_term or [("", 0.0)], "term string, idf double" + "".join(f", {c} double" for c in columns))
+    at = Window.partitionBy("__key").orderBy("pos")
+    upto = at.rowsBetween(Window.unboundedPreceding, 0)
+    running = texts.select("__key", F.posexplode(terms(F.col("__text"))).alias("pos", "term")).join(F.broadcast(table), "term", "left")
+    running = running.withColumns({"__sq": F.pow(F.coalesce("idf", F.lit(unseen)), F.lit(2)), **{c: F.coalesce(c, F.lit(0.0)) for c in columns}})
+    running = running.select("__key", "pos", "__sq", *columns, F.sum("__sq").over(upto).alias("__sqs"), *[F.sum(c).over(upto).alias(f"{c}s") for c in columns])
+    span = lambda c, n: F.lead(f"{c}s", n - 1).over(at) - F.col(f"{c}s") + F.col(c)
+    bounds = [F.struct(F.lit(key).alias("template"), F.lit(name).alias("name"), F.lit(n).alias("size"), span(c, n).alias("dot"), span("__sq", n).alias("square")) for c, (key, name, n, _) in zip(columns, frames)]
+    hits = running.select("__key", "pos", F.array(*bounds).alias("b")) if bounds else running.select("__key", "pos").where("false").withColumn("b", F.lit(None).cast("array<struct<template:string,name:string,size:int,dot:double,square:double>>"))
+    hits = hits.select("__key", "pos", F.explode("b").alias("b")).select("__key", "pos", "b.*").where(F.col("dot") >= (header_least - 1e-6) * F.sqrt("square"))
+    words = hits.join(texts.select("__key", terms(F.col("__text")).alias("__terms")), "__key").select("__key", "pos", "template", "name", "dot", F.explode(F.slice("__terms", F.col("pos") + 1, F.col("size"))).alias("term"))
+    words = words.groupBy("__key", "pos", "template", "name", "dot", "term").agg(F.count("*").alias("tf")).join(F.broadcast(idf_table), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+    passages = words.groupBy("__key", "pos", "template", "name", "dot").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    passages = passages.select("__key", F.lit(False).alias("whole"), F.struct(F.round(F.col("dot") / F.col("length"), 6).alias("score"), "name").alias("best"))
+    of_text = scored.select("__key", "whole", "best").unionByName(passages).groupBy("__key").agg(F.max(F.when(~F.col("whole"), F.col("best"))).alias("header"), F.max(F.when(F.col("whole"), F.col("best"))).alias("file"))
 
     # a file with no possible licence has a key of its own kind, so that none of them meets in one task
     placed = keyed.withColumn("__dir", F.regexp_extract(F.coalesce(F.col(path), F.lit("")), "^(.*)/[^/]*$", 1)).withColumn("__file_name", F.coalesce(F.col(path), F.lit("")).rlike(LICENCE_FILE_NAME)).drop(text)
     own = placed.join(of_text, "__key", "left").drop("__key")
-    is_file = (F.col("file.score") >= file_least) | (F.col("__file_name") & (F.col("file.score") >= header_least))
-    own = own.withColumns({"__file": F.when(is_file, F.col("file")), "__header": F.when(F.col("header.score") >= header_least, F.col("header"))}).drop("header", "file", "__file_name")
+    best_of = F.greatest("file", "header")
+    as_file = F.when(F.col("__file_name") & (best_of["score"] >= header_least), best_of).when(F.col("file.score") >= file_least, F.col("file"))
+    own = own.withColumns({"__file": as_file, "__header": F.when(F.col("header.score") >= header_least, F.col("header"))}).drop("header", "file", "__file_name")
     given = own.where("__file is not null and __dir <> ''").groupBy("__dir").agg(F.max("__file").alias("__given"))
     steps = F.split("__dir", "/")
     up = own.select("__dir").where("__dir <> ''").distinct().select("__dir", F.explode(F.sequence(F.lit(1), F.size(steps))).alias("__depth")).withColumn("__up", F.array_join(F.slice(steps, F.lit(1), F.col("__depth")), "/"))

@@ -470,6 +470,41 @@ def test_licences(spark, data, docs, odd):
     assert license_scan.scan(odd.withColumn("path", F.col("source"))).count() == len(ODD)
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+
+
+def test_whole_licence_texts(spark):
+    """Licence texts that are more than a notice, and notices in lines that don't end."""
+    rest = " ".join(f"other{i}" for i in range(400))
+    gpl = "GNU GENERAL PUBLIC LICENSE\nVersion {}\n\n" + rest + "\nyou can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    files = [
+        ("m/LICENSE", MIT_TEXT), ("m/a.py", "x"), ("g2/COPYING", gpl.format("2, June 1991")), ("g2/b.py", "y"), ("g3/COPYING", gpl.format("3, 29 June 2007")), ("g3/c/d.py", "z"),
+        ("l/long.txt", rest + " Licensed under the Apache License, Version 2.0. " + rest), ("l/wrapped.txt", rest + "\n# Licensed under the Apache\n# License, Version 2.0.\n" + rest), ("l/none.txt", rest + " the license of the door " + rest),
+    ]
+    rows = {r.path: (r.license, r.license_via) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert rows == {
+        "m/LICENSE": ("MIT", "file"), "m/a.py": ("MIT", "inherited"), "g2/COPYING": ("GPL-2.0", "file"), "g2/b.py": ("GPL-2.0", "inherited"), "g3/COPYING": ("GPL-3.0", "file"), "g3/c/d.py": ("GPL-3.0", "inherited"),
+        "l/long.txt": ("Apache-2.0", "header"), "l/wrapped.txt": ("Apache-2.0", "header"), "l/none.txt": (None, None),
+    }
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------------------------
 
 
