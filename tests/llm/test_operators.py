@@ -174,6 +174,23 @@ def test_packing_searches_all_partitions(spark, tokenizers):
             sequences[r.sequence_id].append((r.doc_id, r.start, r.length))
         made.append(Counter(tuple(sorted(x)) for x in sequences.values()))
     assert made[0] == made[1]
+    # one seed after another, each scored by brute force against all documents
+    docs = {i: ids for i, ids in expected_tokens(rows, tokenizers["byte_bpe_50k.json"], 0)}
+    df, mean = Counter(t for x in docs.values() for t in set(x.tolist())), np.mean([len(x) for x in docs.values()])
+    weight = {i: {t: round(65536 * float(np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5))) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(x) / mean))) for t, n in Counter(x.tolist()).items()} for i, x in docs.items()}
+    assert max(map(len, docs.values())) < 256
+    seeds = [r.doc_id for r in spark.createDataFrame([(i, x.tobytes(), len(x)) for i, x in docs.items()], "doc_id long, ids binary, n long").orderBy(F.desc("n"), F.xxhash64("doc_id", "ids")).collect()]
+    rest, want = {i: len(docs[i]) for i in seeds}, []
+    for seed in seeds:
+        row, room = [], 256
+        near = sorted((i for i in seeds if i != seed), key=lambda i: -sum(weight[i].get(t, 0) for t in weight[seed]))  # stable
+        for i in [seed, *near] if rest[seed] else []:
+            n = min(room, rest[i])
+            row += [(i, len(docs[i]) - rest[i], n)] if n else []
+            rest[i] -= n
+            room -= n
+        want += [row] if row and not room else []
+    assert sum(made[0][tuple(sorted(x))] for x in want) == len(want) and len(want) > 10
 
 
 def test_pieces_agree_with_the_whole(tokenizers):
