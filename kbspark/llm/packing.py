@@ -402,6 +402,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end: int = 0,
     stats = spark.sparkContext.broadcast((np.log1p((total - df + 0.5) / (df + 0.5)), mean))
 
     rests = coded.withColumns({"rest": F.col("n") % window, "key": F.xxhash64("doc_id", "ids")}).where("rest > 0")
+    rests = rests.withColumn("ids", F.expr("substring(ids, cast(4 * (n - rest) + 1 as int), cast(4 * rest as int))"))
     parts = max(1, rests.rdd.getNumPartitions())
     ranged = rests.repartitionByRange(parts, F.desc("rest"), "key").sortWithinPartitions(F.desc("rest"), "key").drop("key")
     placed = cut(ranged.mapInArrow(lean(_placed), "doc_id long, n long, ids binary, terms binary, tf binary, rest long, part long, place long"), "rests")
@@ -444,5 +445,5 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end: int = 0,
     windows = spark.read.schema(ddl).parquet(path)
     begin = F.col("n") - F.col("rest") + F.col("skip")
     joined = windows.join(numbered.select("number", "doc_id", "n", "ids", "rest"), "number").withColumn("start", begin)
-    ids = F.expr("substring(ids, cast(4 * start + 1 as int), cast(4 * length as int))")
+    ids = F.expr("substring(ids, cast(4 * skip + 1 as int), cast(4 * length as int))")
     return full.union(joined.select("doc_id", "start", "length", ids.alias("ids"), F.col("n").alias("doc_tokens"), "sequence_id", "offset"))
