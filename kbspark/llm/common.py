@@ -20,25 +20,51 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset (tests), a temporary one is set for the session."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (as in tests) gets a temporary one; a cluster must name one."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("kbspark.shared.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="kbspark-shared-")
         spark.conf.set("kbspark.shared.dir", got)
     return got.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again: lineage ends there and lost executors cost no recomputation.
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    The table is deleted when the driver's JVM ends.
-    """
-    spark = df.sparkSession
+
+def new_table(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, which is deleted when its ``scratch`` block or else the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, target = _hadoop(spark, path)
+    files.deleteOnExit(target)
+    for held in _SCRATCH[-1:]:
+        held.append(path)
+    return path
+
+
+_SCRATCH: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are cut inside the block are deleted at its end: whatever is made of them must be written outside of it by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            files, target = _hadoop(spark, path)
+            files.delete(target, True)
+
+
+def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder (see ``new_table``) and read it again: lineage ends there and lost executors cost no recomputation."""
+    spark = df.sparkSession
+    path = path or new_table(spark, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -113,32 +139,57 @@ def _local_forest(batches):
 FOREST_EDGES = 400_000
 
 
+def hot_keys(df: DataFrame, keys: list[str], most: int = 1000, least: int = 20_000) -> DataFrame:
+    """The keys that hold over a ``most``-th part of all rows (and over ``least``): fewer than ``most`` rows, whatever the table."""
+    limit = max(least, -(-df.count() // most))
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(*keys)
+
+
+def join_spread(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "left", parts: int = 64, hot: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key. Rows of a hot key are dealt over ``parts`` tasks by a hash of the ``spread``
+    columns, as are rows with a null key, which meet nothing; of ``right`` only the rows of hot keys are repeated."""
+    hot = F.broadcast((hot_keys(left, keys) if hot is None else hot).withColumn("__hot", F.lit(True)))
+    dealt = F.pmod(F.xxhash64(*spread), F.lit(parts))
+    lost = F.lit(False)
+    for k in keys:
+        lost = lost | F.col(k).isNull()
+    one = left.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot") | lost, dealt).otherwise(0).cast("long")).drop("__hot")
+    many = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    other = right.join(hot, keys, "left").withColumn("__salt", F.explode(many)).drop("__hot")
+    return one.join(other, [*keys, "__salt"], how).drop("__salt")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, forests: bool = False) -> DataFrame:
     """(id, component): for every node of an undirected edge, the smallest id it reaches. Nodes without an edge aren't returned.
 
-    Each partition reduces its edges to a forest (``forests``: they are that already), and so do tasks of ``FOREST_EDGES`` edges each over what remains. Until these forests
-    are stars (at once, where one task held them all), alternating large-star and small-star rounds flatten them, each a written table.
-    Work per round follows the remaining edges, and the number of rounds the logarithm of the nodes. Null ends and self-loops are
-    ignored; repeated edges count once.
+    Each partition reduces its edges to a forest (``forests``: they are that already). What remains is joined by one task where it has at
+    most ``FOREST_EDGES`` edges, which settles it; else by tasks of that many, whose forests alternating large-star and small-star rounds
+    flatten, each a written table. Work per round follows the remaining edges, and the number of rounds the logarithm of the nodes;
+    a hub's rows are dealt over many tasks. Null ends and self-loops are ignored; repeated edges count once.
     """
     e = edges.select(F.col(a).cast("long").alias("v"), F.col(b).cast("long").alias("m")).where("v is not null and m is not null and v <> m")
     e = cut(e if forests else e.mapInArrow(lean(_local_forest), "v long, m long"), "forest")
-    e = cut(e.repartition(-(-e.count() // FOREST_EDGES) or 1, "v").mapInArrow(lean(_local_forest), "v long, m long"), "forest")
-    for _ in range(rounds):
+    count = e.count()
+    if count <= FOREST_EDGES:
+        e = cut(e.coalesce(1).mapInArrow(lean(_local_forest), "v long, m long"), "stars")
+        rounds = 0
+    else:
+        e = cut(e.repartition(-(-count // FOREST_EDGES)).mapInArrow(lean(_local_forest), "v long, m long"), "forest")
+    for left in range(rounds, -1, -1):
         # stars: no node has two parents, and no parent has one
-        twice = e.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        if not twice and not e.join(e.select(F.col("v").alias("m")).distinct(), "m", "left_semi").limit(1).count():
+        twice = left and e.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        if not left or not twice and not e.join(e.select(F.col("m").alias("v")).distinct(), "v", "left_semi").limit(1).count():
+            if rounds and not left:
+                raise RuntimeError(f"components did not settle in {rounds} rounds")
             break
         # large star: neighbours larger than u go to the smallest of u and its neighbours
         both = e.select("v", "m").union(e.select(F.col("m").alias("v"), F.col("v").alias("m")))
         low = both.groupBy("v").agg(F.min("m").alias("lo")).select("v", F.least("v", "lo").alias("lo"))
-        large = both.join(low, "v").where(F.col("m") > F.col("v")).select(F.col("m").alias("v"), F.col("lo").alias("m")).where("v <> m").distinct()
+        large = cut(join_spread(both, low, ["v"], ["m"], "inner").where(F.col("m") > F.col("v")).select(F.col("m").alias("v"), F.col("lo").alias("m")).where("v <> m").distinct(), "large")
         # small star: smaller neighbours of u, and u, go to the smallest of them
         least = large.groupBy("v").agg(F.min("m").alias("lo"))
-        small = large.join(least, "v").select(F.col("m").alias("v"), F.col("lo").alias("m")).union(least.select("v", F.col("lo").alias("m"))).where("v <> m").distinct()
+        small = join_spread(large, least, ["v"], ["m"], "inner").select(F.col("m").alias("v"), F.col("lo").alias("m")).union(least.select("v", F.col("lo").alias("m"))).where("v <> m").distinct()
         e = cut(small, "stars")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("m").alias("id")).distinct()
     return e.select(F.col("v").alias("id"), F.col("m").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 

@@ -13,6 +13,7 @@ Vectors are scaled to length one, so cosine c is distance sqrt(2 - 2c). Three st
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import connected_components, cut, lean
+from kbspark.llm.common import connected_components, cut, join_spread, lean
 
 
 @dataclass(frozen=True)
@@ -221,7 +222,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
     cost a row. Rows of a null ``vec_id`` have a null component, aren't kept and count for nobody. An empty table gives no rows.
 
     Lists and codes are fitted on at most ``sample`` vectors (those with the smallest hashes), with ``list_size`` rows of the table to a
-    list and at most ``most_lists`` lists; all rows are indexed. Lists and probes are cut into tiles of about ``tile`` rows, and a job is
+    list while that makes at most ``most_lists`` lists, and beyond as many lists as the root of the rows; all rows are indexed. Lists and probes are cut into tiles of about ``tile`` rows, and a job is
     one tile of each; it emits counts and labels, never pairs. A list of any size is thus spread over many jobs.
     """
     spark = vectors.sparkSession
@@ -235,7 +236,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
         return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     picked = classes.select("v", F.xxhash64("v").alias("h"), "cls").orderBy("h", "cls").limit(sample).select("v").toArrow()
     x = _matrix(picked["v"].combine_chunks(), dims)
-    quantiser = fit(x, int(min(most_lists, max(1, total // list_size))))
+    quantiser = fit(x, max(1, min(total // list_size, max(most_lists, math.isqrt(total)))))
     sent = spark.sparkContext.broadcast(quantiser)
     if margin is None:
         margin = 0.5 * float(np.sqrt(2 - 2 * least)) + 1e-6
@@ -257,8 +258,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
     counts = links.groupBy("cls").agg(F.sum("n").alias("n"))
     components = connected_components(links, "cls", "low", forests=True)
     of_class = classes.join(counts, "cls", "left").join(components, F.col("cls") == F.col("id"), "left")
-    of_class = of_class.select(F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
-    named = named.withColumn("u", F.when(F.col("vec_id").isNotNull() & usable("v", dims), F.col("v")))
-    out = named.join(of_class, F.col("u") == F.col("w"), "left")
+    # rows find their class by two hashes of the vector, so that vectors needn't move again
+    keys = lambda v: {"k1": F.xxhash64(v), "k2": F.xxhash64(F.lit(1), v)}
+    of_class = of_class.withColumns(keys(F.col("v"))).select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component_id"))
+    fine = F.col("vec_id").isNotNull() & usable("v", dims)
+    keyed = named.select("vec_id", *[F.when(fine, k).alias(c) for c, k in keys(F.col("v")).items()])
+    many = max(20_000, named.count() // 1000)  # fewer than 1,000 vectors have more copies
+    out = join_spread(keyed, of_class, ["k1", "k2"], ["vec_id"], hot=classes.where(F.col("copies") > many).select(*[k.alias(c) for c, k in keys(F.col("v")).items()]))
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

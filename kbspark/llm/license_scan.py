@@ -23,6 +23,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"),
 }
 TERM_PATTERN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Tasks that rows of one text or directory are dealt over.
+SALTS = 16
 LICENCE_FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z0-9]+)?$"
 
 
@@ -61,7 +63,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     is a licence file if its whole text's cosine reaches ``file_least``, or if it has a licence file's name and its text, a line or a passage
     reaches ``header_least``. A file's own header or text comes before what its directory gives; of several directories with a
     licence file the nearest counts, of several such files in one the best. Null or empty texts have no licence of their own; a null path
-    has no directory; rows that repeat are judged alike; an empty table gives no rows.
+    has no directory; rows that repeat are judged alike; an empty table gives no rows; columns of the names that are added are replaced.
 
     Only texts with one of the templates' anchor terms can reach the thresholds (see ``anchors``), so only those are scored, and each
     different text and line once. Directories are joined as distinct values with their ancestors; tables that grow are joined by key.
@@ -85,9 +87,10 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     idf_table = spark.createDataFrame(list(idf.items()) or [("", 0.0)], "term string, idf double")
     anchor = F.lit(r"(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in sorted(wanted)) + r")(?![a-z0-9])") if wanted else None
 
-    keyed = files.withColumn("__key", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    possible = keyed.where(F.rlike(F.lower(text), anchor)) if anchor is not None else keyed.where("false")
-    texts = possible.select("__key", F.col(text).alias("__text")).groupBy("__key").agg(F.first("__text").alias("__text"))
+    rest = [c for c in files.columns if c not in (text, "license", "license_via", "license_score")]
+    keyed = files.select(*rest, F.col(text).alias("__text")).withColumn("__key", F.md5(F.coalesce("__text", F.lit(""))))
+    possible = keyed.where(F.rlike(F.lower("__text"), anchor)) if anchor is not None else keyed.where("false")
+    texts = possible.select("__key", "__text").groupBy("__key").agg(F.first("__text").alias("__text"))
     units = texts.select("__key", F.explode(F.concat(F.transform(F.split("__text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))), F.array(F.struct(F.lit(True).alias("whole"), F.col("__text").alias("unit"))))).alias("u"))
     units = units.select("__key", "u.whole", "u.unit").where(F.rlike(F.lower("unit"), anchor)) if anchor is not None else units.select("__key", "u.whole", "u.unit")
     units = units.withColumn("__unit", F.md5("unit"))
@@ -115,20 +118,21 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", templates: di
     words = words.groupBy("__key", "pos", "template", "name", "dot", "term").agg(F.count("*").alias("tf")).join(F.broadcast(idf_table), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
     passages = words.groupBy("__key", "pos", "template", "name", "dot").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     passages = passages.select("__key", F.lit(False).alias("whole"), F.struct(F.round(F.col("dot") / F.col("length"), 6).alias("score"), "name").alias("best"))
-    of_text = scored.select("__key", "whole", "best").unionByName(passages).groupBy("__key").agg(F.max(F.when(~F.col("whole"), F.col("best"))).alias("header"), F.max(F.when(F.col("whole"), F.col("best"))).alias("file"))
-
-    # a file with no possible licence has a key of its own kind, so that none of them meets in one task
-    placed = keyed.withColumn("__dir", F.regexp_extract(F.coalesce(F.col(path), F.lit("")), "^(.*)/[^/]*$", 1)).withColumn("__file_name", F.coalesce(F.col(path), F.lit("")).rlike(LICENCE_FILE_NAME)).drop(text)
-    own = placed.join(of_text, "__key", "left").drop("__key")
-    best_of = F.greatest("file", "header")
-    as_file = F.when(F.col("__file_name") & (best_of["score"] >= header_least), best_of).when(F.col("file.score") >= file_least, F.col("file"))
-    own = own.withColumns({"__file": as_file, "__header": F.when(F.col("header.score") >= header_least, F.col("header"))}).drop("header", "file", "__file_name")
+    of_text = scored.select("__key", "whole", "best").unionByName(passages).groupBy("__key").agg(F.max(F.when(~F.col("whole"), F.col("best"))).alias("__line"), F.max(F.when(F.col("whole"), F.col("best"))).alias("__whole"))
+
+    # rows of one text, or of one directory, may be any share of the table: they are dealt over SALTS tasks, and the few rows they meet repeated
+    place = F.coalesce(F.col(path), F.lit(""))
+    placed = keyed.withColumns({"__dir": F.regexp_extract(place, "^(.*)/[^/]*$", 1), "__named": place.rlike(LICENCE_FILE_NAME), "__salt": F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int")}).drop("__text")
+    salted = lambda df: df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = placed.join(salted(of_text), ["__key", "__salt"], "left").drop("__key")
+    best_of = F.greatest("__whole", "__line")
+    as_file = F.when(F.col("__named") & (best_of["score"] >= header_least), best_of).when(F.col("__whole.score") >= file_least, F.col("__whole"))
+    own = own.withColumns({"__file": as_file, "__header": F.when(F.col("__line.score") >= header_least, F.col("__line"))}).drop("__line", "__whole", "__named")
     given = own.where("__file is not null and __dir <> ''").groupBy("__dir").agg(F.max("__file").alias("__given"))
     steps = F.split("__dir", "/")
     up = own.select("__dir").where("__dir <> ''").distinct().select("__dir", F.explode(F.sequence(F.lit(1), F.size(steps))).alias("__depth")).withColumn("__up", F.array_join(F.slice(steps, F.lit(1), F.col("__depth")), "/"))
     inherited = up.join(given.withColumnRenamed("__dir", "__up"), "__up").groupBy("__dir").agg(F.max_by("__given", "__depth").alias("__inherited"))
-    out = own.join(inherited, "__dir", "left")
+    out = own.join(salted(inherited), ["__dir", "__salt"], "left")
     pick = F.coalesce("__file", "__header", "__inherited")
     via = F.when(F.col("__file").isNotNull(), "file").when(F.col("__header").isNotNull(), "header").when(F.col("__inherited").isNotNull(), "inherited")
-    rest = [c for c in files.columns if c not in (text, "license", "license_via", "license_score")]
     return out.select(*rest, pick["name"].alias("license"), via.alias("license_via"), pick["score"].alias("license_score"))

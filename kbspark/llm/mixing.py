@@ -53,7 +53,7 @@ def schedule(shares: dict[str, int]) -> list[tuple[str, int, int]]:
 def mix(docs: DataFrame, shares: dict[str, int], other: int = 0, block_chars: int = 100_000, text: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``mix_block`` (its source's block), ``mix_slot`` (the block's place in the mixture) and ``mix_seq`` (its place in the block).
 
-    ``shares`` gives each source's whole weight. Sources without one, the null source among them, share the weight ``other``, or where
+    Columns of these names are replaced. ``shares`` gives each source's whole weight. Sources without one, the null source among them, share the weight ``other``, or where
     that is 0 follow after everything else in slots counted from 2^62. A block is a run of a source's rows, ordered by the MD5 of
     ``doc_id``, in which ``block_chars`` characters begin (null texts have none); a longer text has its block alone. When a source has run out its
     slots stay empty, and the others keep their proportions. No row is dropped or repeated. Rows that agree in id and text length are
@@ -63,6 +63,7 @@ def mix(docs: DataFrame, shares: dict[str, int], other: int = 0, block_chars: in
     within a range, so that a source with a third of all rows still spreads over all tasks.
     """
     spark = docs.sparkSession
+    docs = docs.drop("mix_block", "mix_slot", "mix_seq")
     names = set(shares)
     lane = F.when(F.col("source").isin(*names), F.col("source")) if names else F.lit(None).cast("string")
     keyed = docs.withColumns({"__lane": lane, "__hash": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})

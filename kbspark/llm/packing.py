@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import cut, lean, rows_to_batch, shared_dir, slices, tokenizer_of, utf8_column
+from kbspark.llm.common import cut, lean, new_table, rows_to_batch, slices, tokenizer_of, utf8_column
 
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 PIECE_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -417,7 +416,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end: int = 0,
     index = cut(numbered.select("number", "terms", "tf", "n").mapInArrow(lean(_indexer(stats, shard_ids, shard_docs)), "numbers binary, terms binary, docs binary, weights binary"), "index")
     rest = np.repeat(np.array([r for r, _ in lengths], np.int32), [n for _, n in lengths])
 
-    path = f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    path = new_table(spark, "windows")
     made: list[tuple[int, int, int, int, int]] = []
     count = 0
     ddl = "number long, skip long, length long, sequence_id long, offset long"
@@ -439,9 +438,6 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, end: int = 0,
 
     _assign(spark, index, numbered.select("number", "terms"), rest, window, block, emit)
     write()
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     windows = spark.read.schema(ddl).parquet(path)
     begin = F.col("n") - F.col("rest") + F.col("skip")
     joined = windows.join(numbered.select("number", "doc_id", "n", "ids", "rest"), "number").withColumn("start", begin)

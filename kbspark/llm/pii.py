@@ -1,12 +1,14 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans.
 
-Windows overlap; each is decoded by itself, and every character takes the tag of the window in which it lies farthest from an edge. A span
-of any kind holds an ASCII digit or an ``@``: windows without one can't give a span, and only those aren't decoded.
+Whole texts are cut into overlapping windows; each is decoded by itself, and every character takes the tag of the window in which it lies
+farthest from an edge. The tagger learns the base patterns' spans and forms beyond them (see ``LOOSE_FORMS``): spelled-out or bracketed
+addresses, cards in dots or slashes, and telephone numbers without a plus sign.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 import random
 import re
 from collections.abc import Iterator
@@ -97,107 +99,165 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tagger:
-    """Parameters, as a dictionary of float32 arrays; ``hidden`` cells in each direction."""
+    """Parameters, as a dictionary of float32 arrays; ``hidden`` cells in each direction.
+
+    The second direction reads the window from its end, so one loop runs both: arrays begin with the direction. Gates stand in the order
+    in, forget, out, candidate.
+    """
 
     hidden: int
     p: dict[str, np.ndarray]
 
     @staticmethod
-    def fresh(hidden: int = 16, seed: int = 7) -> Tagger:
+    def fresh(hidden: int = 8, seed: int = 7) -> Tagger:
         rng = np.random.default_rng(seed)
-        p = {}
-        for d in ("f", "b"):
-            p[f"x{d}"] = rng.normal(0, 0.3, (N_CLASSES, 4 * hidden))
-            p[f"h{d}"] = rng.normal(0, 0.2, (hidden, 4 * hidden))
-            p[f"x{d}"][:, hidden : 2 * hidden] += 1.0  # forget gates begin open
-        p["out"] = rng.normal(0, 0.2, (2 * hidden, N_TAGS))
-        p["bias"] = np.zeros(N_TAGS)
-        p["step"] = np.zeros((N_TAGS, N_TAGS))
+        p = {"x": rng.normal(0, 0.3, (2, N_CLASSES, 4 * hidden)), "h": rng.normal(0, 0.2, (2, hidden, 4 * hidden)), "out": rng.normal(0, 0.2, (2 * hidden, N_TAGS)), "bias": np.zeros(N_TAGS), "step": np.zeros((N_TAGS, N_TAGS))}
+        p["x"][:, :, hidden : 2 * hidden] += 1.0  # forget gates begin open
         return Tagger(hidden, {k: v.astype(np.float32) for k, v in p.items()})
 
-    def _run(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states [time, window, hidden] of a direction, and what the gradient needs."""
+    def dump(self) -> bytes:
+        held = io.BytesIO()
+        np.savez(held, **self.p)
+        return held.getvalue()
+
+    @staticmethod
+    def load(raw: bytes) -> Tagger:
+        p = dict(np.load(io.BytesIO(raw)))
+        return Tagger(p["h"].shape[1], p)
+
+    def _run(self, x: np.ndarray, tape: list | None = None) -> np.ndarray:
+        """Hidden states [direction, step, window, hidden]; ``tape`` gets what the gradient needs of each step."""
         n, t = x.shape
-        h, c = np.zeros((n, self.hidden), np.float32), np.zeros((n, self.hidden), np.float32)
-        out, tape, H = np.empty((t, n, self.hidden), np.float32), [], self.hidden
-        steps = range(t) if d == "f" else range(t - 1, -1, -1)
-        for k in steps:
-            z = self.p[f"x{d}"][x[:, k]] + h @ self.p[f"h{d}"]
-            g = _sigmoid(z[:, : 3 * H])
-            a = np.tanh(z[:, 3 * H :])
-            before_h, before_c = h, c
-            c = g[:, H : 2 * H] * c + g[:, :H] * a
-            tc = np.tanh(c)
-            h = g[:, 2 * H :] * tc
-            out[k] = h
-            tape.append((k, g, a, before_h, before_c, tc))
-        return out, tape
+        H = self.hidden
+        # a sigmoid is half a hyperbolic tangent of half its argument and a half: one call makes all gates, and halves move into weights
+        half = np.repeat(np.array([0.5, 1.0], np.float32), [3 * H, H])
+        wx, wh = self.p["x"] * half, self.p["h"] * (0.5 * half)
+        read = np.stack([x.T, x.T[::-1]])
+        out = np.empty((2, t, n, H), np.float32)
+        h, c = np.zeros((2, n, H), np.float32), np.zeros((2, n, H), np.float32)  # h is twice the state until the end
+        z, r, a = np.empty((2, n, 4 * H), np.float32), np.empty((2, n, 4 * H), np.float32), np.empty((2, n, H), np.float32)
+        for k in range(t):
+            for d in (0, 1):
+                np.take(wx[d], read[d, k], axis=0, out=z[d], mode="clip")
+            np.matmul(h, wh, out=r)
+            np.add(z, r, out=z)
+            np.tanh(z, out=z)
+            np.add(z, 1, out=r)  # twice the gates
+            before = (h * np.float32(0.5), c.copy()) if tape is not None else None
+            c *= r[:, :, H : 2 * H]
+            np.multiply(r[:, :, :H], z[:, :, 3 * H :], out=a)
+            c += a
+            c *= 0.5
+            np.tanh(c, out=a)
+            h = np.multiply(r[:, :, 2 * H : 3 * H], a, out=out[:, k])
+            if tape is not None:
+                r *= 0.5
+                r[:, :, 3 * H :] = z[:, :, 3 * H :]
+                tape.append((r.copy(), a.copy(), *before))
+        out *= 0.5
+        return out
+
+    def _emissions(self, out: np.ndarray) -> np.ndarray:
+        H = self.hidden
+        return out[0] @ self.p["out"][:H] + out[1, ::-1] @ self.p["out"][H:] + self.p["bias"]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Emission scores [time, window, tag]."""
-        return np.concatenate([self._run(x, "f")[0], self._run(x, "b")[0]], 2) @ self.p["out"] + self.p["bias"]
+        return self._emissions(self._run(x))
 
     def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best tags [window, time] under the transitions."""
+        """Best tags [window, time] under the transitions.
+
+        A window in which no path that leaves the outside can gain needs no search. What such a path gains is bounded by the best way in at
+        some character and then, whatever the tags before, the best tag at each further one for as long as that adds to it.
+        """
         e = self.scores(x)
+        step = self.p["step"] - self.p["step"][0, 0]
+        enter = further = None
+        for k in range(1, N_TAGS):
+            gain = e[:, :, k] - e[:, :, 0]
+            begun, kept = gain + step[0, k], gain + step[1:, k].max()
+            enter, further = (begun, kept) if enter is None else (np.maximum(enter, begun), np.maximum(further, kept))
+        first = e[0, :, 1:].max(1) - e[0, :, 0]  # a window may begin inside a span
+        back = max(0.0, float(step[1:, 0].max()))
+        rest, most = np.full(x.shape[0], back, np.float32), np.full(x.shape[0], -np.inf, np.float32)
+        for t in range(x.shape[1] - 1, -1, -1):
+            most = np.maximum(most, (enter[t] if t else np.maximum(enter[0], first)) + rest)
+            rest = np.maximum(back, further[t] + rest)
+        live = np.flatnonzero(most > -1e-3)
+        tags = np.zeros((x.shape[0], x.shape[1]), np.int64)
+        if len(live):
+            tags[live] = self._best_paths(e[:, live])
+        return tags
+
+    def _best_paths(self, e: np.ndarray) -> np.ndarray:
         t, n, _ = e.shape
-        best, back = e[0], np.empty((t, n, N_TAGS), np.int8)
+        best = np.ascontiguousarray(e.transpose(0, 2, 1))  # scores of the best paths that end in each tag: [time, tag, window]
+        into = np.ascontiguousarray(self.p["step"].T)[:, :, None]
+        ways, most = np.empty((N_TAGS, N_TAGS, n), np.float32), np.empty((N_TAGS, n), np.float32)
         for k in range(1, t):
-            all_ways = best[:, :, None] + self.p["step"][None]
-            back[k] = all_ways.argmax(1)
-            best = all_ways.max(1) + e[k]
+            np.add(into, best[k - 1][None], out=ways)
+            np.maximum.reduce(ways, axis=1, out=most)
+            best[k] += most
         tags = np.empty((n, t), np.int64)
-        tags[:, -1] = best.argmax(1)
-        for k in range(t - 1, 0, -1):
-            tags[:, k - 1] = back[k][np.arange(n), tags[:, k]]
+        tags[:, -1] = best[-1].argmax(0)
+        for k in range(t - 1, 0, -1):  # only the way back is looked up
+            tags[:, k - 1] = (best[k - 1].T + self.p["step"].T[tags[:, k]]).argmax(1)
         return tags
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood a character, and its gradients."""
         n, t = x.shape
         H = self.hidden
-        (hf, tape_f), (hb, tape_b) = self._run(x, "f"), self._run(x, "b")
-        both = np.concatenate([hf, hb], 2)
-        e = (both @ self.p["out"] + self.p["bias"]).astype(np.float64)
+        tape: list = []
+        out = self._run(x, tape)
+        e = self._emissions(out).astype(np.float64)
         step = self.p["step"].astype(np.float64)
-
-        def lse(v: np.ndarray, axis: int) -> np.ndarray:
-            m = v.max(axis, keepdims=True)
-            return (m + np.log(np.exp(v - m).sum(axis, keepdims=True))).squeeze(axis)
-
-        ahead, behind = np.empty_like(e), np.zeros_like(e)
-        ahead[0] = e[0]
-        for k in range(1, t):
-            ahead[k] = e[k] + lse(ahead[k - 1][:, :, None] + step[None], 1)
-        for k in range(t - 2, -1, -1):
-            behind[k] = lse(step[None] + (e[k + 1] + behind[k + 1])[:, None, :], 2)
-        whole = lse(ahead[-1], 1)
-        rows = np.arange(n)
-        gold = sum(e[k][rows, y[:, k]] for k in range(t)) + sum(step[y[:, k - 1], y[:, k]] for k in range(1, t))
-        de = np.exp(ahead + behind - whole[None, :, None])
-        d_step = np.zeros_like(step)
-        for k in range(1, t):
-            d_step += np.exp(ahead[k - 1][:, :, None] + step[None] + (e[k] + behind[k])[:, None, :] - whole[:, None, None]).sum(0)
-            np.add.at(d_step, (y[:, k - 1], y[:, k]), -1)
+        ways, chances = np.exp(step), np.exp(e - e.max(2, keepdims=True))
+        # forward and backward probabilities, scaled to one at each character
+        ahead, behind, scales = np.empty_like(e), np.empty_like(e), np.empty((t, n))
+        ahead[0] = chances[0]
         for k in range(t):
-            de[k][rows, y[:, k]] -= 1
+            if k:
+                ahead[k] = (ahead[k - 1] @ ways) * chances[k]
+            scales[k] = ahead[k].sum(1)
+            ahead[k] /= scales[k][:, None]
+        behind[-1] = 1
+        for k in range(t - 2, -1, -1):
+            behind[k] = ((chances[k + 1] * behind[k + 1]) @ ways.T) / scales[k + 1][:, None]
+        whole = np.log(scales).sum(0) + e.max(2).sum(0)
+        of_time, of_row = np.arange(t)[:, None], np.arange(n)[None]
+        gold = e[of_time, of_row, y.T].sum(0) + step[y[:, :-1], y[:, 1:]].sum(1)
+        de = ahead * behind
+        later = chances[1:] * behind[1:] / scales[1:][:, :, None]
+        d_step = np.einsum("tni,tnj->ij", ahead[:-1], later) * ways
+        np.add.at(d_step, (y[:, :-1].ravel(), y[:, 1:].ravel()), -1)
+        de[of_time, of_row, y.T] -= 1
         scale = 1 / (n * t)
         de, d_step = (de * scale).astype(np.float32), d_step * scale
-        grad = {"out": np.einsum("tnh,tng->hg", both, de), "bias": de.sum((0, 1)), "step": d_step.astype(np.float32)}
+        both = np.concatenate([out[0], out[1, ::-1]], 2)
+        grad = {"out": np.einsum("tnh,tng->hg", both, de, optimize=True), "bias": de.sum((0, 1)), "step": d_step.astype(np.float32)}
         d_both = de @ self.p["out"].T
-        for d, tape, dh_all in (("f", tape_f, d_both[:, :, :H]), ("b", tape_b, d_both[:, :, H:])):
-            gx, gh = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(self.p[f"h{d}"])
-            dh, dc = np.zeros((n, H), np.float32), np.zeros((n, H), np.float32)
-            for k, g, a, before_h, before_c, tc in reversed(tape):
-                dh = dh + dh_all[k]
-                i, f, o = g[:, :H], g[:, H : 2 * H], g[:, 2 * H :]
-                dc = dc + dh * o * (1 - tc * tc)
-                dz = np.concatenate([dc * a * i * (1 - i), dc * before_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - a * a)], 1)
-                np.add.at(gx, x[:, k], dz)
-                gh += before_h.T @ dz
-                dh = dz @ self.p[f"h{d}"].T
-                dc = dc * f
-            grad[f"x{d}"], grad[f"h{d}"] = gx, gh
+        d_out = np.stack([d_both[:, :, :H], d_both[::-1, :, H:]])
+        dh, dc = np.zeros((2, n, H), np.float32), np.zeros((2, n, H), np.float32)
+        dzs = np.empty((2, t, n, 4 * H), np.float32)
+        gh, back = np.zeros_like(self.p["h"]), self.p["h"].transpose(0, 2, 1)
+        for k in range(t - 1, -1, -1):
+            z, tc, before_h, before_c = tape[k]
+            i, f, o, a = (z[:, :, j * H : (j + 1) * H] for j in range(4))
+            dh += d_out[:, k]
+            dc += dh * o * (1 - tc * tc)
+            dz = dzs[:, k]
+            dz[:, :, :H] = dc * a * i * (1 - i)
+            dz[:, :, H : 2 * H] = dc * before_c * f * (1 - f)
+            dz[:, :, 2 * H : 3 * H] = dh * tc * o * (1 - o)
+            dz[:, :, 3 * H :] = dc * i * (1 - a * a)
+            gh += before_h.transpose(0, 2, 1) @ dz
+            dh = dz @ back
+            dc *= f
+        read = np.stack([x.T, x.T[::-1]]).reshape(2, -1)
+        seen = (read[:, None, :] == np.arange(N_CLASSES)[None, :, None]).astype(np.float32)
+        grad["x"], grad["h"] = seen @ dzs.reshape(2, -1, 4 * H), gh
         return float((whole - gold).sum() * scale), grad
 
 
@@ -223,6 +283,42 @@ def spans_of(tags: np.ndarray) -> list[tuple[str, int, int]]:
     return out
 
 
+#: Forms beyond the base patterns, each a kind and its name.
+LOOSE_FORMS = (
+    ("email", "spelled"), ("email", "bracketed"), ("email", "half bracketed"), ("ip", "spelled"), ("ip", "defanged"), ("card", "dotted"), ("card", "slashed"), ("card", "underscored"),
+    ("phone", "area in brackets"), ("phone", "dashed"), ("phone", "dotted"), ("phone", "trunk zero"), ("phone", "slash"), ("phone", "double zero"), ("phone", "bare"),
+)
+
+
+def loose_form(form: tuple[str, str], rng: random.Random) -> tuple[str, str]:
+    """(kind, text) of a random span in one of ``LOOSE_FORMS``."""
+    kind, name = form
+
+    def digits(n: int) -> str:
+        return "".join(rng.choice("0123456789") for _ in range(n))
+
+    def word() -> str:
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+
+    if kind == "email":
+        local, domain, top = rng.choice((word(), f"{word()}.{word()}", f"{word()}{digits(2)}")), word(), rng.choice(("com", "org", "net", "de", "io"))
+        if name == "spelled":
+            return kind, f"{local.replace('.', ' dot ')} at {domain} dot {top}"
+        left, right = rng.choice(("[]", "()", "{}"))
+        gap = rng.choice(("", " "))
+        if name == "bracketed":
+            return kind, f"{local}{gap}{left}at{right}{gap}{domain}{gap}{left}dot{right}{gap}{top}"
+        return kind, f"{local}{gap}{left}at{right}{gap}{domain}.{top}"
+    if kind == "ip":
+        return kind, (" dot " if name == "spelled" else rng.choice(("[.]", "(.)"))).join(str(rng.randint(0, 255)) for _ in range(4))
+    if kind == "card":
+        body = rng.choice("3456") + digits(14)
+        body += next(c for c in "0123456789" if luhn(body + c))
+        return kind, {"dotted": ".", "slashed": "/", "underscored": "_"}[name].join(body[i : i + 4] for i in range(0, 16, 4))
+    a, b, c = digits(3), digits(3), digits(4)
+    return kind, {"area in brackets": f"({a}) {b}-{c}", "dashed": f"{a}-{b}-{c}", "dotted": f"{a}.{b}.{c}", "trunk zero": f"0{a} {b} {c}", "slash": f"0{a[:2]}/{b}{c}{a[2]}", "double zero": f"00{rng.randint(1, 99)} {a} {b}{c}", "bare": f"{rng.choice('23456789')}{a[1:]}{b}{c}"}[name]
+
+
 def examples(texts: list[str], count: int, window: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Labelled windows: stretches of the texts in which spans of each kind, in many forms, and look-alikes that are none were set.
 
@@ -260,11 +356,8 @@ def examples(texts: list[str], count: int, window: int, seed: int = 11) -> tuple
         return rng.choice((f"version {rng.randint(1, 9)}.{rng.randint(0, 9)}", digits(rng.randint(1, 8)), f"{rng.randint(1, 9)}.{rng.randint(0, 30)}.{rng.randint(0, 30)}", f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"@{word()}", f"{word()} @ {word()}", f"CC BY-NC {rng.randint(1, 4)}.0", f"{digits(2)}:{digits(2)}", f"${digits(3)}.{digits(2)}", f"{word()}{digits(2)}", secret(), secret(), digits(rng.randint(20, 26))))
 
     def looser() -> tuple[str, str]:
-        a, b, c = digits(3), digits(3), digits(4)
-        if rng.random() < 0.6:
-            return "phone", rng.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"0{a} {b} {c}"))
-        number = card().replace(" ", "").replace("-", "")
-        return "card", ".".join(number[i : i + 4] for i in range(0, len(number), 4))
+        """A form that no base pattern matches whole."""
+        return loose_form(rng.choice((*LOOSE_FORMS, *LOOSE_FORMS[:4], LOOSE_FORMS[0], LOOSE_FORMS[0])), rng)  # words are harder to tell from the text around them
 
     makers = {"email": email, "ip": ip, "card": card, "phone": phone}
     xs, ys = [], []
@@ -276,7 +369,7 @@ def examples(texts: list[str], count: int, window: int, seed: int = 11) -> tuple
         t, forced = "", []
         for k, w in enumerate(words):
             if k in places:
-                kind = rng.choice((*KINDS, *KINDS, "looser", None, None, None))
+                kind = rng.choice((*KINDS, "looser", "looser", "looser", "looser", None, None, None))
                 named, put = looser() if kind == "looser" else (None, makers[kind]() if kind else other())
                 if named:
                     forced.append((named, len(t), len(t) + len(put)))
@@ -285,8 +378,9 @@ def examples(texts: list[str], count: int, window: int, seed: int = 11) -> tuple
         t = t[:window].ljust(window)
         if rng.random() < 0.15:
             t = "".join(c.upper() if c.isascii() else c for c in t)
-        spans = base_spans(t)
-        spans += [f for f in forced if f[2] <= window and not any(a < f[2] and f[1] < b for _, a, b in spans)]
+        forced = [f for f in forced if f[2] <= window]
+        # part of a looser form may fit a base pattern: the whole form is what is to be learnt
+        spans = forced + [s for s in base_spans(t) if not any(a < s[2] and s[1] < b for _, a, b in forced)]
         xs.append(classes(t))
         ys.append(tags_of(window, _apart(sorted(spans, key=lambda s: s[1]))))
     return np.array(xs), np.array(ys)
@@ -301,10 +395,10 @@ def _apart(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return out
 
 
-def train(texts: list[str], steps: int = 500, batch: int = 64, window: int = 80, rate: float = 0.02, seed: int = 7) -> Tagger:
+def train(texts: list[str], steps: int = 900, batch: int = 64, window: int = 96, rate: float = 0.02, seed: int = 7) -> Tagger:
     """Adam on labelled windows; everything is seeded."""
     model = Tagger.fresh(seed=seed)
-    x, y = examples(texts, 6000, window)
+    x, y = examples(texts, 12000, window)
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     v = {k: np.zeros_like(w) for k, w in model.p.items()}
@@ -323,12 +417,9 @@ def train(texts: list[str], steps: int = 500, batch: int = 64, window: int = 80,
 
 # --- whole texts -------------------------------------------------------------------------------------------------------------------
 
-_TRIGGER = re.compile(r"[0-9@]")
-
-
-def tag_text(model: Tagger, texts: list[str], window: int = 128, stride: int = 64, most: int = 2048) -> list[np.ndarray | None]:
-    """Tags of whole texts, None for those without a digit or ``@``. At most ``most`` windows are decoded at once."""
-    out: list[np.ndarray | None] = []
+def tag_text(model: Tagger, texts: list[str], window: int = 512, stride: int = 448, most: int = 384) -> list[np.ndarray]:
+    """Tags of whole texts, every character of them decoded. At most ``most`` windows are decoded at once."""
+    out = [np.zeros(len(t), np.int8) for t in texts]
     todo: list[tuple[int, int, np.ndarray]] = []
 
     def flush() -> None:
@@ -344,42 +435,48 @@ def tag_text(model: Tagger, texts: list[str], window: int = 128, stride: int = 6
         todo.clear()
 
     for i, t in enumerate(texts):
-        hits = np.array([m.start() for m in _TRIGGER.finditer(t)])
-        if not len(hits):
-            out.append(None)
-            continue
-        out.append(np.zeros(len(t), np.int64))
         x = classes(t)
-        # windows begin at multiples of the stride; each hit is in two of them
-        first = np.unique(np.concatenate([hits // stride, np.maximum(hits // stride - 1, 0)]))
-        for k in first.tolist():
-            w = x[k * stride : k * stride + window]
-            todo.append((i, k * stride, np.pad(w, (0, window - len(w)), constant_values=_CLASS[32])))
+        for start in range(0, max(1, len(t) - (window - stride)) if t else 0, stride):
+            w = np.full(window, _CLASS[32])
+            part = x[start : start + window]
+            w[: len(part)] = part
+            todo.append((i, start, w))
             if len(todo) >= most:
                 flush()
     flush()
     return out
 
 
+_AT = r"(?:@|\s*[\[({]\s*(?:at|@)\s*[\])}]\s*|\s+at\s+)"
+_DOT = r"(?:\.|\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+dot\s+)"
+_ADDRESS = re.compile(rf"[a-z0-9_%+-]+(?:{_DOT}[a-z0-9_%+-]+)*{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+", re.I)
+_FOUR_PARTS = re.compile(rf"[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}", re.I)
+_ASCII_DIGITS = re.compile(r"[0-9]+")
+
+
 def _valid(kind: str, s: str) -> bool:
-    """What a span of the kind must hold, so that a stray tag adds nothing."""
-    n = sum("0" <= c <= "9" for c in s)
+    """What a span of the kind must mean, however it is written, so that a stray tag adds nothing."""
+    digits = "".join(_ASCII_DIGITS.findall(s))
     if kind == "email":
-        return "@" in s[1:-1] and "." in s[s.index("@") :]
+        return _ADDRESS.fullmatch(s) is not None
     if kind == "ip":
-        return s.count(".") == 3 and 4 <= n <= 12
+        return _FOUR_PARTS.fullmatch(s) is not None and all(int(x) <= 255 for x in _ASCII_DIGITS.findall(s))
     if kind == "card":
-        return 12 <= n <= 19 and luhn("".join(c for c in s if "0" <= c <= "9"))
-    return 9 <= n <= 15 and s[0] in "+(0123456789"
+        return 12 <= len(digits) <= 19 and luhn(digits) and not set(s) - set("0123456789 .-/_")
+    return 9 <= len(digits) <= 15 and not set(s) - set("0123456789 ().-/+")
 
 
 def find_spans(model: Tagger, texts: list[str]) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text: what the model finds is added where it overlaps no base span and is whole and well-formed."""
     out = []
     for t, tags in zip(texts, tag_text(model, texts)):
-        base = base_spans(t) if tags is not None else []
+        base = base_spans(t) if "@" in t or _ASCII_DIGITS.search(t) else []
         extra = []
-        for kind, start, end in spans_of(tags) if tags is not None else ():
+        for kind, start, end in spans_of(tags) if tags.any() else ():
+            while end > start and not t[end - 1].isalnum():
+                end -= 1
+            while start < end and not t[start].isalnum() and t[start] not in "+(":
+                start += 1
             clear = not any(a < end and start < b for _, a, b in base)
             whole = (start == 0 or not t[start - 1].isalnum()) and (end == len(t) or not t[end].isalnum())
             if clear and whole and _valid(kind, t[start:end]):
@@ -407,14 +504,29 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[free:]])
 
 
+#: Characters of a stretch of text, and stretches taken of each text of the sample.
+STRETCH, STRETCHES = 160, 16
+
+
 def fit(docs: DataFrame, sample: int = 400) -> Tagger:
-    """Train on windows of at most ``sample`` texts (those whose text hashes are smallest): the surroundings into which labelled spans are set."""
+    """Train, in one task, on stretches of at most ``sample`` texts (those whose text hashes are smallest): the surroundings into which labelled spans are set.
+
+    ``STRETCHES`` places of each text, dealt by its hash over its whole length, give ``STRETCH`` characters each, so that the sample is
+    bounded however long the texts are. Only the parameters come to the driver.
+    """
     hashed = docs.where("text <> ''").select("text", F.xxhash64("text").alias("h"))
-    # hashes alone are ordered; at most ``sample`` of them are broadcast, and each text comes once
+    # hashes alone are ordered; at most ``sample`` of them are broadcast
     chosen = hashed.select("h").distinct().orderBy("h").limit(sample)
-    found = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("t")).toArrow()
-    texts = [t for _, t in sorted(zip(found["h"].to_pylist(), found["t"].to_pylist()))]
-    return train(texts)
+    at = lambda k: F.pmod(F.xxhash64("h", k), F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1).cast("int") + 1
+    places = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda k: F.substring(F.col("text"), at(k), F.lit(STRETCH)))
+    found = hashed.join(F.broadcast(chosen), "h").select("h", places.alias("parts")).groupBy("h").agg(F.min("parts").alias("parts"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [t for batch in batches for parts in batch.column(1).to_pylist() for t in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([train(texts).dump()], pa.binary())], names=["model"])
+
+    got = found.repartition(1).sortWithinPartitions("h").mapInArrow(lean(learn), "model binary").first()
+    return Tagger.load(got["model"]) if got else train([])
 
 
 def detect(docs: DataFrame, model: Tagger | None = None, sample: int = 400) -> DataFrame:
@@ -423,15 +535,16 @@ def detect(docs: DataFrame, model: Tagger | None = None, sample: int = 400) -> D
     Columns of these names are replaced. Null texts are empty and stay null when redacted; every row is judged for itself, so nulls and
     repeats in other columns don't matter; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs, sample))
+    raw = docs.sparkSession.sparkContext.broadcast((model or fit(docs, sample)).dump())
     plain = docs.drop("base_spans", "spans", "redacted")
 
     @F.arrow_udf("struct<base_spans string, spans string, redacted string>")
     def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from lean(lambda parts: (one(c.to_pylist()) for c in parts))(columns)
+        tagger = Tagger.load(raw.value)
+        yield from lean(lambda parts: (one(tagger, c.to_pylist()) for c in parts))(columns)
 
-    def one(texts: list[str | None]) -> pa.Array:
-        found = find_spans(sent.value, [t or "" for t in texts])
+    def one(tagger: Tagger, texts: list[str | None]) -> pa.Array:
+        found = [f for i in range(0, len(texts), 250) for f in find_spans(tagger, [t or "" for t in texts[i : i + 250]])]
         parts = [[written(b) for b, _ in found], [written(s) for _, s in found], [t if t is None or not s else redact(t, s) for t, (_, s) in zip(texts, found)]]
         return pa.StructArray.from_arrays([pa.array(p, pa.string()) for p in parts], ["base_spans", "spans", "redacted"])
 

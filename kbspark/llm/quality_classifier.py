@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import PieceTable, lean
+from kbspark.llm.common import PieceTable, lean, slices, utf8_column
 
 _TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -54,8 +54,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + self.weights[index] @ value, -35, 35)))
 
 
-def train(texts: list[bytes], labels: list[int], bits: int = 18, updates: int = 20_000, balance: float = 0.9, alpha: float = 0.8, beta: float = 1.0, l1: float = 0.02, l2: float = 0.2) -> Model:
-    """FTRL-proximal logistic regression in the given order, at least three times and about ``updates`` rows in all.
+def train(seen: list[tuple[np.ndarray, np.ndarray]], labels: list[int], bits: int = 18, updates: int = 20_000, balance: float = 0.9, alpha: float = 0.8, beta: float = 1.0, l1: float = 0.02, l2: float = 0.2) -> Model:
+    """FTRL-proximal logistic regression over rows' ``features`` in the given order, at least three times and about ``updates`` rows in all.
 
     Of two labels the rarer one's rows weigh more, by the ratio of their numbers to the power ``balance``.
 
@@ -68,7 +68,6 @@ def train(texts: list[bytes], labels: list[int], bits: int = 18, updates: int =
     ratio = (share / (1 - share)) ** balance
     weigh = (max(ratio, 1.0), max(1 / ratio, 1.0))
     bias = float(np.log(share / (1 - share))) * (1 - balance)
-    seen = [features(t, bits) for t in texts]
     bias_n = 1.0
     for _ in range(min(60, max(3, updates // len(labels)))):
         for (index, value), y in zip(seen, labels):
@@ -92,19 +91,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 6000, **training) -> Model:
-    """Train on at most ``sample`` labelled rows that aren't held out: those whose ids have the smallest hashes.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 6000, sample_features: int = 16_000_000, bits: int = 18, **training) -> Model:
+    """Train, in one task, on at most ``sample`` labelled rows that aren't held out: those whose ids have the smallest hashes.
 
-    ``sample`` is the documented bound of what comes to the driver. Null labels, ids and texts don't count; an id labelled both ways
-    counts as 0, and of rows with the same id one is used.
+    Texts become features where they lie; the training task holds at most ``sample_features`` of them (12 bytes each), the rows that
+    would exceed that being left out, and only the weights come to the driver. Null labels, ids and texts don't count; an id labelled both
+    ways counts as 0, and of rows with the same id one is used.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).cast("int").alias("__y"))
     chosen = known.withColumn("__h", F.xxhash64("doc_id")).orderBy("__h", "doc_id").limit(sample)
     # at most ``sample`` rows
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__y").alias("y"), F.first("__h").alias("h")).toArrow()
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["h"][i].as_py(), rows["doc_id"][i].as_py()))
-    texts, ys = rows["text"].cast(pa.binary()).to_pylist(), rows["y"].to_pylist()
-    return train([texts[i] for i in order], [ys[i] for i in order], **training)
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__y").alias("y"), F.first("__h").alias("h"))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            got = [features(t, bits) for t in utf8_column(batch, "text")]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("h", "doc_id", "y")]
+            raw = [pa.array([x.astype(t).tobytes() for x in part], pa.binary()) for part, t in zip(zip(*got), (np.int32, np.float64))]
+            yield pa.RecordBatch.from_arrays([*columns, *raw], names=["h", "doc_id", "y", "at", "value"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, ys, left = [], [], sample_features
+        for batch in batches:
+            for y, at, value in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                if len(at) // 4 <= left:
+                    left -= len(at) // 4
+                    seen.append((np.frombuffer(at, np.int32), np.frombuffer(value, np.float64)))
+                    ys.append(y)
+        model = train(seen, ys, bits, **training)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
+
+    described = rows.mapInArrow(lean(describe), "h long, doc_id long, y int, at binary, value binary")
+    got = described.repartition(1).sortWithinPartitions("h", "doc_id").mapInArrow(lean(learn), "weights binary, bias double").first()
+    return Model(bits, np.frombuffer(got["weights"]), got["bias"]) if got else train([], [], bits)
 
 
 def score_column(model: Model, docs: DataFrame, text: str = "text") -> Column:

@@ -13,6 +13,8 @@ from kbspark.llm.common import WORD_PATTERN, cut
 
 #: The measures that thresholds are set for (whole numbers, in thousandths) and the least spread that counts as ordinary.
 MEASURES = {"symbol_pm": 15, "capital_pm": 40, "repeat_pm": 60, "line_pm": 75, "word_length_pm": 1000}
+#: The counts that they are made from.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words")
 _SPACE = r"\x20\x09-\x0D"
 
 
@@ -39,14 +41,14 @@ def _covered(pairs: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with the word counts of the whole text and the measures (see ``MEASURES``).
+    """``docs`` without its text, with the word counts of the whole text (``COUNTS``) and the measures (see ``MEASURES``); columns of these names are replaced.
 
     Null and empty texts have no words and zeros. A window is told by a 64-bit hash of its three words.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.split(F.btrim(t, F.lit(" \t\n\x0b\f\r")), f"[{_SPACE}]+")
     lines = F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != "")
-    rest = [c for c in docs.columns if c != text]
+    rest = [c for c in docs.columns if c not in (text, *COUNTS, *MEASURES)]
     base = docs.select(
         *rest,
         F.when(F.btrim(t, F.lit(" \t\n\x0b\f\r")) == "", F.array().cast("array<string>")).otherwise(words).alias("__words"),
@@ -114,10 +116,10 @@ def judge(docs: DataFrame, text: str = "text", least: int = 200, width: int = 4)
 
     A document fails the base rules with under 50 words or with over half of its words in repeated three-word windows. Of the rest it is
     kept unless a measure lies above its group's threshold. Null languages and sources are groups of their own; repeated rows count each;
-    an empty table gives no rows. The measures are written once and read for both the sketches and the filter. The thresholds, a row for
+    an empty table gives no rows; columns of the names that are added are replaced. The measures are written once and read for both the sketches and the filter. The thresholds, a row for
     each language and source, meet the rows by a join that Spark may broadcast by size and whose hot keys adaptive execution splits.
     """
-    measured = cut(measure(docs, text), "measures")
+    measured = cut(measure(docs.drop("base_failed", "kept"), text), "measures")
     high = thresholds(sketch(measured, ["lang", "source"]), least, width)
     wide = high.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("high"))).alias(f"high_{m}") for m in MEASURES])
     wide = wide.withColumnsRenamed({"lang": "__lang", "source": "__source"})

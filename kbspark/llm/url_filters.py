@@ -61,7 +61,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     placed = pages.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
     judged = judge_paths(placed.select("host", "path").distinct(), rules)
     # the third key gives both sides an exchange of their own, so that adaptive execution can split a place with very many rows
-    judged = judged.withColumn("path_chars", F.length("path"))
-    out = placed.withColumn("path_chars", F.length("path")).join(judged, ["host", "path", "path_chars"], "left")
+    judged = judged.withColumn("__path_chars", F.length("path"))
+    out = placed.withColumn("__path_chars", F.length("path")).join(judged, ["host", "path", "__path_chars"], "left")
     kept = [c for c in placed.columns]
     return out.select(*kept, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
