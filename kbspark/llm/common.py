@@ -56,8 +56,13 @@ def scratch(spark: SparkSession):
         yield
     finally:
         for path in _SCRATCH.pop():
-            files, target = _hadoop(spark, path)
-            files.delete(target, True)
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    files, target = _hadoop(spark, path)
+    files.delete(target, True)
 
 
 def cut(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
