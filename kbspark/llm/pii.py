@@ -67,6 +67,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: Tags: outside, then beginning and inside of each kind.
 N_TAGS = 1 + 2 * len(KINDS)
+#: An inside tag follows its own kind's tags only, and a beginning the outside.
+_FORBIDDEN = np.zeros((N_TAGS, N_TAGS), np.float32)
+for _k in range(2, N_TAGS, 2):
+    _FORBIDDEN[:, _k] = -1e4
+    _FORBIDDEN[_k - 1 : _k + 1, _k] = 0
+    _FORBIDDEN[1:, _k - 1] = -1e4
 _CLASSES = "@.+-()_%=\"' ,:;/\n#*&$|<>!?[]{}"
 
 
@@ -125,6 +131,11 @@ class Tagger:
         p = dict(np.load(io.BytesIO(raw)))
         return Tagger(p["h"].shape[1], p)
 
+    @property
+    def step(self) -> np.ndarray:
+        """Transition scores, from rows to columns."""
+        return self.p["step"] + _FORBIDDEN
+
     def _run(self, x: np.ndarray, tape: list | None = None) -> np.ndarray:
         """Hidden states [direction, step, window, hidden]; ``tape`` gets what the gradient needs of each step."""
         n, t = x.shape
@@ -162,30 +173,31 @@ class Tagger:
         return out[0] @ self.p["out"][:H] + out[1, ::-1] @ self.p["out"][H:] + self.p["bias"]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        """Emission scores [time, window, tag]."""
-        return self._emissions(self._run(x))
+        """Emission scores [time, window, tag]; what stands before a window counts as outside."""
+        e = self._emissions(self._run(x))
+        e[0] += self.step[0]
+        return e
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Best tags [window, time] under the transitions.
 
-        A window in which no path that leaves the outside can gain needs no search. What such a path gains is bounded by the best way in at
-        some character and then, whatever the tags before, the best tag at each further one for as long as that adds to it.
+        A path that leaves the outside is a row of spans with some of it between them. A window in which no span gains, wherever it begins
+        and ends, needs no search.
         """
         e = self.scores(x)
-        step = self.p["step"] - self.p["step"][0, 0]
-        enter = further = None
-        for k in range(1, N_TAGS):
-            gain = e[:, :, k] - e[:, :, 0]
-            begun, kept = gain + step[0, k], gain + step[1:, k].max()
-            enter, further = (begun, kept) if enter is None else (np.maximum(enter, begun), np.maximum(further, kept))
-        first = e[0, :, 1:].max(1) - e[0, :, 0]  # a window may begin inside a span
-        back = max(0.0, float(step[1:, 0].max()))
-        rest, most = np.full(x.shape[0], back, np.float32), np.full(x.shape[0], -np.inf, np.float32)
-        for t in range(x.shape[1] - 1, -1, -1):
-            most = np.maximum(most, (enter[t] if t else np.maximum(enter[0], first)) + rest)
-            rest = np.maximum(back, further[t] + rest)
-        live = np.flatnonzero(most > -1e-3)
-        tags = np.zeros((x.shape[0], x.shape[1]), np.int64)
+        step = self.step - self.step[0, 0]
+        begin, inside = (np.ascontiguousarray((e[:, :, k::2] - e[:, :, :1]).transpose(0, 2, 1)) for k in (1, 2))  # [time, kind, window]
+        begin[1:] += step[0, 1::2][:, None]
+        inside += np.maximum(np.diagonal(step[1::2, 2::2]), np.diagonal(step[2::2, 2::2]))[:, None]
+        gain = begin[0].copy()
+        most = gain.copy()
+        for k in range(1, x.shape[1]):
+            gain += inside[k]
+            np.maximum(gain, begin[k], out=gain)
+            np.maximum(most, gain, out=most)
+        most = np.maximum(most + np.maximum(step[1::2, 0], step[2::2, 0])[:, None], gain)  # a span may also go on at the end
+        live = np.flatnonzero(most.max(0) > -1e-3)
+        tags = np.zeros(x.shape, np.int64)
         if len(live):
             tags[live] = self._best_paths(e[:, live])
         return tags
@@ -193,7 +205,7 @@ class Tagger:
     def _best_paths(self, e: np.ndarray) -> np.ndarray:
         t, n, _ = e.shape
         best = np.ascontiguousarray(e.transpose(0, 2, 1))  # scores of the best paths that end in each tag: [time, tag, window]
-        into = np.ascontiguousarray(self.p["step"].T)[:, :, None]
+        into = np.ascontiguousarray(self.step.T)[:, :, None]
         ways, most = np.empty((N_TAGS, N_TAGS, n), np.float32), np.empty((N_TAGS, n), np.float32)
         for k in range(1, t):
             np.add(into, best[k - 1][None], out=ways)
@@ -202,7 +214,7 @@ class Tagger:
         tags = np.empty((n, t), np.int64)
         tags[:, -1] = best[-1].argmax(0)
         for k in range(t - 1, 0, -1):  # only the way back is looked up
-            tags[:, k - 1] = (best[k - 1].T + self.p["step"].T[tags[:, k]]).argmax(1)
+            tags[:, k - 1] = (best[k - 1].T + into[tags[:, k], :, 0]).argmax(1)
         return tags
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -212,7 +224,7 @@ class Tagger:
         tape: list = []
         out = self._run(x, tape)
         e = self._emissions(out).astype(np.float64)
-        step = self.p["step"].astype(np.float64)
+        step = self.step.astype(np.float64)
         ways, chances = np.exp(step), np.exp(e - e.max(2, keepdims=True))
         # forward and backward probabilities, scaled to one at each character
         ahead, behind, scales = np.empty_like(e), np.empty_like(e), np.empty((t, n))
@@ -395,10 +407,10 @@ def _apart(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return out
 
 
-def train(texts: list[str], steps: int = 900, batch: int = 64, window: int = 96, rate: float = 0.02, seed: int = 7) -> Tagger:
+def train(texts: list[str], steps: int = 1300, batch: int = 64, window: int = 96, rate: float = 0.02, seed: int = 7) -> Tagger:
     """Adam on labelled windows; everything is seeded."""
     model = Tagger.fresh(seed=seed)
-    x, y = examples(texts, 12000, window)
+    x, y = examples(texts, 20000, window)
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     v = {k: np.zeros_like(w) for k, w in model.p.items()}
@@ -417,14 +429,12 @@ def train(texts: list[str], steps: int = 900, batch: int = 64, window: int = 96,
 
 # --- whole texts -------------------------------------------------------------------------------------------------------------------
 
-def tag_text(model: Tagger, texts: list[str], window: int = 512, stride: int = 448, most: int = 384) -> list[np.ndarray]:
-    """Tags of whole texts, every character of them decoded. At most ``most`` windows are decoded at once."""
+def tag_text(model: Tagger, texts: list[str], window: int = 512, stride: int = 448, most: int = 384, step: int = 128) -> list[np.ndarray]:
+    """Tags of whole texts, every character of them decoded. At most ``most`` windows are decoded at once; a text's last one is padded to a multiple of ``step``."""
     out = [np.zeros(len(t), np.int8) for t in texts]
-    todo: list[tuple[int, int, np.ndarray]] = []
+    waiting: dict[int, list[tuple[int, int, np.ndarray]]] = {}
 
-    def flush() -> None:
-        if not todo:
-            return
+    def flush(todo: list[tuple[int, int, np.ndarray]]) -> None:
         found = model.decode(np.array([w for _, _, w in todo]))
         for (i, start, _), tags in zip(todo, found):
             # the middle of a window is its own; a text's first and last characters belong to the windows that begin and end it
@@ -437,16 +447,32 @@ def tag_text(model: Tagger, texts: list[str], window: int = 512, stride: int = 4
     for i, t in enumerate(texts):
         x = classes(t)
         for start in range(0, max(1, len(t) - (window - stride)) if t else 0, stride):
-            w = np.full(window, _CLASS[32])
             part = x[start : start + window]
+            w = np.full(-(-len(part) // step) * step, _CLASS[32])
             w[: len(part)] = part
+            todo = waiting.setdefault(len(w), [])
             todo.append((i, start, w))
             if len(todo) >= most:
-                flush()
-    flush()
+                flush(todo)
+    for todo in waiting.values():
+        if todo:
+            flush(todo)
     return out
 
 
+def _portions(texts: list[str | None], rows: int = 1000, chars: int = 4_000_000) -> Iterator[list[str]]:
+    """Runs of at most ``rows`` texts and about ``chars`` characters (or one text); nulls are empty."""
+    held, size = [], 0
+    for t in texts:
+        if held and (len(held) >= rows or size + len(t or "") > chars):
+            yield held
+            held, size = [], 0
+        held.append(t or "")
+        size += len(t or "")
+    if held:
+        yield held
+
+
 _AT = r"(?:@|\s*[\[({]\s*(?:at|@)\s*[\])}]\s*|\s+at\s+)"
 _DOT = r"(?:\.|\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+dot\s+)"
 _ADDRESS = re.compile(rf"[a-z0-9_%+-]+(?:{_DOT}[a-z0-9_%+-]+)*{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+", re.I)
@@ -544,7 +570,7 @@ def detect(docs: DataFrame, model: Tagger | None = None, sample: int = 400) -> D
         yield from lean(lambda parts: (one(tagger, c.to_pylist()) for c in parts))(columns)
 
     def one(tagger: Tagger, texts: list[str | None]) -> pa.Array:
-        found = [f for i in range(0, len(texts), 250) for f in find_spans(tagger, [t or "" for t in texts[i : i + 250]])]
+        found = [f for part in _portions(texts) for f in find_spans(tagger, part)]
         parts = [[written(b) for b, _ in found], [written(s) for _, s in found], [t if t is None or not s else redact(t, s) for t, (_, s) in zip(texts, found)]]
         return pa.StructArray.from_arrays([pa.array(p, pa.string()) for p in parts], ["base_spans", "spans", "redacted"])
 

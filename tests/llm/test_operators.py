@@ -636,3 +636,25 @@ def test_pipeline(spark, data, docs):
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == set(groups.values())
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame.limit(0), data).count() == 0, name
+    whole = corpus_pipeline.run(spark, data).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert Counter({r.doc_id: r.n for r in whole}) == Counter({r.doc_id: r.n for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()})
+
+
+def test_pipeline_on_awkward_rows(spark, data, odd):
+    """Nulls, empty and long texts, repeated ids and rows: what each stage does with them, and that all but the last return the columns of documents."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    frame = odd.select(*corpus_pipeline.COLUMNS)
+    rows = Counter(map(tuple, frame.collect()))
+    results = {name: stage(spark, odd, data) for name, stage in corpus_pipeline.STAGES}
+    assert all(r.columns == list(corpus_pipeline.COLUMNS) for r in list(results.values())[:-1])
+    assert not Counter(map(tuple, results["quality classifier"].collect())) - rows
+    unique = results["near duplicates"].collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in unique if r.doc_id not in (5, 6)) == sorted((k[0] or 0, k[1] or "") for k in rows if k[0] not in (5, 6)) and [r.doc_id for r in unique if r.doc_id in (5, 6)] == [5]
+    two = spark.createDataFrame([(1, "a text of more than five words", "en", "b", 1), (1, "something else that has another text altogether", "en", "a", 1), (1, "a text of more than five words", "de", "b", 1)], frame.schema)
+    assert sorted((r.text[:4], r.lang) for r in stages["near duplicates"](spark, two, data).collect()) == [("a te", "de"), ("some", "en")]
+    masked = results["personal data"].collect()
+    assert len(masked) == sum(rows.values()) and sum(r.text is None for r in masked) == sum(k[1] is None for k in rows.elements())
+    assert Counter(map(tuple, results["source mixing"].collect())) == rows
+    assert results["retrieval packing"].groupBy().agg(F.sum("length")).first()[0] >= sum(rows.values())
