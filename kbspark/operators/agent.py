@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Ranks of a requirement's states, and the importance from which a requirement must be met.
 RANKS = {"MISSING": 0, "PARTIAL": 1, "SUPPORTED": 2}
 HIGH_IMPORTANCE, NO_PROGRESS_ROUNDS = 0.8, 3
-ALIASES = {"SUPPORT": "SUPPORTED", "COMPLETE": "SUPPORTED", "FULL": "SUPPORTED", "NONE": "MISSING", "EMPTY": "MISSING"}
+ALIASES = {"PARTIALLY": "PARTIAL", "NONE": "MISSING", "EMPTY": "MISSING"}
 
 
 def rank(status: Column) -> Column:
@@ -19,6 +19,7 @@ def rank(status: Column) -> Column:
 
 
 def normalize_status(status: Column) -> Column:
+    """A known state or alias of one, in any case; everything else is PARTIAL, so that no unclear answer counts as supported."""
     s = F.upper(F.trim(F.coalesce(status, F.lit(""))))
     out = F
     for k, v in ALIASES.items():

@@ -18,7 +18,7 @@ def _prefixed(boxes: DataFrame, p: str) -> DataFrame:
 
 
 def overlaps(a: DataFrame, b: DataFrame, cell: float = 100.0) -> DataFrame:
-    """Pairs of boxes of one page that share an area, with ``share`` (of a's area).
+    """Pairs of boxes of one page of a document that share an area, with ``share`` (of a's area).
 
     Boxes are dealt to the grid cells that they touch, so that only boxes with a common cell are compared; a pair counts in the first cell of both.
     """
@@ -26,22 +26,22 @@ def overlaps(a: DataFrame, b: DataFrame, cell: float = 100.0) -> DataFrame:
         span = lambda lo, hi: F.sequence(F.floor(F.col(f"{p}{lo}") / cell), F.floor(F.col(f"{p}{hi}") / cell))
         return _prefixed(x, p).withColumn(f"{p}cx", F.explode(span("x0", "x1"))).withColumn(f"{p}cy", F.explode(span("top", "bottom")))
 
-    j = dealt(a, "a_").join(dealt(b, "b_"), (F.col("a_page") == F.col("b_page")) & (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy")))
+    j = dealt(a, "a_").join(dealt(b, "b_"), (F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_page") == F.col("b_page")) & (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy")))
     first = (F.floor(F.greatest("a_x0", "b_x0") / cell) == F.col("a_cx")) & (F.floor(F.greatest("a_top", "b_top") / cell) == F.col("a_cy"))
     shared = T.overlap_area("a_", "b_")
     return j.where(first & (shared > 0)).withColumn("share", F.round(shared / T.box_area("a_"), 6)).drop("a_cx", "a_cy", "b_cx", "b_cy")
 
 
 def best_overlap(a: DataFrame, b: DataFrame, least: float = 0.0) -> DataFrame:
-    """(a_id, b_id, share): for each box of ``a`` the box of ``b`` that covers most of it, from ``least`` on."""
+    """(doc_id, a_id, b_id, share): for each box of ``a`` the box of ``b`` that covers most of it, from ``least`` on."""
     pairs = overlaps(a, b).where(F.col("share") >= least)
-    return pairs.groupBy("a_id").agg(F.max(F.struct("share", (-F.col("b_id")).alias("o"))).alias("x")).select("a_id", (-F.col("x.o")).alias("b_id"), "x.share")
+    return pairs.groupBy(F.col("a_doc_id").alias("doc_id"), "a_id").agg(F.max(F.struct("share", (-F.col("b_id")).alias("o"))).alias("x")).select("doc_id", "a_id", (-F.col("x.o")).alias("b_id"), "x.share")
 
 
 def repeated_texts(boxes: DataFrame, kinds: tuple[str, ...] = ("header", "footer", "reference")) -> DataFrame:
-    """Boxes without the texts of these layout kinds that occur more than once."""
-    often = boxes.where(F.col("layout_type").isin(*kinds)).groupBy("text").count().where("count > 1").select("text")
-    return boxes.join(often, "text", "left_anti")
+    """Boxes without the texts of these layout kinds that occur more than once in their document."""
+    often = boxes.where(F.col("layout_type").isin(*kinds)).groupBy("doc_id", "text").count().where("count > 1").select("doc_id", "text")
+    return boxes.join(often, ["doc_id", "text"], "left_anti")
 
 
 def global_tops(boxes: DataFrame, pages: DataFrame) -> DataFrame:
@@ -124,20 +124,20 @@ def greedy_labels(indices: list[int], blank: int = 0) -> list[int]:
 
 
 def tightest_column(boxes: DataFrame, columns: DataFrame) -> DataFrame:
-    """(a_id, b_id): for each box the column of the same page that overlaps it vertically and lies nearest by an edge or the middle."""
+    """(doc_id, a_id, b_id): for each box the column of the same page that overlaps it vertically and lies nearest by an edge or the middle."""
     a, b = _prefixed(boxes, "a_"), _prefixed(columns, "b_")
-    meets = (F.col("a_page") == F.col("b_page")) & (F.least("a_bottom", "b_bottom") > F.greatest("a_top", "b_top"))
+    meets = (F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_page") == F.col("b_page")) & (F.least("a_bottom", "b_bottom") > F.greatest("a_top", "b_top"))
     near = a.join(b, meets).withColumn("d", T.x_distance("a_", "b_"))
-    return near.groupBy("a_id").agg(F.min(F.struct("d", "b_id")).alias("x")).select("a_id", "x.b_id")
+    return near.groupBy(F.col("a_doc_id").alias("doc_id"), "a_id").agg(F.min(F.struct("d", "b_id")).alias("x")).select("doc_id", "a_id", "x.b_id")
 
 
 def captions_to_regions(captions: DataFrame, regions: DataFrame) -> DataFrame:
-    """(a_id, b_id): each caption's nearest table or figure of its page, by the squared distance of the middles. Pages are the join key."""
+    """(doc_id, a_id, b_id): each caption's nearest table or figure of its page, by the squared distance of the middles. A document's pages are the join key."""
     a, b = _prefixed(captions, "a_"), _prefixed(regions, "b_")
     middle = lambda p, lo, hi: (F.col(f"{p}{lo}") + F.col(f"{p}{hi}")) / 2
     d = F.pow(middle("a_", "x0", "x1") - middle("b_", "x0", "x1"), F.lit(2)) + F.pow(middle("a_", "top", "bottom") - middle("b_", "top", "bottom"), F.lit(2))
-    near = a.join(b, F.col("a_page") == F.col("b_page")).withColumn("d", d)
-    return near.groupBy("a_id").agg(F.min(F.struct("d", "b_id")).alias("x")).select("a_id", "x.b_id")
+    near = a.join(b, (F.col("a_doc_id") == F.col("b_doc_id")) & (F.col("a_page") == F.col("b_page"))).withColumn("d", d)
+    return near.groupBy(F.col("a_doc_id").alias("doc_id"), "a_id").agg(F.min(F.struct("d", "b_id")).alias("x")).select("doc_id", "a_id", "x.b_id")
 
 
 #: Fixed value: layout kinds in the order in which they claim a box.
@@ -148,8 +148,8 @@ def tag(boxes: DataFrame, regions: DataFrame, least: float = 0.4) -> DataFrame:
     """Boxes with the kind of the region that covers at least ``least`` of them; of several kinds the first in ``CLAIM_ORDER``, of one the largest cover."""
     order = F.coalesce(*[F.when(F.col("b_layout_type") == k, F.lit(i)) for i, k in enumerate(CLAIM_ORDER)], F.lit(len(CLAIM_ORDER)))
     hits = overlaps(boxes.drop("layout_type"), regions).where(F.col("share") >= least)
-    best = hits.groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct(order.alias("o"), (-F.col("share")).alias("s"), F.col("b_layout_type").alias("kind"))).alias("x")).select("id", F.col("x.kind").alias("layout_type"))
-    return boxes.drop("layout_type").join(best, "id", "left")
+    best = hits.groupBy(F.col("a_doc_id").alias("doc_id"), F.col("a_id").alias("id")).agg(F.min(F.struct(order.alias("o"), (-F.col("share")).alias("s"), F.col("b_layout_type").alias("kind"))).alias("x")).select("doc_id", "id", F.col("x.kind").alias("layout_type"))
+    return boxes.drop("layout_type").join(best, ["doc_id", "id"], "left")
 
 
 def word_gaps(chars: DataFrame, ratio: float = 0.25) -> DataFrame:

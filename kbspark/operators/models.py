@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import Any
 
@@ -35,6 +36,7 @@ DEFAULTS: dict[str, Function] = {
     "judge": lambda question, requirements, evidence: {r: "MISSING" if not evidence else "PARTIAL" for r in requirements},
     "choose_action": lambda state: "ANSWER",
     "plan": lambda question: [{"id": "R1", "description": question, "importance": 1.0, "synthetic": False, "deps": []}],
+    "sub_requirements": lambda requirement, evidence: [],
     "answer": lambda question, citations: "\n\n".join(f"[{i}] {t}" for i, t in enumerate(citations, 1)),
     "no_answer": lambda question: "No evidence was found for this question.",
     "web_search": lambda query: [],
@@ -80,3 +82,9 @@ def without_system(rows: list[dict]) -> list[dict]:
             r, pending = r | {"content": f"{pending}\n\n{r['content']}"}, ""
         out.append(r)
     return out or ([{"role": "user", "content": system}] if system else [])
+
+
+def split_reasoning(text: str) -> tuple[str, str]:
+    """(answer, reasoning): what stands between think marks, and the rest; an open mark holds everything after it."""
+    reasoning = re.findall(r"<think>(.*?)(?:</think>|\Z)", text or "", re.S)
+    return re.sub(r"<think>.*?(?:</think>|\Z)", "", text or "", flags=re.S).strip(), "\n".join(r.strip() for r in reasoning)

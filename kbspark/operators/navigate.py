@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Limits:
-    """Bands of scores and budgets."""
+    """Bands of scores and budgets (fixed values)."""
 
     node_low: float = 0.2
     node_high: float = 0.5
     leaf_low: float = 0.2
     leaf_high: float = 0.5
-    expansions: int = 30
-    depth: int = 8
+    expansions: int = 8
+    depth: int = 4
+    model_calls: int = 6
+    leaf_reads: int = 20
     enough: int = 2
     rescue: int = 3
     neighbours: int = 1
@@ -35,63 +37,162 @@ def _band(score: float, low: float, high: float) -> str:
     return "keep" if score >= high else "ambiguous" if score >= low else "prune"
 
 
-def walk(nodes: list[dict], query: str, score: Callable[[str, str], float] = token_share, limits: Limits = Limits()) -> tuple[list[dict], list[dict]]:
-    """(evidence, trajectory) of one tree. Nodes have node_id, parent_id, type, title, summary, text and ord.
+CONTAINERS = ("section", "document")
 
-    The best open section is opened next: its leaves are read, kept with a doubt or pruned by their score, with the leaves beside a read one;
-    its sections are queued or pruned. It ends with enough sure reads, without open sections, or when its budget is spent. If nothing was
-    read, the best pruned leaves come as doubtful.
-    """
-    below: dict[str | None, list[dict]] = {}
-    for n in sorted(nodes, key=lambda x: (x["ord"], x["node_id"])):
-        below.setdefault(n["parent_id"], []).append(n)
-    known = {n["node_id"] for n in nodes}
-    roots = [n for n in nodes if n["parent_id"] is None or n["parent_id"] not in known]
-    queue = [(1.0, 0, -i, r["node_id"]) for i, r in enumerate(sorted(roots, key=lambda x: (x["ord"], x["node_id"])))]
-    read: dict[str, dict] = {}
-    pruned: list[dict] = []
-    steps: list[dict] = []
-    opened = order = 0
-
-    def take(leaf: dict, value: float, doubt: bool, beside: bool = False) -> None:
-        if leaf["node_id"] not in read and (leaf["text"] or "").strip():
-            read[leaf["node_id"]] = {"node_id": leaf["node_id"], "text": leaf["text"], "score": value, "ambiguous": doubt, "is_neighbor": beside}
-
-    def note(node: str, action: str, value: float) -> None:
-        steps.append({"step": len(steps), "node_id": node, "action": action, "score": value})
-
-    while queue and opened < limits.expansions:
-        queue.sort(key=lambda x: (-x[0], x[1], -x[2]))
-        value, depth, _, node = queue.pop(0)
-        opened += 1
-        note(node, "expand", value)
-        children = below.get(node, [])
-        leaves = [c for c in children if c["type"] not in ("section", "document")]
-        for i, leaf in enumerate(leaves):
-            s = score(query, leaf["text"])
-            band = _band(s, limits.leaf_low, limits.leaf_high)
-            note(leaf["node_id"], band, s)
+
+class Tree:
+    """The nodes of one document: node_id, parent_id, type, title, summary, text and ord."""
+
+    def __init__(self, nodes: list[dict]):
+        self.node = {n["node_id"]: n for n in nodes}
+        self.below: dict[str | None, list[dict]] = {}
+        for n in sorted(nodes, key=lambda x: (x["ord"], x["node_id"])):
+            self.below.setdefault(n["parent_id"] if n["parent_id"] in self.node else None, []).append(n)
+
+    def leaves(self, node: str) -> list[dict]:
+        return [c for c in self.below.get(node, []) if c["type"] not in CONTAINERS]
+
+    def sections(self, node: str) -> list[dict]:
+        return [c for c in self.below.get(node, []) if c["type"] in CONTAINERS]
+
+    def entries(self) -> list[str]:
+        """The top sections; in a document without any, its roots."""
+        top = [c["node_id"] for r in self.below.get(None, []) for c in (self.sections(r["node_id"]) if r["type"] == "document" else [r] if r["type"] in CONTAINERS else [])]
+        return top or [r["node_id"] for r in self.below.get(None, []) if r["type"] in CONTAINERS]
+
+    def sample(self, node: str, most: int = 200) -> str:
+        """The first text below a section: its own leaves', else that of its first section that has any."""
+        own = next((x["text"] for x in self.leaves(node) if (x["text"] or "").strip()), "")
+        return own[:most] or next((t for c in self.sections(node) if (t := self.sample(c["node_id"], most))), "")
+
+
+class Walk:
+    """A depth-first search of one tree as a stack machine; see ``walk``."""
+
+    def __init__(self, tree: Tree, query: str, score, choose, limits: Limits):
+        self.tree, self.query, self.score, self.choose, self.limits = tree, query, score, choose, limits
+        self.state: dict[str, str] = {}
+        self.value: dict[str, float] = {}
+        self.read: dict[str, dict] = {}
+        self.pruned: list[dict] = []
+        self.steps: list[dict] = []
+        self.expansions = self.calls = self.reads = 0
+
+    def note(self, node: str, action: str, value: float = 0.0, reason: str = "") -> None:
+        self.steps.append({"step": len(self.steps), "node_id": node, "action": action, "score": value, "reason": reason})
+
+    def rated(self, text: str) -> float:
+        try:
+            return float(self.score(self.query, text))
+        except Exception:  # noqa: BLE001  a scorer may fail in any way; its text is then in doubt
+            return 0.5
+
+    def take(self, leaf: dict, value: float, doubt: bool, beside: bool = False) -> None:
+        if leaf["node_id"] not in self.read and (leaf["text"] or "").strip():
+            self.read[leaf["node_id"]] = {"node_id": leaf["node_id"], "text": leaf["text"], "score": value, "ambiguous": doubt, "is_neighbor": beside}
+
+    def dispose(self, node: str) -> None:
+        """Rate a section's leaves: read them, with the leaves beside them, or prune them."""
+        leaves = self.tree.leaves(node)
+        rated = [(i, x, self.rated(x["text"] or "") if self.score and (x["text"] or "").strip() else 0.0) for i, x in enumerate(leaves)]
+        for i, leaf, value in rated:
+            if leaf["node_id"] in self.value:
+                continue
+            self.value[leaf["node_id"]] = value
+            band = _band(value, self.limits.leaf_low, self.limits.leaf_high) if self.score else "keep"
             if band == "prune":
-                pruned.append(leaf | {"score": s})
+                self.note(leaf["node_id"], "prune", value)
+                self.pruned.append(leaf | {"score": value})
                 continue
-            take(leaf, s, band == "ambiguous")
-            for j in range(max(0, i - limits.neighbours), min(len(leaves), i + limits.neighbours + 1)):
+            self.note(leaf["node_id"], "read", value, band)
+            self.reads += 1
+            old = self.read.pop(leaf["node_id"], None)  # read before as a neighbour only
+            self.take(old or leaf, value, band == "ambiguous")
+            self.read.get(leaf["node_id"], {}).update(score=value, ambiguous=band == "ambiguous", is_neighbor=False)
+            for j in range(max(0, i - self.limits.neighbours), min(len(leaves), i + self.limits.neighbours + 1)):
                 if j != i:
-                    take(leaves[j], 0.0, False, True)
-        for child in (c for c in children if c["type"] in ("section", "document")):
-            s = score(query, " ".join(str(child[k] or "") for k in ("title", "summary")) + " " + next((x["text"] for x in below.get(child["node_id"], []) if x["text"]), ""))
-            band = _band(s, limits.node_low, limits.node_high)
-            note(child["node_id"], f"section {band}", s)
-            if band != "prune" and depth + 1 <= limits.depth:
-                order += 1
-                queue.append((s, depth + 1, -order, child["node_id"]))
-        if sum(not r["ambiguous"] and not r["is_neighbor"] and r["score"] >= limits.leaf_high for r in read.values()) >= limits.enough:
-            note(node, "stop", value)
-            break
-    if not read:
-        for leaf in sorted(pruned, key=lambda x: (-x["score"], x["node_id"]))[: limits.rescue]:
-            take(leaf, leaf["score"], True)
-    return sorted(read.values(), key=lambda r: (r["is_neighbor"], -r["score"], r["node_id"])), steps
+                    self.take(leaves[j], 0.0, False, True)
+
+    def gate(self, node: str) -> list[str]:
+        """Rate a section's sections; those that are neither pruned nor done."""
+        for child in self.tree.sections(node) if self.score else []:
+            key = child["node_id"]
+            if key not in self.value:
+                text = " ".join(x for x in (child["title"], child["summary"], self.tree.sample(key)) if x)
+                self.value[key] = self.rated(text)
+                if self.value[key] < self.limits.node_low:
+                    self.state[key] = "pruned"
+                    self.note(key, "prune", self.value[key])
+                elif self.value[key] < self.limits.node_high:
+                    self.note(key, "keep", self.value[key], "ambiguous")
+        return [c["node_id"] for c in self.tree.sections(node) if c["node_id"] not in self.state]
+
+    def enough(self) -> bool:
+        sure = [r for r in self.read.values() if not r["is_neighbor"] and (not self.score or not r["ambiguous"] and r["score"] >= self.limits.leaf_high)]
+        return len(sure) >= self.limits.enough
+
+    def target(self, open_: list[str]) -> str | None:
+        """Without a model, or with one candidate, the first; a single clear one; else what the model says (None: back)."""
+        if self.choose is None or len(open_) == 1:
+            return open_[0]
+        clear = [k for k in open_ if self.value.get(k, 0.0) >= self.limits.node_high]
+        if len(clear) == 1:
+            return clear[0]
+        self.calls += 1
+        chosen = self.choose(self.query, [self.tree.node[k] for k in open_])
+        key = chosen["node_id"] if isinstance(chosen, dict) else chosen
+        return key if key in open_ else None
+
+    def spent(self) -> str | None:
+        limits = self.limits
+        used = (("expansions", self.expansions, limits.expansions), ("model calls", self.calls, limits.model_calls), ("leaf reads", self.reads, limits.leaf_reads))
+        return next((name for name, n, most in used if n >= most), None)
+
+    def run(self, entries: list[str]) -> None:
+        stack = [(e, 0) for e in reversed(entries)]
+        while stack:
+            node, depth = stack[-1]
+            if node not in self.state:
+                self.state[node] = "expanded"
+                self.expansions += 1
+                self.note(node, "expand")
+            self.dispose(node)
+            open_ = self.gate(node)
+            if not open_:
+                self.state[node] = "exhausted"
+                self.note(node, "backtrack", 0.0, "nothing left")
+                stack.pop()
+                continue
+            if self.enough() or (reason := self.spent()):
+                self.note(node, "stop", 0.0, "enough" if self.enough() else reason)
+                break
+            target = self.target(open_)
+            if target is None or depth + 1 >= self.limits.depth:
+                self.state[node] = "exhausted"
+                self.note(node, "backtrack", 0.0, "by choice" if target is None else "depth")
+                stack.pop()
+                continue
+            self.note(node, "descend", 0.0, target)
+            stack.append((target, depth + 1))
+        if not self.read and self.score:
+            for leaf in sorted(self.pruned, key=lambda x: (-x["score"], x["node_id"]))[: self.limits.rescue]:
+                self.take(leaf, leaf["score"], True)
+            if self.read:
+                self.note("", "rescue")
+
+
+def walk(nodes: list[dict], query: str, score: Callable[[str, str], float] | None = token_share, limits: Limits = Limits(), choose=None, entries: list[str] | None = None) -> tuple[list[dict], list[dict]]:
+    """(evidence, trajectory) of one tree.
+
+    The section on top of the stack is opened: its leaves are read or pruned by their scores, with the leaves beside a read one; its
+    sections are pruned or stay. Then it goes down into one of them, or back where none is left, the depth is reached or ``choose`` says so.
+    While sections are left it ends with enough sure reads or a spent budget. If nothing was read, the best pruned leaves come as doubtful.
+    Without a scorer nothing is pruned. Clear evidence comes first, by falling score, and neighbours last.
+    """
+    tree = Tree(nodes)
+    search = Walk(tree, query, score, choose, limits)
+    search.run(tree.entries() if entries is None else [e for e in entries if e in tree.node])
+    return sorted(search.read.values(), key=lambda r: (r["is_neighbor"], -r["score"], r["node_id"])), search.steps
 
 
 def navigate(nodes: DataFrame, query: str, score: Callable[[str, str], float] = token_share, limits: Limits = Limits()) -> DataFrame:

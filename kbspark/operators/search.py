@@ -85,10 +85,10 @@ def rrf(lists: list[DataFrame], key: str = "id", k: int = 10) -> DataFrame:
     return out.groupBy(key).agg(F.round(F.sum("part") * RRF_SCALE, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], k: int = 10) -> DataFrame:
-    """Dense and BM25 lists of twice k, fused."""
-    dense = dense_topk(vectors, vector, 2 * k).select(F.col("vec_id").alias("id"), "score")
-    lexical = bm25_topk(docs, query, 2 * k).select(F.col("doc_id").alias("id"), "score")
+def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector: list[float], k: int = 10, key: str = "doc_id") -> DataFrame:
+    """Dense and BM25 lists of twice k, fused. Both tables name the same things by ``key``: the vectors are those of the documents."""
+    dense = dense_topk(vectors, vector, 2 * k, key).select(F.col(key).alias("id"), "score")
+    lexical = bm25_topk(docs, query, 2 * k, key).select(F.col(key).alias("id"), "score")
     return rrf([dense, lexical], "id", k)
 
 

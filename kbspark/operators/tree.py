@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,10 @@ def attach_to_headings(content: DataFrame, headings: DataFrame, order: str = "or
     return rows.withColumn("parent", F.last("heading_id", ignorenulls=True).over(w)).where("kind = 1").select(group, order, "content_id", F.col("parent").alias("heading_id"))
 
 
-def nest(headings: DataFrame, group: str = "doc_id", order: str = "ord", key: str = "heading_id", level: str = "level", levels: int = 10) -> DataFrame:
-    """Each heading's parent: the last earlier heading of a lower level (null: the root)."""
+def nest(headings: DataFrame, group: str = "doc_id", order: str = "ord", key: str = "heading_id", level: str = "level", levels: int | None = None) -> DataFrame:
+    """Each heading's parent: the last earlier heading of a lower level (null: the root). ``levels``: more than the deepest level; it is looked up if not given."""
+    if levels is None:
+        levels = (headings.agg(F.max(level)).first()[0] or 0) + 1
     w = Window.partitionBy(group).orderBy(order, key).rowsBetween(Window.unboundedPreceding, -1)
     # the last heading of each level so far, of which the latest lower one is the parent
     lasts = [F.last(F.when(F.col(level) == n, F.struct(F.col(order).alias("o"), F.col(key).alias("k"))), ignorenulls=True).over(w) for n in range(levels)]
@@ -23,18 +27,39 @@ def nest(headings: DataFrame, group: str = "doc_id", order: str = "ord", key: st
     return headings.withColumn("parent", F.array_max(seen)["k"])
 
 
-def closure(nodes: DataFrame, key: str = "node_id", parent: str = "parent_id", depth: int = 12) -> DataFrame:
-    """(node, ancestor, dist) with each node as its own ancestor at 0; for parents that join up within ``depth`` steps. A cycle ends there."""
-    edges = nodes.select(F.col(key).alias("n"), F.col(parent).alias("p"))
-    out = step = edges.select(F.col("n").alias("node"), F.col("n").alias("ancestor"), F.lit(0).alias("dist"))
-    for d in range(1, depth + 1):
-        step = step.join(edges, step["ancestor"] == edges["n"]).where("p is not null").select("node", F.col("p").alias("ancestor"), F.lit(d).alias("dist"))
-        if not step.limit(1).count():
-            break
-        out = out.unionByName(step)
+def closure(nodes: DataFrame, key: str = "node_id", parent: str = "parent_id", depth: int = 1 << 16) -> DataFrame:
+    """(node, ancestor, dist) with each node as its own ancestor at 0.
+
+    The distances that are known double in each round: what reaches a node at 2^k - 1 steps or fewer is joined with the ancestors exactly 2^k
+    steps up, so a tree of any depth takes a logarithm of rounds, each checkpointed. Parents that
+    aren't nodes are left out. Nodes on a cycle have no end: they raise an error beyond ``depth`` steps.
+    """
+    known = nodes.select(F.col(key).alias("n"))
+    jump = nodes.select(F.col(key).alias("n"), F.col(parent).alias("p")).join(known.select(F.col("n").alias("p")), "p", "left_semi").select("n", "p")
+    out = known.select(F.col("n").alias("node"), F.col("n").alias("ancestor"), F.lit(0).alias("dist"))
+    reach = 1
+    while jump.limit(1).count():
+        if reach > depth:
+            raise ValueError(f"the tree is deeper than {depth} steps or has a cycle")
+        far = out.join(jump.withColumnRenamed("n", "at"), F.col("ancestor") == F.col("at")).select("node", F.col("p").alias("ancestor"), (F.col("dist") + reach).alias("dist"))
+        up = jump.select(F.col("n").alias("at"), F.col("p").alias("above"))
+        out, jump = _settled(out.unionByName(far)), _settled(jump.join(up, F.col("p") == F.col("at")).select("n", F.col("above").alias("p")))
+        reach *= 2
     return out
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """A checkpoint in place of a growing plan, in the folder that ``spark.checkpoint.dir`` names; a local session without one gets a temporary folder."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="kbspark-checkpoint-"))
+    return df.checkpoint()
+
+
 def paths(nodes: DataFrame, ancestors: DataFrame, key: str = "node_id", title: str = "title") -> DataFrame:
     """(node, path, depth): the titles from the root down, joined by `` > ``."""
     named = ancestors.join(nodes.select(F.col(key).alias("ancestor"), F.col(title).alias("title")), "ancestor")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.operators import ingest
 from kbspark.operators import search as S
 from kbspark.plans.book import Book
 
@@ -30,7 +31,7 @@ Q.add("doclen", lambda t: S.document_lengths(t.documents), f"SELECT doc_id, CAST
 Q.add("bm25_all", lambda t: S.bm25_scores(t.documents, QUERY), BM25)
 Q.add("bm25_topk", lambda t: S.bm25_topk(t.documents, QUERY, 10), f"SELECT * FROM ({BM25}) ORDER BY score DESC, doc_id LIMIT 10")
 _LISTS = f"d AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM ({DENSE}) ORDER BY rank LIMIT 20), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({BM25}) ORDER BY rank LIMIT 20)"
-Q.add("hybrid_rrf", lambda t: S.hybrid(t.documents, t.embeddings, QUERY, _vector(t), 10), f"WITH {_LISTS} SELECT id, round(sum(1.0::DOUBLE / (60 + rank)) * 30, 6) AS score FROM (SELECT * FROM d UNION ALL SELECT * FROM b) GROUP BY id ORDER BY score DESC, id LIMIT 10")
+Q.add("hybrid_rrf", lambda t: S.hybrid(t.documents, t.embeddings.withColumnRenamed("vec_id", "doc_id"), QUERY, _vector(t), 10), f"WITH {_LISTS} SELECT id, round(sum(1.0::DOUBLE / (60 + rank)) * 30, 6) AS score FROM (SELECT * FROM d UNION ALL SELECT * FROM b) GROUP BY id ORDER BY score DESC, id LIMIT 10")
 Q.add("tier_union", lambda t: S.ordered_union([S.dense_topk(t.embeddings, _vector(t), 8).select(F.col("vec_id").alias("id"), "score"), S.bm25_topk(t.documents, QUERY, 8).select(F.col("doc_id").alias("id"), "score")], "id", 12).select("id", F.col("tier").cast("long").alias("tier"), "score"),
       f"WITH u AS (SELECT vec_id AS id, 0 AS tier, score FROM (SELECT * FROM ({DENSE}) ORDER BY score DESC, vec_id LIMIT 8) UNION ALL SELECT doc_id, 1, score FROM (SELECT * FROM ({BM25}) ORDER BY score DESC, doc_id LIMIT 8)) SELECT id, CAST(tier AS BIGINT) AS tier, score FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, score DESC) = 1) ORDER BY tier, score DESC, id LIMIT 12")
 _SYN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.SYNONYMS.items()) + "}"
@@ -50,21 +51,22 @@ def _chat(t):
     return t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_seq"), "text")
 
 
-Q.add("neighbour_expand", lambda t: S.neighbours(_chat(t).where("chunk_seq % 4 = 1"), _chat(t), 1).select("doc_id", "chunk_seq", F.md5("text").alias("digest")),
-      "SELECT DISTINCT b.conv_id AS doc_id, b.turn AS chunk_seq, md5(b.text) AS digest FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.turn % 4 = 1 AND b.turn % 4 <> 1")
+Q.add("neighbour_expand", lambda t: S.neighbours(_chat(t).where("chunk_seq = 1"), _chat(t), 1).select("doc_id", "chunk_seq", F.md5("text").alias("digest")),
+      "SELECT DISTINCT b.conv_id AS doc_id, b.turn AS chunk_seq, md5(b.text) AS digest FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.turn = 1 AND b.turn <> 1")
 
 
 def _budget(t):
-    hits = _chat(t).where("doc_id % 5 = 0 and chunk_seq = 1").withColumn("score", F.length("text").cast("double"))
+    hits = _chat(t).where("chunk_seq = 1").withColumn("score", F.length("text").cast("double"))
     top = S.ranked(hits.orderBy(F.desc("score"), "doc_id").limit(10), "doc_id")
     near = S.neighbours(top, _chat(t), 2)
-    return S.within_budget(top, near, 9000, window=2).select("doc_id", "chunk_seq", F.col("n").cast("long").alias("n"))
+    return S.within_budget(top, near, 40000, window=2).select("doc_id", "chunk_seq", F.col("n").cast("long").alias("n"))
 
 
 Q.add("neighbour_budget", _budget,
-      "WITH RECURSIVE h AS (SELECT *, row_number() OVER (ORDER BY length(text) DESC, conv_id) AS rank FROM conversations WHERE conv_id % 5 = 0 AND turn = 1 ORDER BY rank LIMIT 10), c AS (SELECT conv_id, turn, n, row_number() OVER (ORDER BY rank, turn, conv_id) AS i FROM (SELECT b.conv_id, b.turn, length(b.text) AS n, min(rank) AS rank FROM h JOIN conversations b ON h.conv_id = b.conv_id AND b.turn BETWEEN h.turn - 2 AND h.turn + 2 WHERE b.turn <> 1 GROUP BY ALL)), w(i, room, took) AS (SELECT 0, 9000 - coalesce((SELECT sum(length(text)) FROM h), 0), false UNION ALL SELECT c.i, CASE WHEN n <= room THEN room - n ELSE room END, n <= room FROM w JOIN c ON c.i = w.i + 1) SELECT conv_id AS doc_id, turn AS chunk_seq, CAST(n AS BIGINT) AS n FROM w JOIN c USING (i) WHERE took")
+      "WITH RECURSIVE h AS (SELECT *, row_number() OVER (ORDER BY length(text) DESC, conv_id) AS rank FROM conversations WHERE turn = 1 ORDER BY rank LIMIT 10), c AS (SELECT conv_id, turn, n, row_number() OVER (ORDER BY rank, turn, conv_id) AS i FROM (SELECT b.conv_id, b.turn, length(b.text) AS n, min(rank) AS rank FROM h JOIN conversations b ON h.conv_id = b.conv_id AND b.turn BETWEEN h.turn - 2 AND h.turn + 2 WHERE b.turn <> 1 GROUP BY ALL)), w(i, room, took) AS (SELECT 0, 40000 - coalesce((SELECT sum(length(text)) FROM h), 0), false UNION ALL SELECT c.i, CASE WHEN n <= room THEN room - n ELSE room END, n <= room FROM w JOIN c ON c.i = w.i + 1) SELECT conv_id AS doc_id, turn AS chunk_seq, CAST(n AS BIGINT) AS n FROM w JOIN c USING (i) WHERE took")
 _QTOK = ["aaa", "the", "of"]
 Q.add("rerank_all", lambda t: S.rerank(t.benchmark.select(F.col("item_id").alias("id"), "text"), " ".join(_QTOK)).select("id", "rerank_score"),
       f"SELECT item_id AS id, round(len(list_intersect(list_distinct(list_transform(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda x: lower(x)), lambda w: coalesce({_SYN}[w], {_STEM}))), ['aaa', 'the', 'of'])) / 3.0::DOUBLE, 6) AS rerank_score FROM benchmark")
 Q.add("score_bands", lambda t: S.dense_scores(t.embeddings, _vector(t)).select("vec_id", S.banded(F.col("score"), 0.2, 0.5).alias("band")), f"SELECT vec_id, CASE WHEN score >= 0.5 THEN 'keep' WHEN score >= 0.2 THEN 'ambiguous' ELSE 'prune' END AS band FROM ({DENSE})")
 Q.add("grade", lambda t: S.grade(S.dense_topk(t.embeddings, _vector(t), 5)), f"SELECT count(*) AS hits, CASE WHEN count(*) = 0 THEN 'empty' WHEN max(score) >= 0.25 THEN 'sufficient' ELSE 'weak' END AS grade FROM (SELECT * FROM ({DENSE}) ORDER BY score DESC, vec_id LIMIT 5)")
+Q.add("bm25_indexed", lambda t: (lambda d: ingest.bm25_indexed(ingest.postings(d, "doc_id"), ingest.totals(d), QUERY, 10, "doc_id"))(t.documents), f"SELECT * FROM ({BM25}) ORDER BY score DESC, doc_id LIMIT 10")

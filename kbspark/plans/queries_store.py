@@ -31,7 +31,7 @@ Q.add("insert_parents", lambda t: S.insert_parents(t.orders.select(F.col("o_orde
 Q.add("stored_vectors", lambda t: S.insert_children(t.embeddings, "embedding").select("vec_id", "label"), "SELECT vec_id, label FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0")
 Q.add("conv_list", lambda t: S.conversations_listing(t.conversations), "SELECT conv_id, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
 Q.add("conv_brief", lambda t: S.history(t.conversations), "SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '用户' ELSE '助手' END || ': ' || CASE WHEN length(trim(text)) > 200 THEN substr(trim(text), 1, 200) || '...' ELSE trim(text) END, chr(10) ORDER BY turn) AS brief FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) WHERE trim(text) <> '' GROUP BY conv_id")
-Q.add("conv_history", lambda t: t.conversations.where("turn < 4").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n")), "SELECT conv_id, turn, role, length(text) AS n FROM conversations WHERE turn < 4")
+Q.add("conv_history", lambda t: t.conversations.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n")), "SELECT conv_id, turn, role, length(text) AS n FROM conversations")
 Q.add("task_latest", lambda t: S.latest(t.events.select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", ["event_id", "event_type"]).select("user_id", "event_id", "event_type"), "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 
 
@@ -42,7 +42,6 @@ def _tasks(t):
 _TASKS = "SELECT user_id, event_id, CASE event_id % 3 WHEN 0 THEN 'DONE' WHEN 1 THEN 'PARSING' ELSE 'FAILED' END AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
 Q.add("task_running", lambda t: _tasks(t).where(F.col("status").isin(*S.RUNNING)).select("user_id", "status"), f"SELECT user_id, status FROM ({_TASKS}) WHERE status = 'PARSING'")
 Q.add("task_interrupt", lambda t: S.interrupt(_tasks(t), "stopped").select("user_id", "status", "error"), f"SELECT user_id, CASE WHEN status = 'PARSING' THEN 'FAILED' ELSE status END AS status, CASE WHEN status = 'PARSING' THEN 'stopped' END AS error FROM ({_TASKS})")
-Q.add("retryable", lambda t: t.events.select("event_id", S.retryable(F.concat_ws(" ", F.lit("http"), (F.col("event_id") % 3 * 115 + 400 - F.col("event_id") % 2).cast("string"))).alias("retry")), "SELECT event_id, CASE WHEN c IN (400, 402) THEN false ELSE c = 429 OR c BETWEEN 500 AND 599 END AS retry FROM (SELECT event_id, event_id % 3 * 115 + 400 - event_id % 2 AS c FROM events)")
 Q.add("backoff", lambda t: t.nation.select("n_nationkey", S.backoff(F.col("n_nationkey") % 5).alias("seconds")), "SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 5 WHEN 1 THEN 10 WHEN 2 THEN 20 END::BIGINT AS seconds FROM nation")
 Q.add("lru32", lambda t: S.newest(t.conversations.select(F.lower("text").alias("q"), (F.col("conv_id") * 100 + F.col("turn")).alias("seen")), "q", "seen"), "SELECT lower(text) AS q, max(conv_id * 100 + turn) AS seen FROM conversations GROUP BY 1 ORDER BY seen DESC, q LIMIT 32")
 
@@ -64,20 +63,18 @@ def _rounds(t):
 
 _ROUNDS = "SELECT l_orderkey AS id, CAST(l_linenumber AS BIGINT) AS round, least(floor(max(l_quantity) / 17), 2) AS r FROM lineitem GROUP BY ALL"
 Q.add("status_upgrade", lambda t: A.upgraded(_rounds(t)), f"SELECT round, id FROM (SELECT *, coalesce(lag(r) OVER (PARTITION BY id ORDER BY round), 0) AS p FROM ({_ROUNDS})) WHERE r > p")
-Q.add("no_progress", lambda t: A.no_progress(_rounds(t)), f"SELECT DISTINCT round, CAST(0 AS BIGINT) AS streak FROM ({_ROUNDS})")
-Q.add("status_alias", lambda t: t.orders.select("o_orderkey", A.normalize_status(F.col("o_orderstatus")).alias("status")), "SELECT o_orderkey, 'PARTIAL' AS status FROM orders")
 
 
 def _evidence(t, base=0):
-    return t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), (F.col("doc_id") % 101).cast("double").alias("score"), (F.col("doc_id") % 4).alias("round"), (F.col("doc_id") % 5 == 0).alias("is_neighbor"), F.substring("text", 1, 40).alias("text"))
+    return t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), (F.col("doc_id") % 101).cast("double").alias("score"), (F.col("doc_id") % 4).alias("round"), (F.col("doc_id") % 5 == 0).alias("is_neighbor"), F.col("text").alias("text"))
 
 
-_EV = "SELECT 'd' || doc_id AS id, CAST(doc_id % 101 AS DOUBLE) AS score, doc_id % 4 AS round, doc_id % 5 = 0 AS is_neighbor, substr(text, 1, 40) AS text FROM documents"
+_EV = "SELECT 'd' || doc_id AS id, CAST(doc_id % 101 AS DOUBLE) AS score, doc_id % 4 AS round, doc_id % 5 = 0 AS is_neighbor, text FROM documents"
 Q.add("evidence_merge", lambda t: A.add_evidence(_evidence(t).where("round < 3"), _evidence(t).where("round > 1")).select("id", "round"), f"SELECT id, round FROM ({_EV})")
 Q.add("evidence_prune", lambda t: A.prune_new(_evidence(t)).select("id", "round", "score"), f"SELECT id, round, score FROM ({_EV}) QUALIFY row_number() OVER (PARTITION BY round ORDER BY score DESC, id) <= 8")
-Q.add("coverage_evidence", lambda t: A.coverage_evidence(_evidence(t)).select("id", "text"), f"SELECT id, trim(text) AS text FROM ({_EV}) WHERE NOT is_neighbor ORDER BY score DESC, id LIMIT 5")
+Q.add("coverage_evidence", lambda t: A.coverage_evidence(_evidence(t)).select("id", "text"), f"SELECT id, trim(substr(text, 1, 150)) AS text FROM ({_EV}) WHERE NOT is_neighbor ORDER BY score DESC, id LIMIT 5")
 Q.add("citations", lambda t: A.citations(_evidence(t).withColumnRenamed("id", "evidence_id"), _status(t).withColumn("evidence_ids", F.array(F.concat(F.lit("d"), "id")))).select("num", "evidence_id"), f"SELECT row_number() OVER (ORDER BY score DESC, e.id) AS num, e.id AS evidence_id FROM ({_EV}) e JOIN (SELECT DISTINCT 'd' || id AS id FROM ({_STATUS}) WHERE status <> 'MISSING') USING (id)")
-Q.add("default_answer", lambda t: A.default_answer(A.citations(_evidence(t).where("score > 99").withColumnRenamed("id", "evidence_id"), _status(t).withColumn("evidence_ids", F.array(F.concat(F.lit("d"), "id"))))), f"SELECT coalesce(string_agg('[' || num || '] ' || text, chr(10) || chr(10) ORDER BY num), '') AS answer FROM (SELECT row_number() OVER (ORDER BY score DESC, e.id) AS num, e.text FROM ({_EV}) e JOIN (SELECT DISTINCT 'd' || id AS id FROM ({_STATUS}) WHERE status <> 'MISSING') USING (id) WHERE score > 99)")
+Q.add("default_answer", lambda t: A.default_answer(A.citations(_evidence(t).where("score > 99").withColumnRenamed("id", "evidence_id"), _status(t).withColumn("evidence_ids", F.array(F.concat(F.lit("d"), "id"))))), f"SELECT coalesce(string_agg('[' || num || '] ' || substr(text, 1, 1500), chr(10) || chr(10) ORDER BY num), '') AS answer FROM (SELECT row_number() OVER (ORDER BY score DESC, e.id) AS num, e.text FROM ({_EV}) e JOIN (SELECT DISTINCT 'd' || id AS id FROM ({_STATUS}) WHERE status <> 'MISSING') USING (id) WHERE score > 99)")
 Q.add("resolve_synthetic", lambda t: A.resolved_synthetic(_status(t).groupBy(F.length("id").cast("string").alias("k")).agg(F.collect_list("id").alias("deps")).select(F.col("k").alias("id"), F.lit(True).alias("synthetic"), "deps"), _status(t)), f"SELECT length(id)::VARCHAR AS id FROM ({_STATUS}) GROUP BY 1 HAVING bool_and(status = 'SUPPORTED')")
 Q.add("stop_rules", lambda t: t.nation.select("n_nationkey", A.should_stop(F.col("n_nationkey"), 20, F.col("n_nationkey") * 2, 30, F.col("n_nationkey") % 6, F.col("n_nationkey") % 3, F.col("n_nationkey") % 4).alias("reason")), "SELECT n_nationkey, CASE WHEN n_nationkey >= 20 THEN 'hard: iterations' WHEN n_nationkey * 2 >= 30 THEN 'hard: tool calls' WHEN n_nationkey % 6 = 0 THEN NULL WHEN n_nationkey % 3 = 0 THEN 'sufficiency' WHEN n_nationkey % 4 >= 3 THEN 'no_progress' END AS reason FROM nation")
 Q.add("actions", lambda t: t.nation.select("n_nationkey", A.choose_action(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey") > 20, F.col("n_nationkey") % 3, F.lit(None).cast("string")).alias("action"), A.novelty(F.col("n_nationkey") / 25).alias("novelty")), "SELECT n_nationkey, CASE WHEN n_nationkey % 2 <> 0 OR n_nationkey > 20 THEN 'ANSWER' ELSE 'SEARCH' END AS action, CASE WHEN n_nationkey / 25.0::DOUBLE >= 0.55 THEN 'covered' ELSE 'uncovered' END AS novelty FROM nation")

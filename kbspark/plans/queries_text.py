@@ -54,16 +54,14 @@ Q.add("question_rules", lambda t: t.conversations.select("conv_id", "turn", T.co
       f"SELECT conv_id, turn, rule, CASE WHEN rule = '' THEN 'SIMPLE' ELSE rule END AS complexity, CASE WHEN regexp_matches(trim(text), '{T.TOC_QUESTION}') THEN 'toc' WHEN regexp_matches(trim(text), '{T.SECTION_QUESTION}') THEN 'section' ELSE 'normal' END AS type, CASE WHEN regexp_matches(text, '{T.SECTION_CUES[0]}') OR regexp_matches(text, '{T.SECTION_CUES[1]}') OR regexp_matches(text, '{T.SECTION_CUES[2]}') THEN 'tree' ELSE 'hybrid' END AS route, CASE WHEN lower(role) IN ('vector', 'hybrid', 'tree') THEN lower(role) ELSE 'hybrid' END AS tool, regexp_matches(text, '{T.LIST_WORDS}') AND regexp_matches(text, '{T.CONTRAST_WORDS}') AS listing FROM (SELECT *, {_CPX} AS rule FROM conversations)")
 Q.add("fallback_queries", lambda t: t.conversations.select("conv_id", "turn", T.fallback_query(F.col("text")).alias("q")))
 Q.add("web_query_clean", lambda t: t.conversations.where("role = 'user'").select("conv_id", "turn", T.clean_web_query(F.col("text")).alias("q")))
-Q.add("compare_splits", lambda t: t.spark.createDataFrame([(1, "A、B、C 的 X 的区别"), (2, "what is X"), (3, "甲和乙的区别")], "id int, q string").select("id", F.posexplode(T.split_comparison(F.col("q"))).alias("seq", "part")),
-      "SELECT * FROM (VALUES (1, 0, 'A 的 X'), (1, 1, 'B 的 X'), (1, 2, 'C 的 X'), (2, 0, 'what is X'), (3, 0, '甲'), (3, 1, '乙')) AS v(id, seq, part)")
 Q.add("code_fences", lambda t: t.events.select("event_id", T.strip_code_fence(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).alias("props")), "SELECT event_id, trim(props) AS props FROM events")
 Q.add("unix_newlines", lambda t: t.documents.select("doc_id", F.length(T.unix_newlines(F.regexp_replace(F.col("text"), "\n", "\r\n"))).cast("long").alias("n")), "SELECT doc_id, length(text) AS n FROM documents")
 Q.add("position_tags", lambda t: t.lineitem.select("l_orderkey", "l_partkey", T.position_tag(F.col("l_linenumber"), F.col("l_quantity"), F.col("l_quantity") + 10, F.col("l_quantity"), F.col("l_quantity") + 2).alias("tag")).select("l_orderkey", "l_partkey", "tag", T.strip_position_tags(F.concat(F.lit("a"), "tag", F.lit("b"))).alias("bare"), F.size(T.positions(F.concat("tag", F.lit("x"), "tag"))).cast("long").alias("n")),
       "SELECT l_orderkey, l_partkey, printf('@@%d' || chr(9) || '%.1f' || chr(9) || '%.1f' || chr(9) || '%.1f' || chr(9) || '%.1f##', l_linenumber, l_quantity, l_quantity + 10, l_quantity, l_quantity + 2) AS tag, 'ab' AS bare, CAST(2 AS BIGINT) AS n FROM lineitem")
-Q.add("call_marks", lambda t: t.conversations.select("conv_id", "turn", F.concat(F.substring("text", 1, 20), F.lit("<｜DSML｜invoke name=\"x\">y</｜DSML｜invoke>z")).alias("x")).select("conv_id", "turn", T.has_call_marks(F.col("x")).alias("has"), T.call_mark_at(F.col("x")).cast("long").alias("at"), T.strip_call_marks(F.col("x")).alias("bare")),
-      "SELECT conv_id, turn, true AS has, length(substr(text, 1, 20)) AS at, substr(text, 1, 20) || 'z' AS bare FROM conversations")
-Q.add("citations_kept", lambda t: t.documents.select("doc_id", T.keep_citations(F.concat(F.substring("text", 1, 30), F.lit("[1][7] and [3]")), F.col("doc_id") % 5).alias("answer")),
-      "SELECT doc_id, regexp_replace(substr(text, 1, 30), '\\[\\d+\\]', '', 'g') || CASE WHEN doc_id % 5 >= 1 THEN '[1]' ELSE '' END || ' and ' || CASE WHEN doc_id % 5 >= 3 THEN '[3]' ELSE '' END AS answer FROM documents")
+Q.add("call_marks", lambda t: t.conversations.select("conv_id", "turn", F.concat("text", F.lit("<｜DSML｜invoke name=\"x\">y</｜DSML｜invoke>z")).alias("x")).select("conv_id", "turn", T.has_call_marks(F.col("x")).alias("has"), T.call_mark_at(F.col("x")).cast("long").alias("at"), T.strip_call_marks(F.col("x")).alias("bare")),
+      "SELECT conv_id, turn, true AS has, length(text) AS at, text || 'z' AS bare FROM conversations")
+Q.add("citations_kept", lambda t: t.documents.select("doc_id", T.keep_citations(F.concat("text", F.lit("[1][7] and [3]")), F.col("doc_id") % 5).alias("answer")),
+      "SELECT doc_id, regexp_replace(text, '\\[\\d+\\]', '', 'g') || CASE WHEN doc_id % 5 >= 1 THEN '[1]' ELSE '' END || ' and ' || CASE WHEN doc_id % 5 >= 3 THEN '[3]' ELSE '' END AS answer FROM documents")
 Q.add("document_cards", lambda t: t.events.select("event_id", T.document_card(F.to_json(F.struct(F.col("event_type").alias("abstract"), F.array("event_type", F.col("user_id").cast("string")).alias("keywords")))).alias("card")), "SELECT event_id, event_type || '；关键词：' || event_type || '、' || user_id AS card FROM events")
 Q.add("garbled_share", lambda t: t.documents.select("doc_id", T.is_garbled(F.col("text")).alias("garbled"), F.round(T.garbled_share(F.col("text")), 6).alias("share")), r"SELECT doc_id, false AS garbled, CAST(0 AS DOUBLE) AS share FROM documents")
 Q.add("degrees", lambda t: t.part.select("p_partkey", T.degree_name(F.col("p_size")).alias("degree")), "SELECT p_partkey, coalesce(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.DEGREES.items()) + "}[p_size::VARCHAR], '') AS degree FROM part")
@@ -105,17 +103,17 @@ _BOX = "SELECT p_partkey AS id, p_size % 3 AS page, p_partkey % 100 * 10.0::DOUB
 
 def boxes(t):
     k, s = F.col("p_partkey"), F.col("p_size")
-    return t.part.select(k.alias("id"), (s % 3).alias("page"), (k % 100 * 10.0).alias("x0"), (k % 100 * 10.0 + s).alias("x1"), (s * 7.0).alias("top"), (s * 7.0 + 12).alias("bottom"))
+    return t.part.select(F.lit("d").alias("doc_id"), k.alias("id"), (s % 3).alias("page"), (k % 100 * 10.0).alias("x0"), (k % 100 * 10.0 + s).alias("x1"), (s * 7.0).alias("top"), (s * 7.0 + 12).alias("bottom"))
 
 
 Q.add("bbox_overlap", lambda t: layout.overlaps(boxes(t), boxes(t)).where("a_id < b_id").select("a_id", "b_id", "share"),
       f"WITH b AS ({_BOX}), j AS (SELECT a.id AS a_id, b.id AS b_id, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.bottom, b.bottom) - greatest(a.top, b.top), 0) AS s, (a.x1 - a.x0) * (a.bottom - a.top) AS r FROM b AS a JOIN b ON a.page = b.page AND a.id < b.id) SELECT a_id, b_id, round(s / r, 6) AS share FROM j WHERE s > 0")
-Q.add("bbox_best", lambda t: layout.best_overlap(boxes(t).where("id % 2 = 0"), boxes(t).where("id % 2 = 1"), 0.1),
+Q.add("bbox_best", lambda t: layout.best_overlap(boxes(t).where("id % 2 = 0"), boxes(t).where("id % 2 = 1"), 0.1).select("a_id", "b_id", "share"),
       f"WITH b AS ({_BOX}), j AS (SELECT a.id AS a_id, b.id AS b_id, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.bottom, b.bottom) - greatest(a.top, b.top), 0) AS s, (a.x1 - a.x0) * (a.bottom - a.top) AS r FROM b AS a JOIN b ON a.page = b.page WHERE a.id % 2 = 0 AND b.id % 2 = 1) SELECT a_id, b_id, share FROM (SELECT a_id, b_id, round(s / r, 6) AS share FROM j WHERE s > 0) WHERE share >= 0.1 QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY share DESC, b_id) = 1")
 Q.add("interval_merge", lambda t: layout.merged_intervals(t.events.select(F.col("user_id").alias("group"), F.unix_timestamp("ts").alias("start"), (F.unix_timestamp("ts") + F.col("value").cast("long") * 60).alias("end"))),
       'WITH r AS (SELECT user_id AS "group", CAST(floor(epoch(ts)) AS BIGINT) AS "start", CAST(floor(epoch(ts)) AS BIGINT) + CAST(trunc(value) AS BIGINT) * 60 AS "end" FROM events), m AS (SELECT *, CASE WHEN "start" <= max("end") OVER (PARTITION BY "group" ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM r), i AS (SELECT *, sum(n) OVER (PARTITION BY "group" ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT "group", min("start") AS "start", max("end") AS "end" FROM i GROUP BY "group", k')
 Q.add("repeated_lines", lambda t: layout.repeated_texts(chunking.lines(t.documents).select("doc_id", F.col("line").alias("text"), F.lit("header").alias("layout_type"))).groupBy("doc_id").agg(F.count("*").alias("n")),
-      "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), k AS (SELECT * FROM l WHERE line <> '') SELECT doc_id, count(*) AS n FROM k WHERE line NOT IN (SELECT line FROM k GROUP BY line HAVING count(*) > 1) GROUP BY doc_id")
+      "WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents), k AS (SELECT * FROM l WHERE line <> '') SELECT doc_id, count(*) AS n FROM (SELECT doc_id, line FROM k GROUP BY ALL HAVING count(*) = 1) GROUP BY doc_id")
 Q.add("page_offsets", lambda t: layout.global_tops(t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).agg(F.max("l_quantity").alias("top")).withColumn("bottom", F.col("top") + 1), t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page")).agg(F.max("l_quantity").alias("height"))).select("doc_id", F.col("page").cast("long").alias("page"), F.round("top", 2).alias("top")),
       "WITH p AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS page, max(l_quantity) AS h FROM lineitem GROUP BY 1, 2) SELECT doc_id, page, round(h + coalesce(sum(h) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS top FROM p")
 

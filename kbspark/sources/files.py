@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -216,6 +217,10 @@ def reader_of(extension: str) -> Callable[[bytes], str]:
     return READERS[extension]
 
 
+#: What readers raise for broken, encrypted or oddly compressed files.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, LookupError, ValueError, ArithmeticError, RuntimeError, NotImplementedError, EOFError, StopIteration)
+
+
 def texts(files: DataFrame) -> DataFrame:
     """``files`` (of ``scan``) with ``text`` in place of the content; null where a file can't be read."""
 
@@ -225,7 +230,7 @@ def texts(files: DataFrame) -> DataFrame:
         for b, x in zip(content.to_pylist(), extension.to_pylist()):
             try:
                 out.append(reader_of(x)(b) if x in READERS and b is not None else None)
-            except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, StopIteration, IndexError):
+            except UNREADABLE:
                 out.append(None)
         return pa.array(out, pa.string())
 

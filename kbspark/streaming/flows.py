@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -43,6 +44,20 @@ def frames(rows: DataFrame, kind: str = "type", content: str = "content") -> Dat
     return rows.select(F.concat(F.lit("data: "), F.to_json(F.struct(F.col(kind).alias("type"), F.col(content).alias("content"))), F.lit("\n\n")).alias("frame"))
 
 
+def events(text: str) -> list[dict]:
+    """The events of a stream's text: each ``data:`` line's object; the end mark, comments and what isn't an object are left out."""
+    out = []
+    for line in text.splitlines():
+        name, mark, value = line.partition(":")
+        if name == "data" and mark and value.strip() != "[DONE]":
+            try:
+                found = json.loads(value)
+            except ValueError:
+                continue
+            out += [found] if isinstance(found, dict) else []
+    return out
+
+
 MARKS = ("<｜DSML", "<|DSML", "<DSML")
 
 
@@ -66,17 +81,28 @@ def cited(buffer: str, most: int, final: bool = False) -> tuple[str, str]:
     return re.sub(r"\[(\d+)\]", lambda m: m[0] if 1 <= int(m[1]) <= most else "", ready), held
 
 
-def filter_tokens(tokens: DataFrame) -> DataFrame:
-    """A stream of (message_id, token) as (message_id, shown), with tool calls held back by message; a token of null ends its message."""
+def filter_tokens(tokens: DataFrame, idle: int | None = None) -> DataFrame:
+    """A stream of (message_id, token) as (message_id, shown), with tool calls held back by message.
+
+    A token of null ends its message and its state. With ``idle`` milliseconds a message that falls silent for so long ends too, and what
+    was held back of it is shown; that is for streams that run on, since it keeps batches coming.
+    """
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         buffer, stopped = state.get if state.exists else ("", False)
-        for batch in batches:
-            for token in batch["token"]:
-                final = token is None or token != token
-                text, buffer, stopped = shown(buffer + ("" if final else token), stopped, final)
-                if text:
-                    yield pd.DataFrame({"message_id": [key[0]], "shown": [text]})
-        state.update((buffer, stopped))
-
-    return tokens.groupBy("message_id").applyInPandasWithState(step, "message_id string, shown string", "buffer string, stopped boolean", "append", "NoTimeout")
+        ended = idle is not None and state.hasTimedOut
+        for token in [None] if ended else (t for batch in batches for t in batch["token"]):
+            final = token is None or token != token
+            text, buffer, stopped = shown(buffer + ("" if final else token), stopped, final)
+            if text:
+                yield pd.DataFrame({"message_id": [key[0]], "shown": [text]})
+            if final:
+                buffer, stopped, ended = "", False, True
+        if ended:
+            state.remove()
+        else:
+            state.update((buffer, stopped))
+            if idle is not None:
+                state.setTimeoutDuration(idle)
+
+    return tokens.groupBy("message_id").applyInPandasWithState(step, "message_id string, shown string", "buffer string, stopped boolean", "append", "NoTimeout" if idle is None else "ProcessingTimeTimeout")

@@ -1,6 +1,7 @@
 """Operators on small cases: fusion, neighbours, trees, layout, evidence, navigation, streams."""
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from kbspark.config import Config
@@ -34,7 +35,10 @@ def test_trees(spark):
     c = spark.createDataFrame([("d", 0, 100), ("d", 5, 101), ("d", 13, 102)], "doc_id string, ord int, content_id long")
     assert {r.content_id: r.heading_id for r in tree.attach_to_headings(c, h).collect()} == {100: None, 101: 11, 102: 13}
     n = spark.createDataFrame([("a", "b"), ("b", "a")], "node_id string, parent_id string")
-    assert tree.closure(n, depth=5).count() == 12  # a cycle ends with the depth
+    with pytest.raises(ValueError):
+        tree.closure(n, depth=5)
+    deep = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(16)], "node_id string, parent_id string")
+    assert tree.closure(deep).where("node = '15'").count() == 16
 
 
 def test_layout(spark):
