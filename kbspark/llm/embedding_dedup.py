@@ -214,15 +214,15 @@ def _blocks(quantiser, dims: int, least: float):
     return emit
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_000, list_size: int = 100, most_lists: int = 2048, margin: float | None = None, tile: int = 1024, column: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_000, list_size: int | None = None, margin: float | None = None, tile: int = 1024, column: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row, all rows compared whatever their other columns.
 
     A row links with every other row of cosine ``least`` or more. Null and zero vectors, and those with null or non-finite components or
     another length than most of the table has, link with nothing. Equal vectors are one class, counted with their number, so that copies
     cost a row. Rows of a null ``vec_id`` have a null component, aren't kept and count for nobody. An empty table gives no rows.
 
-    Lists and codes are fitted on at most ``sample`` vectors (those with the smallest hashes), with ``list_size`` rows of the table to a
-    list while that makes at most ``most_lists`` lists, and beyond as many lists as the root of the rows; all rows are indexed. Lists and probes are cut into tiles of about ``tile`` rows, and a job is
+    Lists and codes are fitted on at most ``sample`` vectors (those with the smallest hashes), as many lists as
+    the root of the classes (or ``list_size`` of them to a list); all rows are indexed. Lists and probes are cut into tiles of about ``tile`` rows, and a job is
     one tile of each; it emits counts and labels, never pairs. A list of any size is thus spread over many jobs.
     """
     spark = vectors.sparkSession
@@ -236,7 +236,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, sample: int = 20_00
         return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     picked = classes.select("v", F.xxhash64("v").alias("h"), "cls").orderBy("h", "cls").limit(sample).select("v").toArrow()
     x = _matrix(picked["v"].combine_chunks(), dims)
-    quantiser = fit(x, max(1, min(total // list_size, max(most_lists, math.isqrt(total)))))
+    quantiser = fit(x, max(1, total // list_size if list_size else math.isqrt(total)))
     sent = spark.sparkContext.broadcast(quantiser)
     if margin is None:
         margin = 0.5 * float(np.sqrt(2 - 2 * least)) + 1e-6
