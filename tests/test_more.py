@@ -53,3 +53,33 @@ def test_models_and_messages():
     rows = models.messages("sys", [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}])
     assert models.without_system(rows) == [{"role": "user", "content": "sys\n\na"}, {"role": "assistant", "content": "b"}]
     assert models.first_sentences("A b. " * 100).endswith(".") and models.first_sentences("") == ""
+
+
+def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
+    import shutil
+
+    from kbspark.operators import ingest
+
+    docs = spark.createDataFrame([(1, "# A\n\nred apples\n\n# B\n\nblue sky"), (2, "red plums"), (3, None)], "doc_id long, text string")
+    out = str(tmp_path / "kb")
+    assert ingest.resume_point(spark, out) == "parse"
+    made = ingest.run(spark, docs, out)
+    assert ingest.resume_point(spark, out) is None
+    best = ingest.bm25_indexed(made["index"], made["totals"], "red apples").collect()
+    assert [r.chunk_id for r in best] == ["1:chunk:0", "2:chunk:0"] and made["embed"].count() == 3
+    shutil.rmtree(f"{out}/embed")
+    assert ingest.resume_point(spark, out) == "embed"
+    ingest.run(spark, docs.where("false"), out)  # whole steps are read, the lost one is made from them
+    assert spark.read.parquet(f"{out}/embed").count() == 3 and spark.read.parquet(f"{out}/parse").count() == made["parse"].count()
+
+
+def test_message_state_ends(spark, tmp_path):
+    import pandas as pd
+
+    from kbspark.streaming import flows
+
+    pd.DataFrame({"message_id": ["m", "m", "m"], "token": ["a <", None, "b"]}).to_parquet(tmp_path / "a.parquet")
+    s = spark.readStream.schema("message_id string, token string").parquet(str(tmp_path))
+    q = flows.filter_tokens(s).writeStream.format("memory").queryName("ended").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.sql("select array_join(collect_list(shown), '') s from ended").first().s == "a <b"
