@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
-from kbspark.operators import chunking, search, tree
+from kbspark.operators import chunking, search, store, tree
 from kbspark.sources import markup
 
 #: Steps in their order.
@@ -138,3 +138,21 @@ def run(spark: SparkSession, docs: DataFrame, out: str) -> dict[str, DataFrame]:
 def resume_point(spark: SparkSession, out: str) -> str | None:
     """The first step without a whole table; None when all are there."""
     return next((s for s in STEPS if not _exists(spark, f"{out}/{s}/_SUCCESS")), None)
+
+
+def pdf_sections(boxes: DataFrame, outlines: DataFrame, larger: float = 1.2, longest: int = 120) -> DataFrame:
+    """(path, kind, level, page, top, text, source): the headings and paragraphs of PDF files, from the lines and outlines of ``sources.pdf``.
+
+    An outline's heading stands where the first line that matches its title does, else before its page's first line (top -1). Of the other
+    lines those of at most ``longest`` characters whose font is ``larger`` times the file's median size are headings, too: of the level
+    that their number tells, else by their height. Null texts are left out, and files without an outline have lines only.
+    """
+    median = boxes.groupBy("path").agg(F.median("size").alias("body"))
+    lines = boxes.where("text is not null").withColumn("id", F.col("page").cast("long") * (1 << 32) + F.col("seq"))
+    place = store.calibrated(outlines.select(F.col("path").alias("doc_id"), "ord", "title"), lines.select(F.col("path").alias("doc_id"), "id", "page", "top", "text"))
+    place = place.select(F.col("doc_id").alias("path"), "ord", F.col("page").alias("at"), "top")
+    named = outlines.join(place, ["path", "ord"]).select("path", F.lit("heading").alias("kind"), "level", F.coalesce("at", "page").alias("page"), F.coalesce("top", F.lit(-1.0)).alias("top"), F.col("title").alias("text"), F.lit("outline").alias("source"))
+    rest = lines.join(place.where("top is not null").select("path", F.col("at").alias("page"), "top"), ["path", "page", "top"], "left_anti").join(median, "path")
+    title = (F.col("size") >= larger * F.col("body")) & (F.length("text") <= longest)
+    level = F.coalesce(T.heading_level(F.col("text")), F.when(F.col("size") >= 1.4 * F.col("body"), 0).otherwise(1)).cast("int")
+    return named.unionByName(rest.select("path", F.when(title, "heading").otherwise("paragraph").alias("kind"), F.when(title, level).alias("level"), "page", "top", "text", F.lit("box").alias("source")))

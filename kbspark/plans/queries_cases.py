@@ -18,7 +18,7 @@ from kbspark.functions import parse
 from kbspark.functions import text as T
 from kbspark.operators import agent, chunking, ingest, layout, loop, models, navigate, resume, search, store, tables, tree
 from kbspark.plans.book import Book
-from kbspark.sources import files, html, markup
+from kbspark.sources import files, html, markup, pdf
 from kbspark.streaming import flows
 
 _DUCK = {"string": "VARCHAR", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
@@ -154,11 +154,38 @@ def _shape(y: int, text: str) -> str:
 _PPTX = _zipped({"ppt/slides/slide2.xml": f"<s>{_shape(1, 'two')}</s>", "ppt/slides/slide1.xml": f"<s>{_shape(500, 'low')}{_shape(10, 'high')}</s>"})
 _EPUB = _zipped({"b.opf": "<p><item id='x' href='z.xhtml'/><item id='y' href='a.xhtml'/><itemref idref='x'/><itemref idref='y'/></p>", "a.xhtml": "<p>last</p>", "z.xhtml": "<h1>first</h1>"})
 _ODT = _zipped({"content.xml": "<o><h>T</h><p>x<b>y</b></p></o>"})
+
+
+def _pdf(objects: dict[int, str]) -> bytes:
+    return ("%PDF-1.7\n" + "".join(f"{n} 0 obj\n{x}\nendobj\n" for n, x in objects.items()) + "trailer\n<</Root 1 0 R>>\n").encode()
+
+
+def _stream(data: str) -> str:
+    return f"<</Length {len(data)}>>\nstream\n{data}\nendstream"
+
+
+_PDF = _pdf({
+    1: "<</Type/Catalog/Pages 2 0 R/Outlines 8 0 R>>", 2: "<</Kids[4 0 R 6 0 R]/MediaBox[0 0 600 800]/Resources<</Font<</F 3 0 R>>>>>>", 3: "<</Type/Font/Subtype/Type1/Encoding/WinAnsiEncoding>>",
+    4: "<</Type/Page/Contents 5 0 R>>", 5: _stream("BT /F 20 Tf 50 700 Td (1. Part) Tj /F 10 Tf 0 -30 Td [(bo)10(dy)-600(text)] TJ 0 -30 Td /F 16 Tf (Loose title) Tj ET"),
+    6: "<</Type/Page/Contents 7 0 R>>", 7: _stream("BT /F 10 Tf 50 700 Td (caf\\351 one) Tj 0 -12 Td (two) Tj 0 -12 Td (three) Tj ET"),
+    8: "<</First 9 0 R>>", 9: "<</Title(Part)/Dest[4 0 R/Fit]/First 10 0 R>>", 10: "<</Title(Absent)/Dest[6 0 R/Fit]>>",
+})
 _FILES = [
     ("a.txt", "txt", "héllo".encode(), "héllo"), ("mark.txt", "txt", "\ufeffmarked".encode(), "marked"), ("b.md", "md", "中文".encode("gb18030"), "中文"), ("c.json", "json", b'{"a": 1}', '{"a": 1}'), ("d.docx", "docx", _DOCX, "# Top\n\nbody\n\na | b"), ("e.xlsx", "xlsx", _XLSX, "[Sheet: People]\nname\t\t7\nAnn\t\t8"),
-    ("f.pptx", "pptx", _PPTX, "high\nlow\n\ntwo"), ("g.epub", "epub", _EPUB, "first\n\nlast"), ("h.odt", "odt", _ODT, "T\n\nxy"), ("i.rtf", "rtf", rb"{\rtf1{\fonttbl{\f0 Arial;}}Hi\par there \u8364?\'e9}", "Hi\nthere €é"), ("broken.docx", "docx", b"broken", None), ("cut.docx", "docx", _DOCX[:200], None), ("k.pdf", "pdf", b"%PDF", None), ("null.txt", "txt", None, None),
+    ("f.pptx", "pptx", _PPTX, "high\nlow\n\ntwo"), ("g.epub", "epub", _EPUB, "first\n\nlast"), ("h.odt", "odt", _ODT, "T\n\nxy"), ("i.rtf", "rtf", rb"{\rtf1{\fonttbl{\f0 Arial;}}Hi\par there \u8364?\'e9}", "Hi\nthere €é"), ("broken.docx", "docx", b"broken", None), ("cut.docx", "docx", _DOCX[:200], None), ("k.pdf", "pdf", b"%PDF", None), ("l.pdf", "pdf", _PDF, "1. Part\nbody text\nLoose title\n\ncafé one\ntwo\nthree"), ("null.txt", "txt", None, None),
 ]
+
+
+def _pdfs(t) -> DataFrame:
+    return t.spark.createDataFrame([(p, b) for p, x, b, _ in _FILES if x == "pdf"], "path string, content binary")
+
+
 Q.rows("case_file_texts", "path string, extension string, text string", lambda t: files.texts(t.spark.createDataFrame([(p, x, datetime.datetime(2024, 1, 1), b) for p, x, b, _ in _FILES], "path string, extension string, modified timestamp, content binary")), [(p, x, text) for p, x, _, text in _FILES])
+Q.rows("case_pdf_sections", "path string, kind string, level long, page long, top double, text string, source string", lambda t: ingest.pdf_sections(pdf.boxes(_pdfs(t)), pdf.outlines(_pdfs(t))), [
+    ("l.pdf", "heading", 0, 1, 100, "Part", "outline"), ("l.pdf", "paragraph", None, 1, 130, "body text", "box"), ("l.pdf", "heading", 0, 1, 160, "Loose title", "box"), ("l.pdf", "heading", 1, 2, -1, "Absent", "outline"),
+    ("l.pdf", "paragraph", None, 2, 100, "café one", "box"), ("l.pdf", "paragraph", None, 2, 112, "two", "box"), ("l.pdf", "paragraph", None, 2, 124, "three", "box"),
+])
+Q.rows("case_pdf_outline", "path string, ord long, title string, level long, page long", lambda t: pdf.outlines(_pdfs(t)), [("l.pdf", 0, "Part", 0, 1), ("l.pdf", 1, "Absent", 1, 2)])
 Q.rows("case_path_scan", "name string", lambda t: files.scan(t.spark, t.folder, ("parquet",)).select(F.regexp_extract("path", r"([^/]+\.parquet)", 1).alias("name")).distinct(), [(f"{x}.parquet",) for x in ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")])
 Q.rows("case_input_resolver", "source string, text string", lambda t: files.resolve(t.spark, ["just text", "two\nlines"], lambda a: False), [("__text__", "just text"), ("__text__", "two\nlines")])
 Q.column("case_structured_kinds", "boolean", files.is_structured, [("PDF", True), ("md", True), ("xlsx", False)])

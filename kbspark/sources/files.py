@@ -1,7 +1,7 @@
 """Files as rows: recursive scans, text decoding and the office and book formats that the standard library can open.
 
 All readers go through Spark's ``binaryFile`` source, so any store that Spark reads will do, and a file that can't be read gives a null text in place of
-a failed job. Formats that need absent libraries (PDF, images, symbolic mathematics) raise ``MissingReader`` by name.
+a failed job. Formats that need absent libraries (images) raise ``MissingReader`` by name.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.sources.pdf import pdf_text
+
 #: Extensions by reader.
 TEXT, SHEETS, DOCUMENTS = ("txt", "text", "md", "markdown", "json", "jsonl", "csv", "html", "htm", "log", "py", "xml", "yaml", "yml"), ("xlsx",), ("docx", "pptx", "epub", "odt", "eml")
 STRUCTURED = ("pdf", "docx", "md", "markdown", "html", "htm", "txt", "text")
@@ -208,7 +210,7 @@ def rtf_text(content: bytes) -> str:
     return "".join(out).strip()
 
 
-READERS: dict[str, Callable[[bytes], str]] = {"docx": docx_text, "xlsx": xlsx_text, "pptx": pptx_text, "epub": epub_text, "odt": odt_text, "eml": eml_text, "rtf": rtf_text}
+READERS: dict[str, Callable[[bytes], str]] = {"docx": docx_text, "xlsx": xlsx_text, "pptx": pptx_text, "epub": epub_text, "odt": odt_text, "eml": eml_text, "rtf": rtf_text, "pdf": pdf_text}
 
 
 def reader_of(extension: str) -> Callable[[bytes], str]:
@@ -234,7 +236,7 @@ def texts(files: DataFrame) -> DataFrame:
                 out.append(None)
         return pa.array(out, pa.string())
 
-    other = F.when(F.col("extension").isin("pdf", "png", "jpg", "jpeg"), F.lit(None).cast("string")).otherwise(decoded(F.col("content")))
+    other = F.when(F.col("extension").isin("png", "jpg", "jpeg"), F.lit(None).cast("string")).otherwise(decoded(F.col("content")))
     return files.withColumn("text", F.when(F.col("extension").isin(*READERS), office(F.col("content"), F.col("extension"))).otherwise(other)).drop("content")
 
 

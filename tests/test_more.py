@@ -19,7 +19,7 @@ def test_slides_and_books():
     assert files.odt_text(zipped(**{"content.xml": "<o><h>T</h><p>x<b>y</b></p></o>"})) == "T\n\nxy"
     assert files.eml_text(b"Subject: s\n\nbody\n").split() == ["s", "body"]
     try:
-        files.reader_of("pdf")
+        files.reader_of("png")
         raise AssertionError
     except files.MissingReader:
         pass
