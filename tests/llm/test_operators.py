@@ -103,6 +103,23 @@ def test_token_files(spark, data, docs, odd, tokenizers):
     assert token_binary.token_digests(token_binary.write_token_files(odd.limit(0), Q.tokenizer_path("word_bpe_49k.json"))).count() == 0
 
 
+def test_ranks_are_those_of_the_whole_table(spark, odd, tokenizers):
+    files = token_binary.write_token_files(odd.repartition(3), Q.tokenizer_path("word_bpe_49k.json"), ids_per_file=50).collect()
+    seen = Counter(int(x) for _, ids in expected_tokens([r[:2] for r in ODD], tokenizers["word_bpe_49k.json"], 1) for x in ids)
+    (dictionary,) = [r for r in files if r.part == -1]
+    assert np.frombuffer(dictionary.ranks, "<u4").tolist() == sorted(seen, key=lambda x: (-seen[x], x))
+    assert len(files) > 2 and all(not r.ranks for r in files if r.part >= 0)
+    assert sum(r.n_ids for r in files) == seen.total()
+
+
+def test_one_id_is_dealt_over_tasks(spark):
+    texts = [f"word{i % 7} and more" for i in range(400)]
+    for rows in ([(None, t) for t in texts], [(5, texts[0])] * 400):
+        files = token_binary.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), Q.tokenizer_path("word_bpe_49k.json"))
+        assert files.where("part >= 0").select("part").distinct().count() > 1
+        assert token_binary.read_token_files(files).count() == 400
+
+
 def check_packed(rows, expected, window=1024):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
