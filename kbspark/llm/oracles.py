@@ -66,3 +66,19 @@ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.
     "doc_id",
     "n.doc_id, n.n AS n_shingles, coalesce(component, n.doc_id) AS component_id",
 )
+#: Sequences are told apart by the MD5 of each turn's role and text in a row; CRC-32 bit by bit over the digits.
+_CRC = "xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT), lambda crc, b: list_reduce([xor(crc, b)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+EXACT_SEARCH = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+PREFIX_TRIE = f"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS turn, strlen(coalesce(text, '')) AS n_bytes FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM t),
+r AS (SELECT c.conv_id, t.i AS place, 0 AS own, turn, n_bytes FROM c JOIN t ON c.base = t.conv_id AND t.i <= c.h UNION ALL SELECT c.conv_id, t.i, 1, turn, n_bytes FROM c JOIN t ON c.conv_id = t.conv_id AND t.i > c.h),
+m AS (SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(turn, '') OVER w) AS node, n_bytes FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, place ROWS UNBOUNDED PRECEDING) UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+l AS (SELECT conv_id, max(depth) AS depth FROM m GROUP BY conv_id),
+e AS (SELECT m.node, m.depth, string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) AS ids FROM m JOIN l ON m.conv_id = l.conv_id AND m.depth = l.depth GROUP BY ALL),
+n AS (SELECT node, m.depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, any_value(n_bytes) AS n_bytes, max(l.depth) = m.depth AS leaf FROM m JOIN l ON m.conv_id = l.conv_id GROUP BY node, m.depth),
+u AS (SELECT n.node, n.depth, p.node AS parent FROM n JOIN m p ON n.conv_id = p.conv_id AND p.depth = n.depth - 1),
+k AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM u GROUP BY ALL),
+s AS (SELECT a.node, a.depth, count(*) FILTER (WHERE n.leaf) AS n_leaves, CAST(sum((n.n_convs - 1) * n.n_bytes) AS BIGINT) AS saved_tokens FROM n JOIN m a ON n.conv_id = a.conv_id AND a.depth <= n.depth GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256 FROM n JOIN s ON n.node = s.node AND n.depth = s.depth LEFT JOIN k ON n.node = k.node AND n.depth = k.depth LEFT JOIN e ON n.node = e.node AND n.depth = e.depth LEFT JOIN u ON n.node = u.node AND n.depth = u.depth LEFT JOIN n p ON u.parent = p.node AND p.depth = n.depth - 1"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.llm import embedding_dedup, jaccard_join, license_scan, mixing, oracles, packing, pii, quality_classifier, quality_rules, token_binary, url_filters
+from kbspark.llm import embedding_dedup, exact_search, jaccard_join, license_scan, mixing, oracles, packing, pii, prefix_trie, quality_classifier, quality_rules, token_binary, url_filters
 
 
 def tokenizer_path(name: str) -> str:
@@ -82,6 +82,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(_read(spark, sf_dir, "documents"))
 
 
+def op11_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(_read(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_retrieval_packing": op2_retrieval_packing,
@@ -93,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_token_binary": op9_token_binary,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_exact_search": op11_exact_search,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -101,4 +111,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_source_mixing": oracles.mixing_sql(MIX_SHARES, MIX_OTHER),
     "op7_embedding_dedup": oracles.EMBEDDINGS,
     "op10_jaccard_join": oracles.JACCARD,
+    "op11_exact_search": oracles.EXACT_SEARCH,
+    "op12_prefix_trie": oracles.PREFIX_TRIE,
 }
