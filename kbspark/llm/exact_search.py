@@ -94,23 +94,21 @@ def accumulate(queries: tuple, index: tuple, first: int, last: int) -> np.ndarra
     q_terms, q_places, q_weights = q_terms[a:b], q_places[a:b] - first, q_weights[a:b]
     order = np.argsort(q_terms, kind="stable")
     bounds = np.flatnonzero(np.diff(q_terms[order], prepend=-1, append=-1)) if len(order) else []
-    scores = np.zeros((last - first, len(ids)), np.int64)
+    scores = np.zeros((len(ids), last - first), np.int64)  # a row's scores lie together, so that a posting moves whole lines
     posted = terms[starts[:-1]]  # the terms of the block, ascending
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         at = order[lo:hi]
         k = np.searchsorted(posted, q_terms[at[0]])
         if k == len(posted) or posted[k] != q_terms[at[0]]:
             continue
-        p, w = places[starts[k] : starts[k + 1]], weights[starts[k] : starts[k + 1]]
-        rows, add = q_places[at], q_weights[at][:, None] * w
+        asked = np.zeros(last - first, np.int64)
+        asked[q_places[at]] = q_weights[at]
+        p, add = places[starts[k] : starts[k + 1]], weights[starts[k] : starts[k + 1], None] * asked
         if len(p) == len(ids):  # a posting of every row: places are 0, 1, ...
-            if len(rows) == len(scores):
-                scores += add
-            else:
-                scores[rows] += add
+            scores += add
         else:
-            scores[rows[:, None], p] += add
-    return scores
+            scores[p] += add
+    return np.ascontiguousarray(scores.T)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
