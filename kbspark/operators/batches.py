@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from kbspark.sources.shared import exists
+from kbspark.sources.shared import exists, names_in
 
 LEDGER = "key {kind}, digest string, live boolean, batch long"
 
@@ -43,6 +44,15 @@ class Batches:
         rows = rows.where("key is not null").withColumn("rn", F.row_number().over(one)).where("rn = 1").drop("rn")
         return rows.join(self.ledger(batch).select("key", "digest"), ["key", "digest"], "left_anti")
 
+    def done(self, name: str) -> list[int]:
+        """The batches whose part of a table is whole: Spark's committer leaves its mark in such only."""
+        found = [int(x.removeprefix("batch=")) for x in names_in(self.spark, f"{self.folder}/{name}") if x.startswith("batch=")]
+        return sorted(n for n in found if exists(self.spark, f"{self.folder}/{name}/batch={n}/_SUCCESS"))
+
+    def part(self, name: str, batch: int) -> DataFrame:
+        """One batch's rows of a table."""
+        return self.spark.read.parquet(f"{self.folder}/{name}/batch={batch}")
+
     def write(self, name: str, rows: DataFrame, batch: int, *by: str) -> None:
         """A batch's rows of a table, in partitions by ``by`` within the batch's own."""
         out = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
@@ -52,8 +62,10 @@ class Batches:
         """The ledger of a batch, (key, digest, live); all its tables are written by then."""
         self.write("ledger", rows.select("key", "digest", "live"), batch)
 
-    def read(self, name: str, schema: str, key: str = "key") -> DataFrame:
+    def read(self, name: str, schema: str | StructType, key: str = "key") -> DataFrame:
         """A table's rows as they stand: of each document those of its last batch, if it's live then. ``schema`` names the columns but ``batch``."""
-        rows = self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.folder}/{name}") if exists(self.spark, f"{self.folder}/{name}") else self.spark.createDataFrame([], f"{schema}, batch long")
+        rows = self.spark.createDataFrame([], schema).withColumn("batch", F.lit(0).cast("long"))
+        if exists(self.spark, f"{self.folder}/{name}"):
+            rows = self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{name}")
         live = self.ledger().where("live").select(F.col("key").alias(key), "batch")
         return rows.join(live, [key, "batch"], "left_semi").drop("batch")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.operators import chunking, search, store, tree
+from kbspark.operators.batches import Batches, digest_of
 from kbspark.sources import markup
 
 #: Steps in their order.
@@ -109,35 +110,50 @@ def bm25_indexed(index: DataFrame, total: DataFrame, query: str, k: int = 5, key
     return met.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def run(spark: SparkSession, docs: DataFrame, out: str) -> dict[str, DataFrame]:
-    """All steps as tables below ``out``. A step whose table was committed by an earlier run is read, not made again; Spark's committer leaves
-    ``_SUCCESS`` only in whole tables, so a run that was lost goes on where it stopped."""
-    made: dict[str, DataFrame] = {}
+def _steps(tables: Batches, batch: int) -> None:
+    """The steps of one batch, from its stored changes to its ledger. A step that is whole is read, not made again."""
 
     def step(name: str, build, *by: str) -> DataFrame:
-        path = f"{out}/{name}"
-        if not _exists(spark, f"{path}/_SUCCESS"):
+        if batch not in tables.done(name):
             rows = build()
-            (rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows).write.mode("overwrite").parquet(path)
-        made[name] = spark.read.parquet(path)
-        return made[name]
+            tables.write(name, rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows, batch)
+        return tables.part(name, batch)
 
-    found = step("parse", lambda: nodes(docs))
+    changed = tables.part("changes", batch)
+    found = step("parse", lambda: nodes(changed.where("live").select(F.col("key").alias("doc_id"), "text")))
     cut = step("chunk", lambda: chunks(found))
     step("embed", lambda: embedded(cut))
-    step("index", lambda: postings(cut), "term")
-    step("totals", lambda: totals(cut))
-    return made
+    step("index", lambda: postings(cut).withColumn("doc_id", F.regexp_extract("chunk_id", r"(?s)^(.*):chunk:\d+$", 1)), "term")
+    if batch not in tables.done("ledger"):
+        tables.commit(changed, batch)
+
+
+def run(spark: SparkSession, docs: DataFrame, out: str, key: str = "doc_id", text: str = "text", withdrawn: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Ingest documents that are new, or changed since they were ingested last, as a batch of tables below ``out``; returns all tables as they stand.
+
+    A batch that was lost halfway is gone on with first, from the step that isn't whole. Documents that are as they were do nothing, so running
+    again with the same input writes nothing. ``withdrawn`` (``key``) takes documents out. Rows with a null key are left out; of rows that share one, one counts.
+    """
+    tables = Batches(spark, out, "string")
+    for batch in tables.done("changes"):
+        _steps(tables, batch)
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.lit(True).alias("live"))
+    if withdrawn is not None:
+        rows = rows.unionByName(withdrawn.select(F.col(key).cast("string").alias("key"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("live")))
+    batch = max(tables.done("changes"), default=-1) + 1
+    changes = tables.changes(rows.withColumn("digest", digest_of("text", "live")), batch, "digest")
+    if changes.limit(1).count() or not batch:
+        tables.write("changes", changes, batch)
+        _steps(tables, batch)
+    made = {name: tables.read(name, tables.part(name, batch if batch in tables.done(name) else 0).schema, "doc_id") for name in STEPS}
+    return made | {"totals": totals(made["chunk"])}
 
 
 def resume_point(spark: SparkSession, out: str) -> str | None:
-    """The first step without a whole table; None when all are there."""
-    return next((s for s in STEPS if not _exists(spark, f"{out}/{s}/_SUCCESS")), None)
+    """The first step that isn't whole for every batch; None when all are."""
+    tables = Batches(spark, out, "string")
+    batches = tables.done("changes")
+    return next((s for s in STEPS if not batches or set(batches) - set(tables.done(s))), None)
 
 
 def pdf_sections(boxes: DataFrame, outlines: DataFrame, larger: float = 1.2, longest: int = 120) -> DataFrame:

@@ -24,9 +24,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _hadoop(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _hadoop(spark, path)
+    return files.exists(target)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where there is no such folder."""
+    files, target = _hadoop(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(target)) if files.exists(target) else []
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

@@ -39,7 +39,7 @@ def test_complexity(spark, q, rule):
     assert one(spark, T.complexity_rule, q) == rule
 
 
-@pytest.mark.parametrize(("q", "parts"), [("A、B、C 的 X 的区别", ["A 的 X", "B 的 X", "C 的 X"]), ("甲和乙的区别", ["甲", "乙"]), ("what is X", ["what is X"])])
+@pytest.mark.parametrize(("q", "parts"), [("A、B、C 的 X 的区别", ["A 的 X", "B 的 X", "C 的 X"]), ("甲和乙的区别", ["甲", "乙"]), ("what is X", ["what is X"]), ("苹果与梨的价格有什么不同", ["苹果 的 价格", "梨 的 价格"]), ("A、B的价格和区别", ["A 的 价格", "B 的 价格"]), ("A和B的X分别是什么", ["A 的 X是什么", "B 的 X是什么"]), ("甲的区别", ["甲的区别"]), ("", [""])])
 def test_comparisons_split(spark, q, parts):
     assert one(spark, T.split_comparison, q) == parts
 

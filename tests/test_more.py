@@ -73,6 +73,26 @@ def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
     assert spark.read.parquet(f"{out}/embed").count() == 3 and spark.read.parquet(f"{out}/parse").count() == made["parse"].count()
 
 
+def test_ingest_takes_new_and_changed_documents(spark, tmp_path):
+    from kbspark.operators import ingest
+
+    out = f"file://{tmp_path}/kb"
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    texts = lambda made: sorted((r.doc_id, r.text) for r in made["chunk"].collect())
+    one, two, other = (1, "red apples"), (2, "blue sky"), (2, "grey sky")
+    assert texts(ingest.run(spark, docs(one), out)) == [("1", "red apples")]
+    assert texts(ingest.run(spark, docs(one, two), out)) == [("1", "red apples"), ("2", "blue sky")]
+    made = ingest.run(spark, docs(one, other), out)
+    assert texts(made) == [("1", "red apples"), ("2", "grey sky")]
+    assert [r.chunk_id for r in ingest.bm25_indexed(made["index"], made["totals"], "blue grey").collect()] == ["2:chunk:0"]
+    batches = spark.read.parquet(f"{out}/ledger").select("batch").distinct().count()
+    ingest.run(spark, docs(one, other), out)
+    assert spark.read.parquet(f"{out}/ledger").select("batch").distinct().count() == batches == 3
+    assert texts(ingest.run(spark, docs(one), out, withdrawn=docs(other))) == [("1", "red apples")]
+    fresh = ingest.run(spark, docs(one), f"{out}-fresh")
+    assert sorted(map(repr, fresh["parse"].collect())) == sorted(map(repr, ingest.run(spark, docs(one), out)["parse"].collect()))
+
+
 def test_message_state_ends(spark, tmp_path):
     import pandas as pd
 
