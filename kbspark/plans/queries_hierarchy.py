@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import tree as R
 from kbspark.plans.book import Book
+from kbspark.plans.queries_search import _STEM, _SYN
 
 Q = Book()
 
@@ -77,5 +78,40 @@ def _routing(t):
     return route(t.benchmark.select(F.col("item_id").cast("string").alias("doc_id"), F.col("text").alias("card")), "the of and", 5).select("doc_id", "score")
 
 
-Q.add("tree_nav", _nav)
-Q.add("doc_routing", _routing)
+_DOCS = f"SELECT CASE WHEN node_id LIKE 'r%' THEN node_id WHEN node_id LIKE 'n%' THEN parent_id ELSE (SELECT 'r' || n_regionkey FROM nation WHERE 'n' || n_nationkey = x.parent_id) END AS doc_id, node_id, CASE WHEN node_id NOT LIKE 'r%' THEN parent_id END AS parent_id, type, title, text, ord FROM ({NODES}) x WHERE node_id <> 'w'"
+_WORDS = r"list_distinct(list_filter(string_split_regex(lower({}), '\s+'), lambda w: w <> ''))"
+_SHARE = "len(list_intersect({q}, {t})) / len({q})::DOUBLE".format(q=_WORDS.format("query"), t=_WORDS.format("{t}"))
+
+
+def walked(docs: str, questions: str) -> str:
+    """Evidence for ``questions`` (query_id, query), each asked of every tree of ``docs``, with the default limits: a frontier of sections by levels, running sums in order of places."""
+    step = "[CASE WHEN type IN ('section', 'document') THEN '1' ELSE '0' END || lpad(n.ord::VARCHAR, 12, '0') || n.node_id]"
+    about = _SHARE.format(t="concat_ws(' ', title, sample)")
+    return f"""WITH RECURSIVE n AS ({docs}), q AS ({questions}), p(doc_id, node_id, place) AS (SELECT doc_id, node_id, {step} FROM n WHERE parent_id IS NULL UNION ALL SELECT n.doc_id, n.node_id, p.place || {step} FROM n JOIN p ON n.doc_id = p.doc_id AND n.parent_id = p.node_id),
+t AS (SELECT n.*, place, type IN ('section', 'document') AS holds, row_number() OVER (PARTITION BY n.doc_id, parent_id, type IN ('section', 'document') ORDER BY ord, n.node_id) AS i FROM n JOIN p ON n.doc_id = p.doc_id AND n.node_id = p.node_id),
+x AS (SELECT s.doc_id, s.node_id, arg_min(substr(l.text, 1, 200), l.place) AS sample FROM t s JOIN t l ON s.doc_id = l.doc_id AND s.holds AND NOT l.holds AND trim(l.text) <> '' AND l.place[1:len(s.place)] = s.place GROUP BY ALL),
+s AS (SELECT t.*, sample FROM t LEFT JOIN x ON t.doc_id = x.doc_id AND t.node_id = x.node_id WHERE holds),
+f(query_id, query, doc_id, node_id, place, depth) AS (SELECT query_id, query, doc_id, node_id, place, 0 FROM q, s WHERE parent_id IS NULL UNION ALL SELECT query_id, query, s.doc_id, s.node_id, s.place, depth + 1 FROM f JOIN s ON f.doc_id = s.doc_id AND s.parent_id = f.node_id WHERE depth < 4 AND {about} >= 0.2),
+r AS (SELECT query_id, f.doc_id, f.node_id, t.node_id AS leaf, i, text, {_SHARE.format(t='text')} AS score FROM f JOIN t ON f.doc_id = t.doc_id AND t.parent_id = f.node_id AND NOT holds WHERE depth < 4),
+c AS (SELECT query_id, doc_id, node_id, count_if(score >= 0.2) AS reads, count_if(score >= 0.5) AS sure FROM r GROUP BY ALL), o AS (SELECT a.query_id, a.doc_id, a.node_id, count(*) AS n_open FROM f a JOIN s ON a.doc_id = s.doc_id AND s.parent_id = a.node_id JOIN f b ON b.query_id = a.query_id AND b.doc_id = s.doc_id AND b.node_id = s.node_id GROUP BY ALL),
+w AS (SELECT f.query_id, f.doc_id, f.node_id, f.place, depth, (sum(coalesce(sure, 0)) OVER v >= 2 OR row_number() OVER v >= 8 OR sum(coalesce(reads, 0)) OVER v >= 20) AND (coalesce(lead(depth) OVER v > 0, false) OR depth >= 3 AND n_open > 0) AS ends FROM f LEFT JOIN c USING (query_id, doc_id, node_id) LEFT JOIN o USING (query_id, doc_id, node_id) WHERE depth < 4 WINDOW v AS (PARTITION BY f.query_id, f.doc_id ORDER BY f.place)),
+y AS (SELECT r.* FROM r JOIN (SELECT *, coalesce(bool_or(ends) OVER (PARTITION BY query_id, doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM w) USING (query_id, doc_id, node_id) WHERE NOT over)
+SELECT query_id, doc_id, leaf AS node_id, text, score, score < 0.5 AS ambiguous, false AS is_neighbor FROM y WHERE score >= 0.2
+UNION ALL SELECT query_id, doc_id, leaf, text, 0.0::DOUBLE, false, true FROM y WHERE score < 0.2 AND EXISTS (SELECT 1 FROM y z WHERE z.query_id = y.query_id AND z.doc_id = y.doc_id AND z.node_id = y.node_id AND z.score >= 0.2 AND abs(z.i - y.i) = 1)
+UNION ALL SELECT query_id, doc_id, leaf, text, score, true, false FROM (SELECT * FROM y WHERE NOT EXISTS (SELECT 1 FROM y z WHERE z.query_id = y.query_id AND z.doc_id = y.doc_id AND z.score >= 0.2) QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, leaf) <= 3)"""
+
+
+def _levels(t):
+    """The nations' and the suppliers' names as questions to every region's tree."""
+    from kbspark.operators.levels import search
+
+    q = t.nation.select(F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("text of "), "n_name").alias("query")).union(t.supplier.select((F.col("s_suppkey") + 1000).cast("long"), F.col("s_name")))
+    docs = t.region.select(F.concat(F.lit("r"), "r_regionkey").alias("doc_id"))
+    return search(_tree_docs(t), q.join(F.broadcast(docs)).select("query_id", "doc_id", "query"))[0]
+
+
+_ONE = "SELECT 0 AS query_id, 'text of Supplier' AS query"
+Q.add("tree_nav", _nav, f"SELECT doc_id, node_id, text, score, ambiguous, is_neighbor FROM ({walked(_DOCS, _ONE)})")
+Q.add("tree_levels", _levels, walked(_DOCS, "SELECT n_nationkey::BIGINT AS query_id, 'text of ' || n_name AS query FROM nation UNION ALL SELECT s_suppkey::BIGINT + 1000, s_name FROM supplier"))
+_CARD = f"len(list_intersect(list_distinct(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda v: list_transform([lower(v)], lambda w: coalesce({_SYN}[w], {_STEM}))[1])), ['the', 'of', 'and'])) / 3.0::DOUBLE"
+Q.add("doc_routing", _routing, f"SELECT item_id::VARCHAR AS doc_id, round({_CARD}, 6) AS score FROM benchmark ORDER BY score DESC, doc_id LIMIT 5")
