@@ -1,8 +1,9 @@
-"""The jobs as queries: each runs its function twice into one new folder, and returns what stands there then."""
+"""The jobs as queries, each of which runs its function twice into one new folder and returns what stands there then, and a stream with state over two runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kbspark.plans.book import Book
 from kbspark.plans.queries_index import bm25_many
@@ -48,3 +49,25 @@ x AS (SELECT q.query_id, concat_ws(' ', q.text, substr(d.text, 1, 600)) AS text
 b AS ({bm25_many('SELECT * FROM x', 'SELECT key, text FROM d', 10, 'query_id, key, score')}),
 t2 AS (SELECT query_id, key, score FROM (SELECT *, {_BEST} AS rn FROM b ANTI JOIN a USING (query_id, key)) JOIN n1 USING (query_id) WHERE rn <= room),
 u AS (SELECT * FROM a UNION ALL SELECT *, 'anchored', 2 FROM t2) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY i, score DESC, key) AS INTEGER) AS rank, key AS doc_id, score, tier FROM u""")
+
+
+def _messages(t) -> DataFrame:
+    """Every turn with a citation in its middle, and a call at the end of the assistant's, cut into pieces of 40 characters that come in two files; the stream ends and starts anew between them."""
+    from kbspark.streaming import messages
+
+    at = new_folder(t.spark, "messages")
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = F.concat(F.expr("substr(text, 1, cast(length(text) div 2 as int))"), F.lit("["), F.col("turn").cast("string"), F.lit("]"), F.substring("text", half + 1, F.length("text")), F.when(F.col("role") == "assistant", F.lit("<DSML call>hidden")).otherwise(""))
+    whole = t.conversations.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("message_id"), text.alias("text"))
+    pieces = whole.select("message_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / 40).cast("int")), lambda i: F.substring("text", i * 40 + 1, F.lit(40)))).alias("seq", "piece"))
+    last = whole.select("message_id", (F.ceil(F.length("text") / 40) + 1).cast("int").alias("seq"), F.lit(None).cast("string").alias("piece"))
+    rows = pieces.union(last).select("message_id", F.col("seq").cast("long").alias("seq"), F.when(F.col("piece").isNull(), "end").otherwise("token").alias("kind"), "piece")
+    for part in (rows.where("seq < 5"), rows.where("seq >= 5")):
+        part.write.mode("append").parquet(f"{at}/pieces")
+        messages.collect_files(t.spark, f"{at}/pieces", f"{at}/shown", f"{at}/checkpoint", 3).awaitTermination()
+    shown = t.spark.read.schema(messages.SHOWN).parquet(f"{at}/shown")
+    return shown.groupBy("message_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "shown"))), lambda x: x["shown"]), "")).alias("digest"))
+
+
+Q.add("message_stream", _messages, r"""WITH m AS (SELECT conv_id || ':' || turn AS message_id, substr(text, 1, length(text) // 2) || '[' || turn || ']' || substr(text, length(text) // 2 + 1) AS text FROM conversations)
+SELECT message_id, md5(regexp_replace(text, '\[(0|[4-9]|[0-9]{2,})\]', '', 'g')) AS digest FROM m WHERE regexp_replace(text, '\[(0|[4-9]|[0-9]{2,})\]', '', 'g') <> ''""")
