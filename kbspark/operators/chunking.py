@@ -144,3 +144,40 @@ def merged_parts(parts: Column, most: int = 128, between: str = "\n") -> Column:
         return F.struct(F.when(fits, acc["used"] + n).otherwise(n).alias("used"), F.when(fits, grown).otherwise(F.array_append(acc["out"], p)).alias("out"))
 
     return F.aggregate(kept, start, step, lambda acc: acc["out"])
+
+
+#: Characters that are tokens by themselves.
+_WIDE = "一-鿿぀-ヿ가-힯"
+
+
+def token_chunks(text: Column, most: int = 512) -> Column:
+    """The text cut into chunks of at most ``most`` tokens, which in a row are the text again.
+
+    Tokens are runs of other characters than white space, and wide characters one by one. Pieces end after the marks at which a long text may be cut; one
+    of more tokens than a chunk holds is cut by them. Each piece is counted once, and from the running sums of the counts each chunk takes as many pieces as it holds.
+    """
+    token = rf"\s*(?:[{_WIDE}]|[^\s{_WIDE}]+)"
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"(?s)[^。！？!?；;\n]*[。！？!?；;\n]+|[^。！？!?；;\n]+"), F.lit(0))
+
+    def fine(piece: Column) -> Column:
+        """A piece as structs of its text and its tokens, in parts if it's too long."""
+
+        def cut(t: Column) -> Column:
+            parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(t) / most) - 1, F.lit(0)).cast("int")), lambda i: F.struct(F.array_join(F.slice(t, i * most + 1, F.lit(most)), "").alias("t"), F.least(F.size(t) - i * most, F.lit(most)).alias("n")))
+            return F.when(F.size(t) > most, parts).otherwise(F.array(F.struct(piece.alias("t"), F.size(t).alias("n"))))
+
+        return _named(F.regexp_extract_all(piece, F.lit(token + r"(?:\s+$)?"), F.lit(0)), cut)
+
+    def chunks(p: Column) -> Column:
+        upto = F.aggregate(p, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x["n"]))
+
+        def greedy(s: Column) -> Column:
+            """Numbers of pieces after which chunks end: each time as many as have at most ``most`` tokens more."""
+            total = F.element_at(s, -1)
+            steps = F.sequence(F.lit(0), (F.floor(total * 2 / most) + 1).cast("int"))
+            ends = F.aggregate(steps, F.array(F.lit(0)), lambda acc, _: F.when(F.element_at(acc, -1) >= F.size(p), acc).otherwise(F.array_append(acc, F.size(F.filter(s, lambda x: x <= F.element_at(s, F.element_at(acc, -1) + 1) + most)) - 1)))
+            return _named(ends, lambda e: F.transform(F.sequence(F.lit(2), F.size(e)), lambda i: F.array_join(F.transform(F.slice(p, F.element_at(e, i - 1) + 1, F.element_at(e, i) - F.element_at(e, i - 1)), lambda x: x["t"]), "")))
+
+        return F.when(F.size(p) == 0, F.array().cast("array<string>")).otherwise(_named(upto, greedy))
+
+    return _named(F.flatten(F.transform(pieces, fine)), chunks)
