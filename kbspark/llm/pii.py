@@ -184,20 +184,23 @@ class Tagger:
         A path that leaves the outside is a row of spans with some of it between them. A window in which no span gains, wherever it begins
         and ends, needs no search.
         """
-        e = self.scores(x)
+        return self.paths(self.scores(x))
+
+    def paths(self, e: np.ndarray) -> np.ndarray:
+        """``decode`` from scores."""
         step = self.step - self.step[0, 0]
         begin, inside = (np.ascontiguousarray((e[:, :, k::2] - e[:, :, :1]).transpose(0, 2, 1)) for k in (1, 2))  # [time, kind, window]
         begin[1:] += step[0, 1::2][:, None]
         inside += np.maximum(np.diagonal(step[1::2, 2::2]), np.diagonal(step[2::2, 2::2]))[:, None]
         gain = begin[0].copy()
         most = gain.copy()
-        for k in range(1, x.shape[1]):
+        for k in range(1, len(e)):
             gain += inside[k]
             np.maximum(gain, begin[k], out=gain)
             np.maximum(most, gain, out=most)
         most = np.maximum(most + np.maximum(step[1::2, 0], step[2::2, 0])[:, None], gain)  # a span may also go on at the end
         live = np.flatnonzero(most.max(0) > -1e-3)
-        tags = np.zeros(x.shape, np.int64)
+        tags = np.zeros((e.shape[1], len(e)), np.int64)
         if len(live):
             tags[live] = self._best_paths(e[:, live])
         return tags
@@ -429,24 +432,47 @@ def train(texts: list[str], steps: int = 1300, batch: int = 64, window: int = 96
 
 # --- whole texts -------------------------------------------------------------------------------------------------------------------
 
-def tag_text(model: Tagger, texts: list[str], window: int = 512, stride: int = 448, most: int = 384, step: int = 128) -> list[np.ndarray]:
-    """Tags of whole texts, every character of them decoded. At most ``most`` windows are decoded at once; a text's last one is padded to a multiple of ``step``."""
+#: Characters on each side of a seam whose scores are joined, and by how much windows overlap on each side of it.
+SIDE, MARGIN = 96, 32
+
+
+def tag_text(model: Tagger, texts: list[str], window: int = 512, stride: int = 512 - 2 * MARGIN, most: int = 384, step: int = 128) -> list[np.ndarray]:
+    """Tags of whole texts, every character of them decoded. At most ``most`` windows are decoded at once; a text's last one is padded to a multiple of ``step``.
+
+    Windows meet at seams in the middle of their overlaps. Around each the scores of both, each window's on its own side, are joined and decoded as one
+    stretch; from the seam to where both decodings are outside, those tags count in place of the windows' own. So a span over a seam
+    is found like any other, as long as it has at most ``SIDE`` characters on each side.
+    """
     out = [np.zeros(len(t), np.int8) for t in texts]
     waiting: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+    halves: dict[tuple[int, int], np.ndarray] = {}
+    seams: list[tuple[int, int, np.ndarray]] = []
 
     def flush(todo: list[tuple[int, int, np.ndarray]]) -> None:
-        found = model.decode(np.array([w for _, _, w in todo]))
-        for (i, start, _), tags in zip(todo, found):
+        e = model.scores(np.array([w for _, _, w in todo]))
+        found, whole = model.paths(e), []
+        for j, ((i, start, _), tags) in enumerate(zip(todo, found)):
             # the middle of a window is its own; a text's first and last characters belong to the windows that begin and end it
             n = len(out[i])
-            lo = start if start == 0 else start + (window - stride) // 2
-            hi = min(n, start + window) if start + window >= n else start + (window + stride) // 2
+            lo = start if start == 0 else start + MARGIN
+            last = start + stride >= n - 2 * MARGIN
+            hi = n if last else start + stride + MARGIN
             out[i][lo:hi] = tags[lo - start : hi - start]
+            for at, half in ([(lo, e[MARGIN : MARGIN + SIDE, j])] if start else []) + ([] if last else [(hi, e[stride + MARGIN - SIDE : stride + MARGIN, j])]):
+                other = halves.pop((i, at), None)
+                if other is None:
+                    halves[i, at] = half.copy()
+                else:
+                    whole.append((i, at, np.concatenate([half, other] if at == hi else [other, half])))
         todo.clear()
+        if whole:
+            e = np.stack([x for _, _, x in whole], axis=1)
+            e[0] += model.step[0]
+            seams.extend((i, at, tags.astype(np.int8)) for (i, at, _), tags in zip(whole, model.paths(e)))
 
     for i, t in enumerate(texts):
         x = classes(t)
-        for start in range(0, max(1, len(t) - (window - stride)) if t else 0, stride):
+        for start in range(0, max(1, len(t) - 2 * MARGIN) if t else 0, stride):
             part = x[start : start + window]
             w = np.full(-(-len(part) // step) * step, _CLASS[32])
             w[: len(part)] = part
@@ -457,6 +483,13 @@ def tag_text(model: Tagger, texts: list[str], window: int = 512, stride: int = 4
     for todo in waiting.values():
         if todo:
             flush(todo)
+    for i, at, tags in seams:
+        own = out[i][at - SIDE : at + SIDE]
+        tags = tags[: len(own)]
+        outside = np.flatnonzero((own == 0) & (tags == 0))
+        before, after = outside[outside < SIDE], outside[outside >= SIDE]
+        a, b = (before[-1] + 1 if len(before) else 0), (after[0] if len(after) else len(own))
+        own[a:b] = tags[a:b]
     return out
 
 

@@ -551,6 +551,37 @@ def test_windows_agree_across_a_long_text(tagger):
     assert len(tags) == len(t) and {("email", 190, 211)} <= set(pii.spans_of(tags)) and [len(x) for x in pii.tag_text(tagger, ["no trigger here", ""])] == [15, 0]
 
 
+#: Written by hand, not by the generator of the training lines.
+BY_HAND = [
+    ("email", "anna (dot) kowalski (at) mailbox (dot) example (dot) org"), ("email", "jo.smith [at] example [dot] com"), ("email", "maria dot lopez at post dot example dot net"),
+    ("card", "4111.1111.1111.1111"), ("card", "5500/0000/0000/0004"), ("phone", "(0) 171 555 0142"),
+]
+
+
+def test_spans_over_seams_are_those_inside(tagger, docs):
+    """Each form is moved over every place of a seam, in three surroundings: found there as often as in the middle of a window."""
+    clean = re.sub(r"\S*[0-9@]\S*", "", " ".join(t for t in docs.text.tolist() if t)[:9000])
+    clean = re.sub(r"[^A-Za-z ]+", " ", clean)
+    found = {}
+    for at in (250, 480, 928):  # the middle of the first window; its seam with the second; the next
+        texts, gold = [], []
+        for shift in range(-70, 15, 5):
+            for begin in (0, 2000, 4000):
+                for kind, put in BY_HAND[:5]:
+                    before = clean[begin : begin + at + shift - 1] + " "
+                    texts.append(before + put + " " + clean[begin + 1200 : begin + 2100])
+                    gold.append((kind, len(before), len(before) + len(put)))
+        spans = pii.find_spans(tagger, texts)
+        found[at] = [g in s for g, (_, s) in zip(gold, spans)]
+    assert np.mean(found[250]) > 0.5
+    for at in (480, 928):
+        assert np.mean(found[at]) > np.mean(found[250]) - 0.03, (at, np.mean(found[at]), np.mean(found[250]))
+    # and the tags are those that one window over the whole text gives
+    whole = pii.tag_text(tagger, texts, window=4096, stride=4096 - 2 * pii.MARGIN)
+    same = [pii.spans_of(a) == pii.spans_of(b) for a, b in zip(pii.tag_text(tagger, texts), whole)]
+    assert np.mean(same) >= 0.98, np.mean(same)
+
+
 def test_every_window_is_searched_where_it_must_be(tagger, docs):
     """The bound that spares windows the search gives the same tags as searching all of them."""
     x = np.array([pii.classes(t[:200].ljust(200)) for t in docs.text if t] + list(pii.examples(docs.text.tolist(), 60, 200, seed=5)[0]))
