@@ -101,16 +101,34 @@ def sort_rows(boxes: DataFrame, threshold: float, axis: str = "y") -> DataFrame:
     return boxes.groupBy("doc_id", "page").applyInPandas(page, type(boxes.schema)(list(boxes.schema)).add("place", LongType()))
 
 
+#: Boxes that are left as they are in a line; marks at a box's end (the last character, the one before it) and at the next one's
+#: beginning that join the two; marks that end a paragraph, in any language and in English.
+LEFT_ALONE = ("table", "figure", "equation")
+JOINING_LAST, JOINING_BEFORE_LAST, JOINING_FIRST = ",;:'\"，、‘“；：-", ",;:'\"，‘“、；：", "。；？！?”）),，、："
+ENDING, ENDING_ENGLISH = "。？！?", ".!?"
+
+
+def _layout(boxes: DataFrame) -> str:
+    """The column that tells one layout region from another: its number where there is one, else its kind."""
+    return "layout_no" if "layout_no" in boxes.columns else "layout_type"
+
+
 def merge_horizontal(boxes: DataFrame) -> DataFrame:
-    """Neighbouring boxes of a line (same column and layout, tops within a third of the mean height) as one; a merged box meets the next as itself."""
+    """Neighbouring boxes of a line as one: those of one column and region whose middles differ by less than a third of the page's mean height.
+
+    A merged box has the means of both tops and bottoms, ends where the second ends, and meets the next as itself; texts join as they are. Boxes
+    of tables, figures and equations take none in.
+    """
+    region = _layout(boxes)
 
     def page(g: pd.DataFrame) -> pd.DataFrame:
         rows: list[dict] = []
-        limit = (g.bottom - g.top).mean() / 3
+        near = (g.bottom - g.top).mean() / 3
+        middle = lambda b: (b["top"] + b["bottom"]) / 2
         for b in g.sort_values(["top", "x0", "id"]).to_dict("records"):
             last = rows[-1] if rows else None
-            if last and last["layout_type"] == b["layout_type"] and last["col_id"] == b["col_id"] and abs(b["top"] - last["top"]) < limit:
-                last.update(x0=min(last["x0"], b["x0"]), x1=max(last["x1"], b["x1"]), top=min(last["top"], b["top"]), bottom=max(last["bottom"], b["bottom"]), text=f"{last['text']} {b['text']}".strip())
+            if last and last["layout_type"] not in LEFT_ALONE and (last["col_id"], last[region]) == (b["col_id"], b[region]) and abs(middle(b) - middle(last)) < near:
+                last.update(x1=b["x1"], top=(last["top"] + b["top"]) / 2, bottom=(last["bottom"] + b["bottom"]) / 2, text=last["text"] + b["text"])
             else:
                 rows.append(b)
         return pd.DataFrame(rows, columns=g.columns)
@@ -162,16 +180,17 @@ def word_gaps(chars: DataFrame, ratio: float = 0.25) -> DataFrame:
     return chars.withColumn("spaced", F.when(F.coalesce(wide & ~han, F.lit(False)), F.concat("text", F.lit(" "))).otherwise(F.col("text")))
 
 
-def _merge_runs(boxes: DataFrame, joins) -> DataFrame:
-    """Boxes of a page in order; each that ``joins`` the last result is merged into it."""
+def _merge_runs(boxes: DataFrame, order: list[str], joins, merged) -> DataFrame:
+    """Boxes of a page in order; each that ``joins`` the last result becomes one with it. A blank box is dropped when another comes after it."""
 
     def page(g: pd.DataFrame) -> pd.DataFrame:
         rows: list[dict] = []
         height = (g.bottom - g.top).mean()
-        for b in g.sort_values(["col_id", "top", "x0", "id"]).to_dict("records"):
+        for b in g.sort_values([*order, "top", "x0", "id"]).to_dict("records"):
+            if rows and not rows[-1]["text"].strip():
+                rows.pop()
             if rows and joins(rows[-1], b, height):
-                last = rows[-1]
-                last.update(x0=min(last["x0"], b["x0"]), x1=max(last["x1"], b["x1"]), top=min(last["top"], b["top"]), bottom=max(last["bottom"], b["bottom"]), text=f"{last['text']}\n{b['text']}" if joins is _same_bullet else f"{last['text']}{'' if _han_end(last['text']) else ' '}{b['text']}")
+                rows[-1].update(merged(rows[-1], b))
             else:
                 rows.append(b)
         return pd.DataFrame(rows, columns=g.columns)
@@ -179,33 +198,37 @@ def _merge_runs(boxes: DataFrame, joins) -> DataFrame:
     return boxes.groupBy("doc_id", "page").applyInPandas(page, boxes.schema)
 
 
-def _han_end(text: str) -> bool:
-    return bool(text) and "一" <= text[-1] <= "鿿"
-
+def _han(c: str) -> bool:
+    return "一" <= c <= "鿿"
 
-def _continues(a: dict, b: dict, height: float) -> bool:
-    """Whether a box goes on in the one below: near, over each other, of one kind, and not parted by a sentence's end or a bullet."""
-    if a["col_id"] != b["col_id"] or a["layout_type"] != b["layout_type"] or b["top"] - a["bottom"] > 1.5 * height:
-        return False
-    width = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])
-    if width < 0.3 * min(a["x1"] - a["x0"], b["x1"] - b["x0"]):
-        return False
-    return not a["text"].rstrip().endswith(tuple(".!?。！？；;:：")) or b["text"][:1].islower()
 
+def merge_vertical(boxes: DataFrame, english: bool = False) -> DataFrame:
+    """Lines of a paragraph as one box, in order of their tops over the whole page.
 
-def _same_bullet(a: dict, b: dict, height: float) -> bool:
-    mark = a["text"].lstrip()[:1]
-    return bool(mark) and not mark.isalnum() and not _han_end(mark) and b["text"].lstrip()[:1] == mark and a["col_id"] == b["col_id"]
+    The box below goes on with the one above if both are of one region, at most one and a half mean heights apart, and one over the other for three tenths of
+    the narrower one. A mark that ends a paragraph parts them, unless a mark next to it or at the beginning of the lower one joins them.
+    """
+    region = _layout(boxes)
 
+    def joins(a: dict, b: dict, height: float) -> bool:
+        over = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"])
+        if a[region] != b[region] or b["top"] - a["bottom"] > 1.5 * height or over < 0.3 * max(1, min(a["x1"] - a["x0"], b["x1"] - b["x0"])):
+            return False
+        above, below = a["text"].strip(), b["text"].strip()
+        ended = above[-1] in ENDING or english and above[-1] in ENDING_ENGLISH
+        return not ended or above[-1] in JOINING_LAST or above[-2:-1] != "" and above[-2] in JOINING_BEFORE_LAST or below != "" and below[0] in JOINING_FIRST
 
-def merge_vertical(boxes: DataFrame) -> DataFrame:
-    """Lines of a paragraph as one box."""
-    return _merge_runs(boxes, _continues)
+    return _merge_runs(boxes, [], joins, lambda a, b: {"x0": min(a["x0"], b["x0"]), "x1": max(a["x1"], b["x1"]), "bottom": b["bottom"], "text": f"{a['text'].rstrip()} {b['text'].lstrip()}".strip()})
 
 
 def merge_bullets(boxes: DataFrame) -> DataFrame:
-    """Neighbouring boxes that begin with the same mark as one box."""
-    return _merge_runs(boxes, _same_bullet)
+    """Neighbouring boxes that begin with the same mark, a line each, as one box. Latin letters and Han characters are no marks; digits are."""
+
+    def joins(a: dict, b: dict, height: float) -> bool:
+        mark = a["text"].strip()[0]
+        return b["text"].strip()[:1] == mark and not (mark.isascii() and mark.isalpha()) and not _han(mark) and a["top"] <= b["bottom"]
+
+    return _merge_runs(boxes.where(F.trim("text") != ""), ["col_id"], joins, lambda a, b: {"x0": min(a["x0"], b["x0"]), "x1": max(a["x1"], b["x1"]), "bottom": b["bottom"], "text": f"{a['text']}\n{b['text']}"})
 
 
 def columns_of_page(boxes: DataFrame, most: int = 4) -> DataFrame:

@@ -233,7 +233,7 @@ Q.rows("case_box_columns", "doc_id string, a_id long, b_id long", lambda t: layo
 Q.rows("case_caption_regions", "doc_id string, a_id long, b_id long", lambda t: layout.captions_to_regions(_two(t), _regions(t)), [("a", 0, 1), ("b", 1, 2), ("b", 2, 2)])
 Q.rows("case_repeated_headers", "doc_id string, text string", lambda t: layout.repeated_texts(t.spark.createDataFrame([("a", "head", "header"), ("a", "head", "header"), ("a", "body", "text"), ("b", "head", "header"), ("b", "body", "text"), ("b", "body", "text")], "doc_id string, text string, layout_type string")), [("a", "body"), ("b", "head"), ("b", "body"), ("b", "body")])
 Q.rows("case_suppression", "id long", lambda t: layout.suppress(_boxes(t, ("d", 0.0, 10.0, 0.0, 10.0, "text", "a"), ("d", 1.0, 10.0, 0.0, 10.0, "text", "b"), ("d", 50.0, 60.0, 1.0, 11.0, "text", "c"), ("e", 1.0, 10.0, 0.0, 10.0, "text", "d"))), [(0,), (2,), (3,)])
-Q.rows("case_line_merge", "doc_id string, text string", lambda t: layout.merge_horizontal(_boxes(t, ("d", 0.0, 10.0, 0.0, 10.0, "text", "a"), ("d", 11.0, 20.0, 0.0, 10.0, "text", "b"), ("d", 50.0, 60.0, 1.0, 11.0, "text", "c"), ("e", 0.0, 10.0, 0.0, 10.0, "text", "z"))), [("d", "a b c"), ("e", "z")])
+Q.rows("case_line_merge", "doc_id string, text string", lambda t: layout.merge_horizontal(_boxes(t, ("d", 0.0, 10.0, 0.0, 10.0, "text", "a"), ("d", 11.0, 20.0, 0.0, 10.0, "text", "b"), ("d", 50.0, 60.0, 1.0, 11.0, "text", "c"), ("e", 0.0, 10.0, 0.0, 10.0, "text", "z"))), [("d", "abc"), ("e", "z")])
 Q.rows("case_paragraph_merge", "text string", lambda t: layout.merge_vertical(_boxes(t, ("d", 0.0, 90.0, 0.0, 10.0, "text", "the first"), ("d", 0.0, 80.0, 12.0, 22.0, "text", "goes on."), ("d", 0.0, 80.0, 60.0, 70.0, "text", "Another"))), [("the first goes on.",), ("Another",)])
 Q.rows("case_bullet_merge", "text string", lambda t: layout.merge_bullets(_boxes(t, ("d", 0.0, 9.0, 0.0, 9.0, "text", "• a"), ("d", 0.0, 9.0, 10.0, 19.0, "text", "• b"), ("d", 0.0, 9.0, 20.0, 29.0, "text", "c"))), [("• a\n• b",), ("c",)])
 Q.rows("case_sorted_boxes", "axis string, id long, place long", lambda t: (lambda b: layout.sort_rows(b, 5.0).withColumn("axis", F.lit("y")).unionByName(layout.sort_rows(b, 5.0, "x").withColumn("axis", F.lit("x"))))(_boxes(t, ("d", 50.0, 60.0, 0.0, 10.0, "text", "b"), ("d", 0.0, 10.0, 2.0, 12.0, "text", "a"), ("d", 1.0, 11.0, 40.0, 50.0, "text", "c"))), [("y", 1, 0), ("y", 0, 1), ("y", 2, 2), ("x", 1, 0), ("x", 2, 1), ("x", 0, 2)])

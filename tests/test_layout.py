@@ -19,6 +19,28 @@ def test_merges(spark):
     assert [r.text for r in layout.merge_bullets(c).orderBy("top").collect()] == ["• a\n• b", "c"]
 
 
+def test_merges_by_their_marks(spark):
+    line = lambda i, text, kind="text", col=0, gap=2.0: (0.0, 80.0, i * (10.0 + gap), i * (10.0 + gap) + 10.0, kind, col, text)
+    texts = lambda *lines, **more: [r.text for r in layout.merge_vertical(boxes(spark, *lines), **more).orderBy("top").collect()]
+    assert texts(line(0, "see the list："), line(1, "Items")) == ["see the list： Items"]
+    assert texts(line(0, "Done。"), line(1, "Next")) == ["Done。", "Next"]
+    assert texts(line(0, "Done。"), line(1, "）more")) == ["Done。 ）more"]
+    assert texts(line(0, "a;。"), line(1, "b")) == ["a;。 b"]
+    assert texts(line(0, "The end."), line(1, "Next")) == ["The end. Next"] and texts(line(0, "The end."), line(1, "Next"), english=True) == ["The end.", "Next"]
+    assert texts(line(0, "one", col=0), line(1, "two", col=1)) == ["one two"]
+    assert texts(line(0, "one"), line(1, "two", "title")) == ["one", "two"]
+    assert texts(line(0, "one"), line(1, " "), line(2, "two")) == ["one two"]
+    numbered = boxes(spark, line(0, "one"), line(1, "two")).withColumn("layout_no", F.col("id"))
+    assert layout.merge_vertical(numbered).count() == 2
+    cells = boxes(spark, (0.0, 9.0, 0.0, 10.0, "table", 0, "left"), (10.0, 19.0, 0.0, 10.0, "table", 0, "right"))
+    assert sorted(r.text for r in layout.merge_horizontal(cells).collect()) == ["left", "right"]
+    high = boxes(spark, (0.0, 9.0, 0.0, 10.0, "text", 0, "in"), (10.0, 19.0, 2.0, 12.0, "text", 0, "line"), (20.0, 29.0, 6.0, 16.0, "text", 0, "not"))
+    got = layout.merge_horizontal(high).orderBy("x0").collect()
+    assert [(r.text, r.x0, r.x1, r.top, r.bottom) for r in got] == [("inline", 0.0, 19.0, 1.0, 11.0), ("not", 20.0, 29.0, 6.0, 16.0)]
+    marks = boxes(spark, line(0, "1 a"), line(1, "1 b"), line(2, "a c"), line(3, "a d"), line(4, "第一"), line(5, "第二"))
+    assert [r.text for r in layout.merge_bullets(marks).orderBy("top").collect()] == ["1 a\n1 b", "a c", "a d", "第一", "第二"]
+
+
 def test_regions(spark):
     b = boxes(spark, (0.0, 10.0, 0.0, 10.0, None, 0, "a"), (50.0, 60.0, 50.0, 60.0, None, 0, "b"))
     r = boxes(spark, (0.0, 12.0, 0.0, 12.0, "text", 0, ""), (0.0, 11.0, 0.0, 11.0, "title", 0, ""), (45.0, 56.0, 40.0, 70.0, "table", 0, ""))

@@ -45,7 +45,7 @@ def test_layout(spark):
     cols = "doc_id string, page int, id long, x0 double, x1 double, top double, bottom double, score double, layout_type string, col_id int, text string"
     b = spark.createDataFrame([("d", 1, 1, 0.0, 10.0, 0.0, 10.0, 0.9, "text", 0, "a"), ("d", 1, 2, 1.0, 10.0, 0.0, 10.0, 0.8, "text", 0, "b"), ("d", 1, 3, 50.0, 60.0, 1.0, 11.0, 0.7, "text", 0, "c")], cols)
     assert sorted(r.id for r in layout.suppress(b).collect()) == [1, 3]
-    assert [r.text for r in layout.merge_horizontal(b).collect()] == ["a b c"]
+    assert [r.text for r in layout.merge_horizontal(b).collect()] == ["abc"]
     assert [r.id for r in layout.sort_rows(b, 5.0).orderBy("place").collect()] == [1, 2, 3]
     assert layout.greedy_labels([1, 1, 0, 1, 2]) == [1, 1, 2]
     assert [r.reading for r in layout.reading_order(b).orderBy("id").collect()] == [1, 2, 3]
