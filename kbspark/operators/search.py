@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
+from kbspark.sources.shared import new_folder, stored
 
 #: The fusion constant, and the factor that puts fused scores on a scale to one for two lists.
 RRF_K, RRF_SCALE = 60, 30.0
@@ -45,7 +46,7 @@ def document_frequencies(index: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of the documents that hold a query term. One pass counts terms in place, so that only matching documents move."""
+    """(key, score) of the documents that hold a query term. One pass counts terms in place, into a table of a few numbers a document that the totals and the scores are read from."""
     import re
 
     terms = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
@@ -56,7 +57,7 @@ def bm25_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "t
         return F.size(F.filter("t", lambda x: x == F.lit(w))).cast("long")
 
     tf = [times(w).alias(f"tf{i}") for i, w in enumerate(terms)]
-    counted = counted.select(key, "n", *tf)
+    counted = stored(counted.select(key, "n", *tf), new_folder(docs.sparkSession, "term-counts"))
     totals = counted.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])  # one row
     joined = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(totals))
     score = F.lit(0.0)
