@@ -48,22 +48,22 @@ Q.add("parent_fetch_dedup", lambda t: S.with_parents(S.dedup_by_parent(t.lineite
 
 
 def _chat(t):
-    return t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_seq"), "text")
+    return t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_seq"), "role", "text")
 
 
-Q.add("neighbour_expand", lambda t: S.neighbours(_chat(t).where("chunk_seq = 1"), _chat(t), 1).select("doc_id", "chunk_seq", F.md5("text").alias("digest")),
-      "SELECT DISTINCT b.conv_id AS doc_id, b.turn AS chunk_seq, md5(b.text) AS digest FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.turn = 1 AND b.turn <> 1")
+Q.add("neighbour_expand", lambda t: S.neighbours(_chat(t).where("role = 'user'"), _chat(t), 1).select("doc_id", "chunk_seq", F.md5("text").alias("digest")),
+      "SELECT DISTINCT b.conv_id AS doc_id, b.turn AS chunk_seq, md5(b.text) AS digest FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.role = 'user' AND b.role IS DISTINCT FROM 'user'")
 
 
 def _budget(t):
-    hits = _chat(t).where("chunk_seq = 1").withColumn("score", F.length("text").cast("double"))
-    top = S.ranked(hits.orderBy(F.desc("score"), "doc_id").limit(10), "doc_id")
+    hits = _chat(t).withColumn("score", F.length("text").cast("double")).withColumn("place", F.struct("doc_id", "chunk_seq"))
+    top = S.ranked(hits.orderBy(F.desc("score"), "place").limit(10), "place")
     near = S.neighbours(top, _chat(t), 2)
     return S.within_budget(top, near, 40000, window=2).select("doc_id", "chunk_seq", F.col("n").cast("long").alias("n"))
 
 
 Q.add("neighbour_budget", _budget,
-      "WITH RECURSIVE h AS (SELECT *, row_number() OVER (ORDER BY length(text) DESC, conv_id) AS rank FROM conversations WHERE turn = 1 ORDER BY rank LIMIT 10), c AS (SELECT conv_id, turn, n, row_number() OVER (ORDER BY rank, turn, conv_id) AS i FROM (SELECT b.conv_id, b.turn, length(b.text) AS n, min(rank) AS rank FROM h JOIN conversations b ON h.conv_id = b.conv_id AND b.turn BETWEEN h.turn - 2 AND h.turn + 2 WHERE b.turn <> 1 GROUP BY ALL)), w(i, room, took) AS (SELECT 0, 40000 - coalesce((SELECT sum(length(text)) FROM h), 0), false UNION ALL SELECT c.i, CASE WHEN n <= room THEN room - n ELSE room END, n <= room FROM w JOIN c ON c.i = w.i + 1) SELECT conv_id AS doc_id, turn AS chunk_seq, CAST(n AS BIGINT) AS n FROM w JOIN c USING (i) WHERE took")
+      "WITH RECURSIVE h AS (SELECT *, row_number() OVER (ORDER BY length(text) DESC, conv_id, turn) AS rank FROM conversations ORDER BY rank LIMIT 10), c AS (SELECT conv_id, turn, n, row_number() OVER (ORDER BY rank, turn, conv_id) AS i FROM (SELECT b.conv_id, b.turn, length(b.text) AS n, min(rank) AS rank FROM h JOIN conversations b ON h.conv_id = b.conv_id AND b.turn BETWEEN h.turn - 2 AND h.turn + 2 WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.conv_id = b.conv_id AND x.turn = b.turn) GROUP BY ALL)), w(i, room, took) AS (SELECT 0, 40000 - coalesce((SELECT sum(length(text)) FROM h), 0), false UNION ALL SELECT c.i, CASE WHEN n <= room THEN room - n ELSE room END, n <= room FROM w JOIN c ON c.i = w.i + 1) SELECT conv_id AS doc_id, turn AS chunk_seq, CAST(n AS BIGINT) AS n FROM w JOIN c USING (i) WHERE took")
 _QTOK = ["aaa", "the", "of"]
 Q.add("rerank_all", lambda t: S.rerank(t.benchmark.select(F.col("item_id").alias("id"), "text"), " ".join(_QTOK)).select("id", "rerank_score"),
       f"SELECT item_id AS id, round(len(list_intersect(list_distinct(list_transform(list_transform(regexp_extract_all(text, '[a-zA-Z0-9]+'), lambda x: lower(x)), lambda w: coalesce({_SYN}[w], {_STEM}))), ['aaa', 'the', 'of'])) / 3.0::DOUBLE, 6) AS rerank_score FROM benchmark")
