@@ -661,6 +661,61 @@ def test_whole_licence_texts(spark):
     }
 
 
+def plain_licences(files, header=0.7, file=0.8):
+    """(license, via, score) of each (path, text): every line, whole text and passage against every template, without anchors or bounds; then the nearest directory."""
+    named = [(name, Counter(license_scan.terms_of(t))) for name, texts in license_scan.TEMPLATES.items() for t in texts]
+    docs = [license_scan.terms_of(t or "") for _, t in files]
+    df = Counter(t for d in docs for t in set(d))
+    known = {t for _, c in named for t in c}
+    idf = lambda t: np.log((1 + len(files)) / (1 + (df[t] if t in known else 0))) + 1
+    norm = lambda c: np.sqrt(sum((n * idf(t)) ** 2 for t, n in c.items()))
+    units = [(name, sum(c.values()), {t: n * idf(t) / norm(c) for t, n in c.items()}) for name, c in named]
+
+    def cosine(terms, unit):
+        c = Counter(terms)
+        dot = sum(n * idf(t) * unit[t] for t, n in c.items() if t in unit)
+        return round(dot / norm(c), 6) if dot else 0.0
+
+    def best(*parts):
+        return max([(cosine(p, unit), name) for p in parts for name, _, unit in units if p], default=(0.0, ""))
+
+    own = []
+    for (path, text), terms in zip(files, docs):
+        line = best(*(license_scan.terms_of(x) for x in (text or "").split("\n")))
+        for name, n, unit in units:
+            for i in range(len(terms) - n + 1):
+                if not unit.keys().isdisjoint(terms[i : i + n]):
+                    line = max(line, (cosine(terms[i : i + n], unit), name))
+        whole = best(terms)
+        licence_file = re.search(license_scan.LICENCE_FILE_NAME, path or "") is not None and max(line, whole)[0] >= header
+        own.append((max(line, whole) if licence_file else whole if whole[0] >= file else None, line if line[0] >= header else None))
+    folder = lambda p: p.rpartition("/")[0] if p else ""
+    given = {}
+    for (path, _), (found, _) in zip(files, own):
+        if found and folder(path):
+            given[folder(path)] = max(found, given.get(folder(path), (0.0, "")))
+    out = []
+    for (path, _), (found, head) in zip(files, own):
+        up, at = folder(path), None
+        while up and at is None:
+            at, up = given.get(up), up.rpartition("/")[0]
+        got, via = next(((x, v) for x, v in ((found, "file"), (head, "header"), (at, "inherited")) if x), ((None, None), None))
+        out.append((got[1], via, got[0]))
+    return out
+
+
+def test_licences_against_plain_scores(spark, docs):
+    """All short texts of the table, licence files and whole licences among them, to six decimals."""
+    short = [(s, x, i, t) for s, x, i, t in zip(docs.source, docs.lang, docs.doc_id, docs.text) if len(t) < 1500]
+    files = [(f"{s}/{x}/{i}", t) for s, x, i, t in short] + [("src1/LICENSE", MIT_TEXT), ("src1/en/COPYING", "GNU GENERAL PUBLIC LICENSE Version 2"), ("src2/en/notice.txt", "nothing of the kind"), ("src2/license", "Licensed under CC BY 4.0. " * 3), (None, "x"), ("a/b", None), ("h/a.py", "# Licensed under the MIT License.\n" + "\n".join(f"y{i} = {i} + value" for i in range(9)))]
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(files)], "n long, path string, text string")
+    got = [(r.license, r.license_via, r.license_score) for r in license_scan.scan(df).orderBy("n").collect()]
+    expected = plain_licences(files)
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert all(a[2] is None and b[2] is None or abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, expected))
+    assert {"file", "header", "inherited", None} == {g[1] for g in got}
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------------------------
 
 
