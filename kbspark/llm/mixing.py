@@ -55,9 +55,8 @@ def mix(docs: DataFrame, shares: dict[str, int], other: int = 0, block_chars: in
 
     Columns of these names are replaced. ``shares`` gives each source's whole weight. Sources without one, the null source among them, share the weight ``other``, or where
     that is 0 follow after everything else in slots counted from 2^62. A block is a run of a source's rows, ordered by the MD5 of
-    ``doc_id``, in which ``block_chars`` characters begin (null texts have none); a longer text has its block alone. When a source has run out its
-    slots stay empty, and the others keep their proportions. No row is dropped or repeated. Rows that agree in id and text length are
-    told apart by the text's own MD5, and equal rows are interchangeable. An empty table gives no rows.
+    ``doc_id`` and the text's own MD5 (so that rows of one id, or of none, spread over all ranges), in which ``block_chars`` characters begin (null texts have none); a longer text has its block alone. When a source has run out its
+    slots stay empty, and the others keep their proportions. No row is dropped or repeated. Equal rows are interchangeable. An empty table gives no rows.
 
     A source's running length comes from two levels: sums over ranges of the hash are added up for each source, and rows are added up
     within a range, so that a source with a third of all rows still spreads over all tasks.
@@ -66,8 +65,8 @@ def mix(docs: DataFrame, shares: dict[str, int], other: int = 0, block_chars: in
     docs = docs.drop("mix_block", "mix_slot", "mix_seq")
     names = set(shares)
     lane = F.when(F.col("source").isin(*names), F.col("source")) if names else F.lit(None).cast("string")
-    keyed = docs.withColumns({"__lane": lane, "__hash": F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))})
-    keyed = keyed.withColumns({"__range": F.substring("__hash", 1, 3), "__chars": F.coalesce(F.length(text), F.lit(0)).cast("long"), "__digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
+    keyed = docs.withColumns({"__lane": lane, "__chars": F.coalesce(F.length(text), F.lit(0)).cast("long"), "__digest": F.md5(F.coalesce(F.col(text), F.lit("")))})
+    keyed = keyed.withColumn("__hash", F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__digest"))).withColumn("__range", F.substring("__hash", 1, 3))
     sums = keyed.groupBy("__lane", "__range").agg(F.sum("__chars").alias("__sum"))
     # at most 4096 rows for each source
     before = F.sum("__sum").over(Window.partitionBy("__lane").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))

@@ -17,10 +17,12 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM p
 def quality(least: int = 200, width: int = 4) -> str:
     measures = ", ".join(f"('{m}', {m}, {spread})" for m, spread in quality_rules.MEASURES.items())
 
-    def quantiles(name: str, keys: str) -> str:
-        part = f"PARTITION BY {keys + ', ' if keys else ''}measure"
-        picks = ", ".join(f"min(CASE WHEN upto * 100 >= total * {q} THEN edge END) AS q{q}" for q in (10, 50))
-        return f"{name} AS (SELECT {keys + ', ' if keys else ''}measure, max(total) AS total, {picks} FROM (SELECT *, sum(n) OVER ({part} ORDER BY edge) AS upto, sum(n) OVER ({part}) AS total FROM (SELECT {keys + ', ' if keys else ''}measure, edge, sum(n) AS n FROM fine GROUP BY ALL)) GROUP BY ALL)"
+    def blended(name: str, keys: str, coarser: str, same: str) -> str:
+        n = f"(SELECT {keys}, measure, edge, sum(n) AS n FROM fine GROUP BY ALL)"
+        running = f"sum(coalesce(f.n, 0)) OVER (PARTITION BY {', '.join(f't.{k}' for k in keys.split(', '))}, t.measure ORDER BY c.edge)"
+        on = " AND ".join(f"f.{k} IS NOT DISTINCT FROM t.{k}" for k in keys.split(", "))
+        return f"""{name} AS (SELECT {', '.join(f't.{k}' for k in keys.split(', '))}, t.measure, c.edge, ({running}::DOUBLE + {least} * c.share) / (t.total + {least})::DOUBLE AS share FROM (SELECT {keys}, measure, sum(n) AS total FROM fine GROUP BY ALL) t
+JOIN {coarser} c ON t.measure = c.measure{same} LEFT JOIN {n} f ON {on} AND f.measure = t.measure AND f.edge = c.edge)"""
 
     return f"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_WORDS})) AS l FROM documents),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2))),
@@ -29,8 +31,9 @@ m AS (SELECT w.doc_id, lang, source, len(w) AS n_words, CAST(length(array_to_str
 v AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END AS symbol_pm, CASE WHEN word_chars > 0 THEN n_capitals * 1000 // word_chars ELSE 0 END AS capital_pm, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END AS repeat_pm, CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END AS line_pm, CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words ELSE 0 END AS word_length_pm FROM m),
 e AS (SELECT lang, source, measure, CAST(value AS BIGINT) AS value, spread FROM v, LATERAL (VALUES {measures}) AS x(measure, value, spread)),
 fine AS (SELECT lang, source, measure, (value >> greatest(length(bin(value)) - 5, 0)) << greatest(length(bin(value)) - 5, 0) AS edge, count(*) AS n FROM e GROUP BY ALL),
-{quantiles('own', 'lang, source')}, {quantiles('bylang', 'lang')}, {quantiles('whole', '')},
-t AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.total >= {least} THEN own.q10 WHEN bylang.total >= {least} THEN bylang.q10 ELSE whole.q10 END AS q10, CASE WHEN own.total >= {least} THEN own.q50 WHEN bylang.total >= {least} THEN bylang.q50 ELSE whole.q50 END AS q50 FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.measure = bylang.measure JOIN whole ON own.measure = whole.measure),
+whole AS (SELECT measure, edge, (sum(n) OVER (PARTITION BY measure ORDER BY edge))::DOUBLE / (sum(n) OVER (PARTITION BY measure))::DOUBLE AS share FROM (SELECT measure, edge, sum(n) AS n FROM fine GROUP BY ALL)),
+{blended('bylang', 'lang', 'whole', '')}, {blended('own', 'lang, source', 'bylang', ' AND t.lang IS NOT DISTINCT FROM c.lang')},
+t AS (SELECT lang, source, measure, min(CASE WHEN share * 100 >= 10 THEN edge END) AS q10, min(CASE WHEN share * 100 >= 50 THEN edge END) AS q50 FROM own GROUP BY ALL),
 s AS (SELECT DISTINCT measure, spread FROM e), high AS (SELECT lang, source, t.measure, q50 + {width} * greatest(q50 - q10, spread) AS high FROM t JOIN s ON t.measure = s.measure),
 o AS (SELECT v.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {' OR '.join(f"{m} > (SELECT high FROM high WHERE high.lang IS NOT DISTINCT FROM v.lang AND high.source IS NOT DISTINCT FROM v.source AND high.measure = '{m}')" for m in quality_rules.MEASURES)} AS over FROM v)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept FROM o"""
@@ -41,7 +44,7 @@ def mixing_sql(shares: dict[str, int], other: int, block_chars: int = 100_000) -
     slots = ", ".join(f"('{s}', {weights[s]}, {k}, {slot})" for s, k, slot in mixing.schedule(dict(shares) | {"\0other": other}) for s in ["*" if s[0] == "\0" else s])
     named = ", ".join(f"'{s}'" for s in shares)
     order = "ORDER BY h, doc_id NULLS FIRST, n, d"
-    return f"""WITH plan(name, weight, k, slot) AS (VALUES {slots}), d AS (SELECT doc_id, source, CASE WHEN source IN ({named}) THEN source ELSE '*' END AS name, md5(coalesce(doc_id::VARCHAR, '')) AS h, length(coalesce(text, '')) AS n, md5(coalesce(text, '')) AS d FROM documents),
+    return f"""WITH plan(name, weight, k, slot) AS (VALUES {slots}), d AS (SELECT doc_id, source, CASE WHEN source IN ({named}) THEN source ELSE '*' END AS name, md5(coalesce(doc_id::VARCHAR, '') || ' ' || md5(coalesce(text, ''))) AS h, length(coalesce(text, '')) AS n, md5(coalesce(text, '')) AS d FROM documents),
 b AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY name {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {block_chars} AS BIGINT) AS mix_block, row_number() OVER (PARTITION BY name, substr(h, 1, 3) {order}) AS i FROM d),
 c AS (SELECT *, list_sum(list_transform([1, 2, 3], lambda j: (instr('0123456789abcdef', h[j]) - 1) * CASE j WHEN 1 THEN 256 WHEN 2 THEN 16 ELSE 1 END)) AS r FROM b)
 SELECT doc_id, source, mix_block, CAST(mix_block // weight * {sum(weights.values())} + slot AS BIGINT) AS mix_slot, CAST(r * 1099511627776 + i AS BIGINT) AS mix_seq FROM c JOIN plan ON c.name = plan.name AND c.mix_block % plan.weight = plan.k"""

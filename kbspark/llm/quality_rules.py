@@ -93,22 +93,37 @@ def quantiles(sketches: DataFrame, groups: list[str], at: tuple[int, ...] = (10,
     return running.groupBy(*groups, "measure").agg(F.first("total").alias("total"), *picks)
 
 
-def thresholds(sketches: DataFrame, least: int = 200, width: int = 4) -> DataFrame:
-    """(lang, source, measure, high): the median plus ``width`` times the spread from the tenth percentile to the median, that spread at least the measure's ordinary one.
+def blended(counts: DataFrame, coarser: DataFrame, groups: list[str], shared: list[str], least: int) -> DataFrame:
+    """(groups, measure, edge, share): the share of a group's rows up to each edge, with ``least`` more rows that lie as the ``coarser`` group's do.
 
-    A group of under ``least`` rows takes its language's sketch, and a language of under ``least`` rows the whole table's: the finer
-    sketches merged. Up to half of a group may be bad without moving its threshold.
+    ``coarser`` is (shared, measure, edge, share) and has every edge of its parts. A group's own rows count for the more the more of them
+    there are, and no number of rows is an edge at which its sketch begins to count. A group has a few hundred rows here, as its sketch does.
     """
-    own = quantiles(sketches, ["lang", "source"])
-    by_lang = quantiles(merge(sketches, ["lang"]), ["lang"]).select("lang", "measure", F.col("total").alias("lang_total"), F.col("q10").alias("lang_q10"), F.col("q50").alias("lang_q50"))
-    whole = quantiles(merge(sketches, []), []).select("measure", F.col("q10").alias("all_q10"), F.col("q50").alias("all_q50"))
-    levels = own.join(by_lang.withColumnsRenamed({"lang": "l", "measure": "lm"}), F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("lm"))).drop("l", "lm").join(whole, "measure")
+    totals = counts.groupBy(*groups, "measure").agg(F.sum("n").alias("total"))
+    wide = coarser.withColumnsRenamed({c: f"__{c}" for c in shared} | {"measure": "__measure"})
+    same = F.col("measure") == F.col("__measure")
+    for c in shared:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    grid = totals.join(wide, same).select(*groups, "measure", "edge", F.lit(0).cast("long").alias("n"), "total", "share")
+    own = counts.select(*groups, "measure", "edge", "n", F.lit(None).cast("long").alias("total"), F.lit(None).cast("double").alias("share"))
+    each = grid.union(own).groupBy(*groups, "measure", "edge").agg(F.sum("n").alias("n"), F.max("total").alias("total"), F.max("share").alias("share"))
+    upto = F.sum("n").over(Window.partitionBy(*groups, "measure").orderBy("edge"))
+    return each.select(*groups, "measure", "edge", ((upto + least * F.col("share")) / (F.col("total") + least)).alias("share"))
+
 
-    def pick(q: str) -> Column:
-        return F.when(F.col("total") >= least, F.col(q)).when(F.col("lang_total") >= least, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
+def thresholds(sketches: DataFrame, least: int = 200, width: int = 4) -> DataFrame:
+    """(lang, source, measure, high): the median plus ``width`` times the spread from the tenth percentile to the median, that spread at least the measure's ordinary one.
 
+    A group's sketch has ``least`` rows of its language's added, and a language's as many of the whole table's (see ``blended``): small
+    groups follow the coarser ones, large ones themselves, without a size at which that changes. Up to half of a large group may be bad without moving its threshold.
+    """
+    w = Window.partitionBy("measure")
+    whole = merge(sketches, []).select("measure", "edge", (F.sum("n").over(w.orderBy("edge")) / F.sum("n").over(w)).alias("share"))
+    by_lang = blended(merge(sketches, ["lang"]), whole, ["lang"], [], least)
+    own = blended(sketches, by_lang, ["lang", "source"], ["lang"], least)
+    found = own.groupBy("lang", "source", "measure").agg(*[F.min(F.when(F.col("share") * 100 >= q, F.col("edge"))).alias(f"q{q}") for q in (10, 50)])
     ordinary = F.coalesce(*[F.when(F.col("measure") == m, F.lit(v)) for m, v in MEASURES.items()])
-    return levels.select("lang", "source", "measure", (pick("q50") + width * F.greatest(pick("q50") - pick("q10"), ordinary)).cast("long").alias("high"))
+    return found.select("lang", "source", "measure", (F.col("q50") + width * F.greatest(F.col("q50") - F.col("q10"), ordinary)).cast("long").alias("high"))
 
 
 def judge(docs: DataFrame, text: str = "text", least: int = 200, width: int = 4) -> DataFrame:

@@ -314,6 +314,37 @@ def test_quality_sketches_merge(spark):
         assert exact * 15 / 16 - 1 <= q[f"q{at}"] <= exact
 
 
+def _by_hand(rows: list[tuple[str, str, int]], least: int) -> dict[tuple[str, str], tuple[int, int]]:
+    """The tenth percentile and the median of each group: shares up to each edge, of the group, its language and the whole, one added to the other."""
+    edge = lambda v: v >> max(v.bit_length() - 5, 0) << max(v.bit_length() - 5, 0)
+    edges = sorted({edge(v) for _, _, v in rows})
+    upto = lambda values: [sum(edge(v) <= e for v in values) for e in edges]
+    every = [v for _, _, v in rows]
+    whole = [n / len(every) for n in upto(every)]
+    out = {}
+    for lang, source in {(a, b) for a, b, _ in rows}:
+        of_lang, own = [v for a, _, v in rows if a == lang], [v for a, b, v in rows if (a, b) == (lang, source)]
+        lang_share = [(n + least * w) / (len(of_lang) + least) for n, w in zip(upto(of_lang), whole)]
+        share = [(n + least * w) / (len(own) + least) for n, w in zip(upto(own), lang_share)]
+        out[lang, source] = tuple(next(e for e, x in zip(edges, share) if x * 100 >= q) for q in (10, 50))
+    return out
+
+
+def test_quality_thresholds_have_no_edge(spark):
+    rng = np.random.default_rng(4)
+    ddl = "lang string, source string, " + ", ".join(f"{m} long" for m in quality_rules.MEASURES)
+    common_rows = [("en", "big", int(v)) for v in rng.normal(5000, 400, 3000)] + [(None, "big", int(v)) for v in rng.normal(5200, 300, 900)] + [("fr", None, 700)]
+    small = [("en", "small", int(v)) for v in rng.normal(2500, 200, 400)]
+    highs = {}
+    for n in (0, 1, 199, 201, 400):
+        rows = common_rows + small[:n]
+        df = spark.createDataFrame([(a, b, *[v] * len(quality_rules.MEASURES)) for a, b, v in rows], ddl)
+        got = {(r.lang, r.source): r.high for r in quality_rules.thresholds(quality_rules.sketch(df, ["lang", "source"])).where("measure = 'word_length_pm'").collect()}
+        assert got == {k: q50 + 4 * max(q50 - q10, 1000) for k, (q10, q50) in _by_hand(rows, 200).items()}
+        highs[n] = got.get(("en", "small"))
+    assert abs(highs[199] - highs[201]) <= 300 < highs[1] - highs[400]
+
+
 # --- mixing --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -340,6 +371,18 @@ def test_mixing(spark, data, docs, odd):
     assert mixing.whole_weights({"a": 0.5, "b": 0.25, "c": 0.25}, 100) == {"a": 50, "b": 25, "c": 25}
 
 
+def test_mixing_spreads_rows_without_ids(spark):
+    rows = [(None, f"text {i}", "a") for i in range(400)] + [(7, f"other {i}", "a") for i in range(400)] + [(None, None, "a")] * 3
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"a": 1}, block_chars=500)
+    got = mixed.orderBy("mix_slot", "mix_seq").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((a, b) for a, b, _ in rows)
+    assert len({r.mix_seq >> 40 for r in got if r.doc_id is None}) > 300 and len({r.mix_seq >> 40 for r in got if r.doc_id == 7}) > 300
+    begun = 0
+    for r in got:
+        assert r.mix_block == begun // 500
+        begun += len(r.text or "")
+
+
 # --- near duplicates -----------------------------------------------------------------------------------------------------------------
 
 
