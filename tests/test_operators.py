@@ -122,3 +122,15 @@ def test_settings(tmp_path):
     c.set("a.b", 2)
     c.save(str(tmp_path / "c.json"))
     assert Config.load(str(tmp_path / "c.json")).get("a.b") == 2
+
+
+def test_embedding_hashes_terms_once(spark):
+    from kbspark.operators import chunking
+
+    rows = spark.createDataFrame([(1, "b a b c b"), (2, " ,. "), (3, None)], "id long, text string")
+    got = rows.select("id", chunking.hash_embedding(F.col("text"), 8).alias("v"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") == 1
+    places = {r.w: r.p for r in spark.createDataFrame([("a",), ("b",), ("c",)], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(8)).alias("p")).collect()}
+    counts = [float(sum(places[w] == i for w in "babcb")) for i in range(8)]
+    length = sum(x * x for x in counts) ** 0.5
+    assert {r.id: r.v for r in got.collect()} == {1: [x / length for x in counts], 2: [0.0] * 8, 3: [0.0] * 8}
