@@ -93,3 +93,15 @@ def test_parts_and_markup(spark):
     assert markup.engines("q", lambda q: 1 / 0, lambda q: [], lambda q: ["r"]) == ["r"]
     blocks = spark.createDataFrame([("title", "<b>T</b>"), ("page_number", "1"), ("table", "")], "type string, text string")
     assert [tuple(r) for r in markup.normalized_blocks(blocks).collect()] == [("heading", "T")]
+
+
+def copies(spark, n, first=0):
+    """``n`` boxes in one place."""
+    return spark.range(first, first + n).select(F.lit("d").alias("doc_id"), F.lit(1).alias("page"), "id", *[F.lit(v).alias(c) for c, v in (("x0", 10.0), ("x1", 40.0), ("top", 5.0), ("bottom", 25.0))])
+
+
+def test_best_of_many_copies(spark):
+    a, b = copies(spark, 60_000), copies(spark, 60_000, 60_000)
+    assert layout._place_overlaps(a, b).count() == 1
+    best = layout.best_overlap(a, b)
+    assert best.count() == 60_000 and [tuple(r) for r in best.select("b_id", "share").distinct().collect()] == [(60_000, 1.0)]
