@@ -105,3 +105,13 @@ def test_best_of_many_copies(spark):
     assert layout._place_overlaps(a, b).count() == 1
     best = layout.best_overlap(a, b)
     assert best.count() == 60_000 and [tuple(r) for r in best.select("b_id", "share").distinct().collect()] == [(60_000, 1.0)]
+
+
+def test_pairs_of_copies(spark):
+    a = copies(spark, 40).withColumn("text", F.lit("t"))
+    b = copies(spark, 30, 100).union(copies(spark, 1, 200).withColumn("x0", F.lit(25.0)))
+    assert layout._place_overlaps(a, b).count() == 2
+    pairs = layout.overlaps(a, b)
+    assert set(pairs.columns) == {*[f"a_{c}" for c in a.columns], *[f"b_{c}" for c in b.columns], "share"}
+    assert {(r.share, r["count"]) for r in pairs.groupBy("share").count().collect()} == {(1.0, 1200), (0.5, 40)}
+    assert pairs.select("a_id", "b_id").distinct().count() == 1240
