@@ -123,3 +123,19 @@ def test_vector_index_reads_probed_lists_only(spark, clustered, tmp_path):
     read = {f.split("list=")[1].split("/")[0] for f in one.select(F.input_file_name().alias("f")).distinct().toPandas()["f"]}
     assert read == {"3"}
     assert VectorIndex(spark, f"file://{tmp_path}/none").build(clustered.limit(0)).search(clustered.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))).count() == 0
+
+
+def test_many_probes_move_no_vectors_twice(spark, tmp_path):
+    """Questions' vectors are joined to their probes by a shuffle, sampling sorts no whole table, and a small list is one file."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(900)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(8)
+    index = VectorIndex(spark, f"file://{tmp_path}/v").build(vectors, 12)
+    assert len(spark.read.parquet(f"{index.path}/vectors").inputFiles()) == 12
+    questions = vectors.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = index.search(questions, 3, probes=2)
+    got, expected = as_rows(found), plain_best(rows, [r for r in rows if r[0] % 5 == 0], 3)
+    close(got, expected)
+    assert {x[:3] for x in got} == {x[:3] for x in expected}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "cogroup" in plan.lower() and "rightHint=(strategy=shuffle_hash)" in plan
