@@ -59,7 +59,8 @@ def quoting(docs: DataFrame, length: int = 8, key: str = "doc_id", text: str = "
 
     def tier(short: DataFrame, taken: DataFrame) -> DataFrame:
         of = lambda c: F.explode(runs(T.bm25_terms(F.col(c)), length)).alias("run")
-        asked = short.select("query_id", of("text")).select("query_id", "run.*").distinct()
+        # stored, so that its size is known before the documents' runs would move
+        asked = stored(short.select("query_id", of("text")).select("query_id", "run.*").distinct(), new_folder(docs.sparkSession, "runs"))
         held = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), of(text)).select("key", "run.*").join(asked.select("a", "b").distinct(), ["a", "b"], "left_semi")
         return asked.join(held.distinct(), ["a", "b"]).groupBy("query_id", "key").agg(F.count("*").cast("double").alias("score"))
 

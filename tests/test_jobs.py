@@ -131,3 +131,12 @@ def test_settings_and_command_lines(tmp_path):
             assert set(json.load(f)) <= set(defaults)
         said = subprocess.run([sys.executable, "-m", f"jobs.{job}", "--help"], cwd=ROOT, capture_output=True, text=True, timeout=60)
         assert said.returncode == 0 and "--config" in said.stdout
+
+
+def test_quoting_keeps_documents_runs_in_place(spark):
+    """The questions' runs are a stored table, whose size lets the documents' runs be looked up where they are."""
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "b c d e"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(5, "x b c d", 5)], "query_id long, text string, room int")
+    found = tiers.quoting(docs, 3)(asked, None)
+    assert sorted(map(tuple, found.collect())) == [(5, 1, 1.0), (5, 2, 1.0)]
+    assert any("/runs-" in f for f in found.inputFiles())
