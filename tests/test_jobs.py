@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import common, evidence, knowledge_base
-from kbspark.operators import tiers
+from kbspark.operators import chunking, tiers
 from kbspark.operators.batches import Batches
 from tests.conftest import ROOT
 
@@ -140,3 +140,11 @@ def test_quoting_keeps_documents_runs_in_place(spark):
     found = tiers.quoting(docs, 3)(asked, None)
     assert sorted(map(tuple, found.collect())) == [(5, 1, 1.0), (5, 2, 1.0)]
     assert any("/runs-" in f for f in found.inputFiles())
+
+
+def test_chunks_hash_their_terms_once(spark):
+    """The job's chunks with vectors, as it makes them."""
+    docs = spark.createDataFrame([(1, "one two one")], "doc_id long, text string")
+    _, children = chunking.parents_and_children(docs)
+    plan = children.withColumn("vector", chunking.hash_embedding(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 1
