@@ -73,6 +73,17 @@ def test_ingest_goes_on_where_it_stopped(spark, tmp_path):
     assert spark.read.parquet(f"{out}/embed").count() == 3 and spark.read.parquet(f"{out}/parse").count() == made["parse"].count()
 
 
+def test_postings_cut_a_text_once_and_let_filters_on_terms_pass(spark):
+    from kbspark.operators import ingest
+
+    docs = spark.createDataFrame([(1, "red red apples"), (2, None), (3, "Red sky")], "doc_id long, text string")
+    asked = ingest.postings(docs, "doc_id").where("term = 'red'")
+    assert sorted(map(tuple, asked.collect())) == [("red", 1, 2, 3), ("red", 3, 1, 2)]
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    grouping, exploding = plan.index("Aggregate"), plan.index("Generate")
+    assert grouping < plan.index("Filter") < exploding < plan.index("regexp_extract_all") and plan.count("regexp_extract_all") == 1
+
+
 def test_ingest_takes_new_and_changed_documents(spark, tmp_path):
     from kbspark.operators import ingest
 
