@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
@@ -12,18 +12,22 @@ from kbspark.sources.shared import new_folder, stored
 REMEMBERED, ALIKE = 32, 0.9
 
 
-def _settle(edges: DataFrame, needs: DataFrame, first: DataFrame) -> DataFrame:
-    """(id) of everything that follows from ``first``, of ``needs`` (id, n) those whose ``n`` edges (id, dep) all lead to such. A round follows the edges of what is new, and counts only for ids that these reach."""
-    spark = edges.sparkSession
-    new, all_, met = stored(first, new_folder(spark, "new")), first, None
-    all_ = new
-    while new.limit(1).count():
-        reached = stored(edges.join(new.withColumnRenamed("id", "dep"), "dep").groupBy("id").agg(F.count("*").alias("c")), new_folder(spark, "reached"))
-        met = reached if met is None else met.union(reached)
-        counted = met.join(reached.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("c").alias("c"))
-        new = stored(counted.join(needs, "id").where("c = n").select("id"), new_folder(spark, "new"))
-        all_ = all_.union(new)
-    return all_
+def _settle(state: DataFrame) -> DataFrame:
+    """(id, ok) of everything that can be settled, of ``state`` (id, rest, ok): what each waits for, and whether all that it waited for was supported. A round moves only what still waits, and what it waits for."""
+    spark, done = state.sparkSession, None
+    while True:
+        new = state.where("size(rest) = 0").select("id", "ok")
+        done = new if done is None else done.union(new)
+        if not new.limit(1).count():
+            return done
+        waiting = state.where("size(rest) > 0").select("id", "ok", F.explode("rest").alias("x")).select("id", "ok", "x.dep")
+        met = waiting.join(new.select(F.col("id").alias("dep"), F.col("ok").alias("met")), "dep", "left")
+        state = stored(_grouped(met, F.col("met").isNull(), F.col("ok") & F.coalesce("met", F.lit(True))), new_folder(spark, "waiting"))
+
+
+def _grouped(edges: DataFrame, waits: Column, ok: Column) -> DataFrame:
+    # structs, since a null is something to wait for, too
+    return edges.groupBy("id").agg(F.collect_list(F.when(waits, F.struct("dep"))).alias("rest"), F.bool_and(ok).alias("ok"))
 
 
 def resolve(requirements: DataFrame, status: DataFrame) -> DataFrame:
@@ -35,16 +39,14 @@ def resolve(requirements: DataFrame, status: DataFrame) -> DataFrame:
     """
     spark = requirements.sparkSession
     synthetic = stored(requirements.where("synthetic").select("id", F.array_distinct(F.coalesce("deps", F.array().cast(requirements.schema["deps"].dataType))).alias("deps")), new_folder(spark, "synthetic"))
-    edges = stored(synthetic.select("id", F.explode("deps").alias("dep")), new_folder(spark, "edges"))
-    needs = synthetic.select("id", F.size("deps").cast("long").alias("n")).where("n > 0")
-    given = status.where("status = 'SUPPORTED'").join(synthetic.select("id"), "id", "left_anti").select("id").distinct()
-    supported = stored(_settle(edges, needs, given).join(synthetic.select("id"), "id", "left_semi").select("id"), new_folder(spark, "supported"))
-    # what can be settled at all: everything but what hangs on a cycle
-    free = edges.select(F.col("dep").alias("id")).distinct().join(needs.select("id"), "id", "left_anti")
-    bare = synthetic.where("size(deps) = 0").select("id")
-    settled = stored(_settle(edges, needs, free.union(bare).distinct()).join(synthetic.select("id"), "id", "left_semi").select("id"), new_folder(spark, "settled"))
-    marks = synthetic.select("id").join(supported.withColumn("s", F.lit(True)), "id", "left").join(settled.withColumn("f", F.lit(True)), "id", "left")
-    return marks.select("id", F.when(F.col("s"), "supported").when(F.col("f"), "waiting").otherwise("cycle").alias("state"))
+    edges = synthetic.select("id", F.explode("deps").alias("dep"))
+    waits = synthetic.where("size(deps) > 0").select(F.col("id").alias("dep"), F.lit(True).alias("waits")).distinct()
+    given = status.where("status = 'SUPPORTED'").join(synthetic.select("id"), "id", "left_anti").select(F.col("id").alias("dep"), F.lit(True).alias("given")).distinct()
+    first = _grouped(edges.join(waits, "dep", "left").join(given, "dep", "left"), F.col("waits") | F.col("dep").isNull(), F.coalesce("waits", "given", F.lit(False)))
+    # what can't be settled at all hangs on a cycle
+    settled = _settle(stored(first, new_folder(spark, "waiting")))
+    marks = synthetic.join(settled, "id", "left")
+    return marks.select("id", F.when(F.col("ok"), "supported").when(F.col("ok").isNotNull() | (F.size("deps") == 0), "waiting").otherwise("cycle").alias("state"))
 
 
 def asked_before(questions: DataFrame, alike: float = ALIKE, newest: int = REMEMBERED, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:

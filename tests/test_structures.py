@@ -47,6 +47,22 @@ def test_requirements_settle(spark):
     assert got == expected and {"supported", "waiting"} <= set(expected.values())
 
 
+def test_requirements_are_settled_in_one_pass_that_moves_only_what_waits(spark, monkeypatch):
+    moved = []
+
+    def stored(df, path, write=requirements.stored):
+        out = write(df, path)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(requirements, "stored", stored)
+    rows = [(f"a{i}", True, ["b", None][: 1 + (i == 0)]) for i in range(50)] + [(f"c{i}", True, [f"c{i - 1}" if i else "b"]) for i in range(5)] + [("w0", True, ["p"]), ("w1", True, ["w0", "b"])]
+    got = {r.id: r.state for r in requirements.resolve(spark.createDataFrame(rows, "id string, synthetic boolean, deps array<string>"), spark.createDataFrame([("b", "SUPPORTED"), ("p", "PARTIAL")], "id string, status string")).collect()}
+    assert got == {i: "waiting" if i in ("w0", "w1") else "cycle" if i == "a0" else "supported" for i, _, _ in rows}
+    # the requirements, what they wait for, and then what still waits in each round
+    assert moved == [57, 57, 6, 4, 3, 2, 1]
+
+
 def test_questions_asked_before(spark):
     rng = random.Random(12)
     rows = [(c, t, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 9)))) for c in range(20) for t in range(40)]
