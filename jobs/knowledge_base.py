@@ -32,6 +32,13 @@ def _pattern(path: str) -> str:
     return path if re.search(r"[*?\[{]", path) else re.sub(r"([^/])/*$", r"[\1]", path)
 
 
+def _postings(chunks: DataFrame) -> DataFrame:
+    """(doc_id, parent_index, child_index, term, tf) in ranges of terms. Terms move once: a range of terms is also what they're counted in."""
+    # of a plain explode Spark infers a filter on the terms' number, which would cut each text once more
+    terms = chunks.select("doc_id", "parent_index", "child_index", F.explode_outer(T.bm25_terms(F.col("text"))).alias("term")).where("term is not null")
+    return terms.repartitionByRange("term").groupBy("doc_id", "parent_index", "child_index", "term").agg(F.count("*").alias("tf"))
+
+
 def _take(tables: Batches, rows: DataFrame, batch: int, s: dict) -> None:
     """One batch: what changed, step by step, and then its ledger."""
     named = rows.select(F.col(s["key"]).cast("long").alias("key"), F.col(s["text"]).alias("text"), "file_time", *[F.col(c).cast("string").alias(c) for c in s["columns"]])
@@ -39,14 +46,13 @@ def _take(tables: Batches, rows: DataFrame, batch: int, s: dict) -> None:
     changed = tables.spark.read.parquet(f"{tables.folder}/changes/batch={batch}")
     parts = int(tables.spark.conf.get("spark.sql.shuffle.partitions"))  # small files mustn't keep the work in few tasks
     live = changed.where("text is not null").select(F.col("key").alias("doc_id"), "text", *s["columns"]).repartition(parts, "doc_id")
-    parents, children = chunking.parents_and_children(live)
+    about = live.select("doc_id", "text", *[F.col(c) if c in live.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")])
+    parents, children = chunking.parents_and_children(about, keep=("source", "lang"))
     tables.write("parents", parents.select("doc_id", "parent_id", "parent_index", "text"), batch)
-    about = live.select("doc_id", *[F.col(c) if c in live.columns else F.lit(None).cast("string").alias(c) for c in ("source", "lang")])
-    embedded = children.withColumn("vector", chunking.hash_embedding(F.col("text"))).join(about, "doc_id")
+    embedded = children.withColumn("vector", chunking.hash_embedding(F.col("text")))
     tables.write("chunks", embedded.select("doc_id", "parent_id", "parent_index", "child_index", "text", "vector", "source", "lang"), batch, "lang")
     chunks = tables.spark.read.schema(CHUNKS).parquet(f"{tables.folder}/chunks/batch={batch}")
-    terms = chunks.select("doc_id", "parent_index", "child_index", F.explode(T.bm25_terms(F.col("text"))).alias("term"))
-    tables.write("postings", terms.groupBy("doc_id", "parent_index", "child_index", "term").agg(F.count("*").alias("tf")).repartitionByRange("term").sortWithinPartitions("term"), batch)
+    tables.write("postings", _postings(chunks).sortWithinPartitions("term"), batch)
     tables.commit(changed.select("key", "digest", F.col("text").isNotNull().alias("live")), batch)
     counts = changed.agg(F.count("text").alias("live"), F.count_if(F.col("text").isNull()).alias("gone")).first()
     log.info("batch %d: read %d documents; %d new or changed, %d withdrawn; wrote %d chunks to %s", batch, rows.count(), counts["live"], counts["gone"], chunks.count(), tables.folder)
@@ -67,10 +73,12 @@ def run(spark: SparkSession, documents: str, out: str, checkpoint: str, config:
 def contents(tables: Batches) -> DataFrame:
     """(doc_id, parent_index, child_index, lang, digest, n_terms, n_distinct, norm): every chunk as it stands, with what its postings and its vector have."""
     postings = tables.read("postings", POSTINGS, "doc_id").groupBy("doc_id", "parent_index", "child_index").agg(F.sum("tf").alias("n_terms"), F.count("*").alias("n_distinct"))
-    chunks = tables.read("chunks", CHUNKS, "doc_id").join(postings, ["doc_id", "parent_index", "child_index"], "left")
     norm = F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 3)
+    # texts and vectors stay where they are: what is made of them meets the postings
+    chunks = tables.read("chunks", CHUNKS, "doc_id").select("doc_id", "parent_index", "child_index", "lang", F.md5("text").alias("digest"), norm.alias("norm"))
     zero = F.lit(0).cast("long")
-    return chunks.select("doc_id", F.col("parent_index").cast("long").alias("parent_index"), F.col("child_index").cast("long").alias("child_index"), "lang", F.md5("text").alias("digest"), F.coalesce("n_terms", zero).alias("n_terms"), F.coalesce("n_distinct", zero).alias("n_distinct"), norm.alias("norm"))
+    met = chunks.join(postings, ["doc_id", "parent_index", "child_index"], "left")
+    return met.select("doc_id", F.col("parent_index").cast("long").alias("parent_index"), F.col("child_index").cast("long").alias("child_index"), "lang", "digest", F.coalesce("n_terms", zero).alias("n_terms"), F.coalesce("n_distinct", zero).alias("n_distinct"), "norm")
 
 
 def main() -> None:

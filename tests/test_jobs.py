@@ -148,3 +148,20 @@ def test_chunks_hash_their_terms_once(spark):
     _, children = chunking.parents_and_children(docs)
     plan = children.withColumn("vector", chunking.hash_embedding(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("xxhash64(") == 1
+
+
+def test_knowledge_base_terms_move_once_and_vectors_stay(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 0, 0, "Red red sky"), (1, 0, 1, "sky"), (2, 0, 0, "..."), (3, 0, 0, None)], "doc_id long, parent_index int, child_index int, text string")
+    postings = knowledge_base._postings(chunks)
+    assert sorted(map(tuple, postings.collect())) == [(1, 0, 0, "red", 2), (1, 0, 0, "sky", 1), (1, 0, 1, "sky", 1)]
+    plan = postings._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    prepared = spark._jsparkSession.sessionState().executePlan(postings._jdf.queryExecution().analyzed(), postings._jdf.queryExecution().mode()).executedPlan().toString()
+    assert prepared.count("Exchange ") == 1
+    spark.createDataFrame([(1, "red sky", "s", "en"), (2, None, "s", "en")], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "docs"))
+    tables = knowledge_base.run(spark, str(tmp_path / "docs"), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    found = knowledge_base.contents(tables)
+    assert [(r.doc_id, r.lang, r.n_terms, r.norm) for r in found.collect()] == [(1, "en", 2, 1.0)]
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = next(i for i, line in enumerate(lines) if "Join LeftOuter" in line)
+    assert any("md5" in line and "vector" in line for line in lines[above + 1 :]) and not any("vector" in line for line in lines[: above + 1])
