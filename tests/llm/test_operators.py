@@ -786,6 +786,40 @@ def test_pipeline(spark, data, docs):
     assert Counter({r.doc_id: r.n for r in whole}) == Counter({r.doc_id: r.n for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()})
 
 
+def test_sequences_follow_the_mixture(spark):
+    """Packing numbers sequences by the places that the mixture gave their first documents; without the mixture they come otherwise."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    words = np.array(["stone", "river", "green", "window", "seven", "paper", "light", "cloud", "north", "cold"])
+    sources = ["src9"] * 120 + ["src0"] * 60 + ["src1"] * 40  # one after another
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(200, 3000)))), "en", s, 0) for i, s in enumerate(sources)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3, "doc_id")
+    slots = {r.doc_id: (r.mix_slot, r.mix_seq) for r in mixing.mix(frame, Q.MIX_SHARES, Q.MIX_OTHER).collect()}
+    assert len({slot for slot, _ in slots.values()}) > 15
+    packs = []
+    for stage in (corpus_pipeline.mixture, lambda spark, docs, sf_dir: docs):
+        got = corpus_pipeline.packed(spark, common.cut(stage(spark, frame, ""), "t"), "").collect()
+        firsts = sorted((r.sequence_id, r.doc_id, r.start) for r in got if r.offset == 0)
+        assert len({i for i, _, _ in firsts}) == len(firsts) and {i for i, _, _ in firsts} == {r.sequence_id for r in got}
+        packs.append([(slots[doc], start) for _, doc, start in firsts])
+        sequences = defaultdict(list)
+        for r in got:
+            sequences[r.sequence_id].append((r.offset, r.doc_id, r.start, r.length))
+        packs.append(Counter(tuple(sorted(x)) for x in sequences.values()))
+    assert packs[0] == sorted(packs[0]) and packs[2] != sorted(packs[2])
+    assert packs[1] == packs[3]  # the same sequences, in another order
+
+
+def test_rows_are_numbered_over_files_of_any_size(spark, tmp_path):
+    """Spark reads large files first and several in a task; positions follow the files' order all the same."""
+    rows = [(i, "word " * (3000 if i % 40 > 30 else 3)) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(10, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/t")
+    got = packing.pack(spark.read.parquet(f"{tmp_path}/t"), Q.tokenizer_path("byte_bpe_50k.json"), ordered=True).where("offset = 0").collect()
+    firsts = [(r.doc_id, r.start) for r in sorted(got, key=lambda r: r.sequence_id)]
+    assert firsts == sorted(firsts) and all(r.sequence_id == r.doc_id << 31 | r.start for r in got)
+
+
 def test_pipeline_on_awkward_rows(spark, data, odd):
     """Nulls, empty and long texts, repeated ids and rows: what each stage does with them, and that all but the last return the columns of documents."""
     import corpus_pipeline
