@@ -2,7 +2,8 @@
 
 Whole texts are cut into overlapping windows; each is decoded by itself, and every character takes the tag of the window in which it lies
 farthest from an edge. The tagger learns the base patterns' spans and forms beyond them (see ``LOOSE_FORMS``): spelled-out or bracketed
-addresses, cards in dots or slashes, and telephone numbers without a plus sign.
+addresses, cards in dots or slashes, and telephone numbers without a plus sign. A span that it adds must mean what its kind says
+(``_valid``); texts in which no stretch at all could (``may_hold``) give it nothing to decide and aren't decoded.
 """
 
 from __future__ import annotations
@@ -525,10 +526,29 @@ def _valid(kind: str, s: str) -> bool:
     return 9 <= len(digits) <= 15 and not set(s) - set("0123456789 ().-/+")
 
 
+#: What every valid span of a kind holds: an address's sign and what follows it; four parts; nine digits and marks between them.
+_AT_WORD = re.compile(r"[\s\[({]at[\s\])}]", re.I)
+_HALF_ADDRESS = re.compile(rf"[a-z0-9_%+-]{_AT}[a-z0-9-]+{_DOT}[a-z0-9-]", re.I)
+_NINE_DIGITS = re.compile(r"[0-9](?:[ ().\-/+_]*+[0-9]){8}")
+
+
+def may_hold(text: str) -> bool:
+    """Whether any stretch of the text is ``_valid`` for some kind (or may be: what is asked here is part of what is asked there)."""
+    if _ASCII_DIGITS.search(text) and (_NINE_DIGITS.search(text) or _FOUR_PARTS.search(text)):
+        return True
+    return ("@" in text or _AT_WORD.search(text) is not None) and _HALF_ADDRESS.search(text) is not None
+
+
 def find_spans(model: Tagger, texts: list[str]) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text: what the model finds is added where it overlaps no base span and is whole and well-formed."""
+    """(base spans, all spans) of each text: what the model finds is added where it overlaps no base span and is whole and well-formed.
+
+    Texts that can hold no such span are spared the model; every other one is decoded whole.
+    """
     out = []
-    for t, tags in zip(texts, tag_text(model, texts)):
+    asked = [may_hold(t) for t in texts]
+    decoded = iter(tag_text(model, [t for t, a in zip(texts, asked) if a]))
+    for t, a in zip(texts, asked):
+        tags = next(decoded) if a else np.zeros(0, np.int8)
         base = base_spans(t) if "@" in t or _ASCII_DIGITS.search(t) else []
         extra = []
         for kind, start, end in spans_of(tags) if tags.any() else ():

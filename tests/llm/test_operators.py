@@ -631,6 +631,31 @@ def test_every_window_is_searched_where_it_must_be(tagger, docs):
     assert (tagger.decode(x) == tagger._best_paths(tagger.scores(x))).all()
 
 
+def test_texts_that_can_hold_no_span_are_not_decoded(tagger, docs, monkeypatch):
+    """The same spans as when every text is decoded; only texts in which no stretch is valid are left out."""
+    rng = random.Random(5)
+    pieces = ["a", "b", "at", "AT", " ", " ", "\u00a0", "@", "dot", "dot", ".", ".", "[", "]", "(", ")", "{", "}", "1", "2", "12", "255", "-", "+", "_", "/", "\n", "\u212a", "\u0663"]
+    held = Counter()
+    for _ in range(6000):
+        kind = rng.choice((pieces, pieces[9:], ("a", " ", " at ", "[at]", "@", ".", " DOT ", "b1"), ("1", "23", "456", " ", "-", ".", "/", "[.]", "\u0663")))
+        t = "".join(rng.choice(kind) for _ in range(rng.randint(1, 24)))
+        valid = any(pii._valid(k, t[a:b]) for a in range(len(t)) for b in range(a + 1, len(t) + 1) for k in pii.KINDS)
+        assert pii.may_hold(t) or not valid, t
+        held[pii.may_hold(t), valid] += 1
+    assert held[True, True] > 50 and held[False, False] > 1000
+    assert all(pii.may_hold(f"so {put} it is") for _, put in BY_HAND)
+    assert all(pii.may_hold("x " + pii.loose_form(form, rng)[1] + ".") for form in pii.LOOSE_FORMS for _ in range(50))
+    texts = [t or "" for t in docs.text] + [f"{t[:700]} {put} {t[:300]}" for t, (_, put) in zip(docs.text, BY_HAND * 5)]
+    seen = []
+    scores = pii.Tagger.scores
+    monkeypatch.setattr(pii.Tagger, "scores", lambda self, x: (seen.append(x.size), scores(self, x))[1])
+    found = pii.find_spans(tagger, texts)
+    some = sum(seen)
+    monkeypatch.setattr(pii, "may_hold", lambda t: True)
+    assert pii.find_spans(tagger, texts) == found and any(len(b) < len(s) for b, s in found)
+    assert 0 < some < (sum(seen) - some) / 2
+
+
 def test_forms_beyond_the_patterns(tagger, docs):
     """Held-out lines: nine in ten of each form, which no base pattern finds whole, and nothing in lines without any."""
     rng = random.Random(41)
