@@ -211,6 +211,24 @@ def test_packing_searches_all_partitions(spark, tokenizers):
     assert sum(made[0][tuple(sorted(x))] for x in want) == len(want) and len(want) > 10
 
 
+def test_seeds_are_looked_up_where_they_lie(spark, monkeypatch):
+    """A block's seeds are asked of the parts that hold them alone, and every seed's part is among those."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["stone", "river", "green", "window"], int(rng.integers(5, 90))))) for i in range(160)]
+    real, seen = packing._assign, []
+
+    def assign(spark, index, terms, parts, before, *rest):
+        held = {r.number: r.part for r in terms.select("number", "part").collect()}
+        assert sorted(held) == list(range(160)) and len(parts) > 2
+        seen.extend(parts[np.searchsorted(before, i, side="right") - 1] == part for i, part in held.items())
+        real(spark, index, terms, parts, before, *rest)
+
+    monkeypatch.setattr(packing, "_assign", assign)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = packing.pack(frame, Q.tokenizer_path("byte_bpe_50k.json"), window=256, block=7).agg(F.count_distinct("doc_id")).first()[0]
+    assert got == 160 and len(seen) == 160 and all(seen)
+
+
 def test_pieces_agree_with_the_whole(tokenizers):
     texts = ["a\t b", "a  b\n\nc \n d", "", "  ", "\n", "it's o'clock 's", "\u4e2d\u6587 b\u3000c", "e\u0301\u0301 x", "\u03a3 \u0391\u03a3", "<|endoftext|> x", "a\x1cb \x85 d", "\u00c9t\u00e9\u0301 \u00c0\u00d6!!", "a\0b c", "don't_x isn't: \n", " lead", "trail ", "na\u00efve... _a_ \u00ff\u00df\u00d7\u00f7", "x\u2028y\u00a0z"]
     for name, pieces, lower in (("byte_bpe_50k.json", packing.spaced_pieces, False), ("word_bpe_49k.json", token_binary.ascii_words, True)):
