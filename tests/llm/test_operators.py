@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +230,49 @@ def test_seeds_are_looked_up_where_they_lie(spark, monkeypatch):
     assert got == 160 and len(seen) == 160 and all(seen)
 
 
+def test_bounds_rule_out_documents_and_lose_none():
+    """Lists from bounded shards, before and after used documents are dropped from them, are those of every document's score; most pairs aren't scored."""
+    rng = np.random.default_rng(6)
+    docs = [np.unique(rng.integers(400 * (i % 4), 400 * (i % 4) + 150 + 250 * (i % 3 > 0), int(rng.integers(2, 30 if i % 5 else 160)))).astype(np.uint32) for i in range(1200)]
+    docs += docs[:40]  # equal scores, of which the smaller number comes first
+    tf = [rng.integers(1, 4, len(x)).astype(np.uint32) for x in docs[:1200]]
+    tf += tf[:40]
+    idf = np.log1p(1240 / (1 + np.bincount(np.concatenate(docs), minlength=1600)))
+    middle = packing.centres(docs[::5], idf, np.arange(1600))
+    rows = {"number": list(range(1240)), "terms": [x.tobytes() for x in docs], "tf": [x.tobytes() for x in tf], "n": [int(x.sum()) for x in tf]}
+    batch = pa.record_batch([pa.array(rows["number"], pa.int64()), pa.array(rows["terms"], pa.binary()), pa.array(rows["tf"], pa.binary()), pa.array(rows["n"], pa.int64())], names=list(rows))
+    mean = np.mean(rows["n"])
+    weights = [np.rint(65536 * idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))) for t, f, n in zip(docs, tf, rows["n"])]
+    table = np.zeros((1240, 1600))
+    for i, (t, w) in enumerate(zip(docs, weights)):
+        table[i, t] = w
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    index = pa.Table.from_batches(packing._indexer(Sent((idf, mean, middle)), 40_000, 32)([batch])).combine_chunks().to_batches()
+    asked = list(range(0, 1240, 7))
+    for used in (np.zeros(1240, bool), rng.random(1240) < 0.7):
+        bits = np.packbits(used, bitorder="little")
+        small = pa.Table.from_batches(packing._compact(Sent(bits), 32)(index)).combine_chunks().to_batches()
+        assert small[0].num_rows < index[0].num_rows
+        for held in (index, small):
+            got = pa.Table.from_batches(packing._search(Sent(([docs[i] for i in asked], bits, 9)))(held)).to_pylist()
+            for q, i in enumerate(asked):
+                score = table[:, docs[i]].sum(1)
+                score[used] = 0
+                best = [k for k in np.lexsort((np.arange(1240), -score))[:9].tolist() if score[k] > 0]
+                assert [(r["number"], r["score"]) for r in got if r["query"] == q] == [(k, score[k]) for k in best]
+    lists = packing.Questions([docs[i] for i in asked], 9)
+    for row in sorted(zip(*(c.to_pylist() for c in index[0].columns)), key=lambda r: -r[1]):
+        lists.search(*packing._unused(row, np.zeros(155, np.uint8)))
+    assert lists.scored < 0.6 * 1240 * len(asked)
+    large = packing.Questions([np.arange(300, dtype=np.uint32)], 2)  # sums over 2^24, in parts below it
+    large.search(np.arange(64), np.arange(300), np.full(300, 64), np.tile(np.arange(64), 300), np.repeat(np.arange(300), 64) * 1001 + 900_001)
+    assert large.score[0].tolist() == [sum(k * 1001 + 900_001 for k in range(300))] * 2 and large.number[0].tolist() == [0, 1]
+
+
 def test_pieces_agree_with_the_whole(tokenizers):
     texts = ["a\t b", "a  b\n\nc \n d", "", "  ", "\n", "it's o'clock 's", "\u4e2d\u6587 b\u3000c", "e\u0301\u0301 x", "\u03a3 \u0391\u03a3", "<|endoftext|> x", "a\x1cb \x85 d", "\u00c9t\u00e9\u0301 \u00c0\u00d6!!", "a\0b c", "don't_x isn't: \n", " lead", "trail ", "na\u00efve... _a_ \u00ff\u00df\u00d7\u00f7", "x\u2028y\u00a0z"]
     for name, pieces, lower in (("byte_bpe_50k.json", packing.spaced_pieces, False), ("word_bpe_49k.json", token_binary.ascii_words, True)):
