@@ -56,6 +56,25 @@ def test_markdown():
     assert [k for k, _ in markup.elements("# h\ntext\n- a\n- b\n> q\n```\nc\n```")] == ["header", "text", "list", "quote", "code"]
 
 
+def test_markdown_query_on_odd_texts(spark, tmp_path):
+    """Blank lines, white space of several kinds, and ids that repeat or are null (their texts agree, since SQL leaves the order of their lines open)."""
+    import duckdb
+
+    from kbspark.plans.registry import ORACLE_SQL, QUERIES
+
+    ends = [x + "a b" + x for x in (" ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", "\u00a0", "\u2003", "\u2028", "\u3000")]
+    texts = ["", "\n", " \n \n", "a\n\nb", "\n\na", "a\n", " \na\n \nb\n ", "a\r\nb\r\n\r\nc", "\t", "\t\n\u3000\n \t ", None, "## a\n#\n####### b\n```\nc\n```\n| x |\n|---|", "\n".join(ends), *ends]
+    rows = [*enumerate(texts), *[(100, "x\n\ny\n z")] * 3, *[(None, "n\nm")] * 2, (101, "p\nq"), (101, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = c.execute(ORACLE_SQL["markdown_blocks"]).fetchall()
+    found = QUERIES["markdown_blocks"](spark, str(tmp_path))
+    assert [x[0] for x in c.description] == found.columns
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
+    assert list(markup.blocks("# a\r\n## \tb ")) == [("heading", 0, "a"), ("heading", 1, "b")]
+
+
 def test_json():
     assert markup.is_json_lines('{"a":1}\n{"b":2}') and not markup.is_json_lines('{"a":1}')
     value = {"a": {"x": "y" * 30, "z": 1}, "b": [1, 2], "c": None}
