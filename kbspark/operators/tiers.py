@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
@@ -43,25 +46,40 @@ def fill(questions: DataFrame, tiers: list[Tier], k: int = 5) -> DataFrame:
     return taken.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "key", "tier", "score")
 
 
-def runs(terms: Column, length: int) -> Column:
-    """The runs of ``length`` terms, as 96 bits of hashes each."""
-    none = F.array().cast("array<struct<a:bigint,b:int>>")
+#: Odd factors of a run's two hashes.
+_FACTORS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
-    def every(t: Column) -> Column:
-        at = lambda i: F.slice(t, i, F.lit(length))
-        return F.when(F.size(t) >= length, F.transform(F.sequence(F.lit(1), F.size(t) - length + 1), lambda i: F.struct(F.xxhash64(at(i)).alias("a"), F.hash(at(i)).alias("b")))).otherwise(none)
 
-    return F.flatten(F.transform(F.array(terms), every))  # the terms are worked out once
+def runs(rows: DataFrame, key: str, text: str, length: int) -> DataFrame:
+    """(key, a, b): the runs of ``length`` terms of each text, as 96 bits of hashes each. Terms are cut by a Column expression and hashed once each; a run's hashes are sums over arrays."""
+    powers = [np.array([pow(f, i + 1, 1 << 64) for i in range(length)], np.uint64) for f in _FACTORS]
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                terms = [x.split() for x in part.column(1).to_pylist()]
+                at = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
+                n = len(at) - length + 1
+                if n < 1:
+                    continue
+                h = pd.util.hash_array(np.array([x for t in terms for x in t], object), categorize=False)
+                whole = np.flatnonzero(at[:n] == at[length - 1 :])
+                a, b = (sum(h[i : n + i] * p for i, p in enumerate(x))[whole] for x in powers)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at[whole])), pa.array(a.view(np.int64)), pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32))], names=["key", "a", "b"])
+
+    said = F.trim(F.regexp_replace(F.lower(T.text_or_empty(F.col(text))), r"[^\p{L}\p{N}]+", " "))
+    made = rows.select(F.col(key).alias("key"), said.alias("said")).mapInArrow(emit, f"key {rows.schema[key].dataType.simpleString()}, a long, b int")
+    return made.withColumnRenamed("key", key)
 
 
 def quoting(docs: DataFrame, length: int = 8, key: str = "doc_id", text: str = "text") -> Tier:
     """Documents that share runs of ``length`` terms with a question, by how many different ones. Runs meet by equality; nothing else moves."""
 
     def tier(short: DataFrame, taken: DataFrame) -> DataFrame:
-        of = lambda c: F.explode(runs(T.bm25_terms(F.col(c)), length)).alias("run")
         # stored, so that its size is known before the documents' runs would move
-        asked = stored(short.select("query_id", of("text")).select("query_id", "run.*").distinct(), new_folder(docs.sparkSession, "runs"))
-        held = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), of(text)).select("key", "run.*").join(asked.select("a", "b").distinct(), ["a", "b"], "left_semi")
+        asked = stored(runs(short, "query_id", "text", length).distinct(), new_folder(docs.sparkSession, "runs"))
+        held = runs(docs.where(F.col(key).isNotNull()), key, text, length).withColumnRenamed(key, "key").join(asked.select("a", "b").distinct(), ["a", "b"], "left_semi")
         return asked.join(held.distinct(), ["a", "b"]).groupBy("query_id", "key").agg(F.count("*").cast("double").alias("score"))
 
     return tier
@@ -71,10 +89,14 @@ def overlap_join(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
     """(query_id, key, score): pairs of ``left`` (query_id, terms) and ``right`` (key, terms) whose term sets share at least ``least``, with how many they share.
 
     Terms are put in order of how many of ``right`` have them, rarest first. Two sets that share ``least`` terms also share one if each leaves out its ``least - 1``
-    last ones, so only the rest meets; common terms hardly ever do. Every pair that met is then counted whole.
+    last ones, so only the rest meets; common terms hardly ever do. Every pair that met is then counted whole. Sets are cut and stored once, terms as 64 bits of hashes.
     """
     spark = left.sparkSession
-    ids, keys = left.select("query_id", F.array_distinct("terms").alias("terms")), right.select("key", F.array_distinct("terms").alias("terms"))
+
+    def sets(rows: DataFrame, by: str) -> DataFrame:
+        return stored(rows.select(by, F.array_distinct(F.transform("terms", lambda x: F.xxhash64(x))).alias("terms")), new_folder(spark, "sets"))
+
+    ids, keys = sets(left, "query_id"), sets(right, "key")
     exploded = stored(keys.select("key", F.size("terms").alias("n"), F.explode("terms").alias("term")).where(F.col("n") >= least), new_folder(spark, "terms"))
     counts = stored(exploded.groupBy("term").agg(F.count("*").alias("df")), new_folder(spark, "counts"))
 

@@ -121,6 +121,21 @@ def test_overlap_join_against_all_pairs(spark):
     assert sorted(map(tuple, got.collect())) == expected
 
 
+def test_evidence_hashes_terms_once(spark):
+    """Runs of terms are hashed over arrays in a task, not by an expression for each run, and titles are cut into sets once: pairs that met are counted from stored sets."""
+    docs = spark.createDataFrame([(1, "A b c d"), (2, "b c\nd e"), (3, None), (4, "b c"), (None, "b c d")], "doc_id long, text string")
+    made = tiers.runs(docs, "doc_id", "text", 3)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "xxhash64" not in plan
+    got = made.collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in got if r.doc_id) == [(False, 1), (False, 1), (False, 2), (False, 2)] and len(got) == 5
+    of = lambda i: {(r.a, r.b) for r in got if r.doc_id == i}
+    assert len(of(1) & of(2)) == 1 and of(None) == of(1) & of(2) and len(of(1) | of(2)) == 3
+    found = tiers.overlap_join(spark.createDataFrame([(1, ["a", "b", "c"])], "query_id long, terms array<string>"), spark.createDataFrame([(2, ["b", "c", "c"]), (3, ["a"]), (4, [])], "key long, terms array<string>"), 2)
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 2.0)]
+    assert sum("/sets-" in f for f in found.inputFiles()) >= 2
+
+
 def test_settings_and_command_lines(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"k": 7}))
     assert common.settings(evidence.DEFAULTS, str(tmp_path / "c.json"))["k"] == 7
