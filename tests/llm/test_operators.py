@@ -925,3 +925,24 @@ def test_pipeline_on_awkward_rows(spark, data, odd):
     assert len(masked) == sum(rows.values()) and sum(r.text is None for r in masked) == sum(k[1] is None for k in rows.elements())
     assert Counter(map(tuple, results["source mixing"].collect())) == rows
     assert results["retrieval packing"].groupBy().agg(F.sum("length")).first()[0] >= sum(rows.values())
+
+
+def test_shingles_hash_words_over_arrays():
+    """Words of any length, white space at the ends and in runs, capitals, and texts cut at several places give a hash for each word, equal for equal words only."""
+    rng = random.Random(5)
+    words = ["a", "B", "b", "ab", "ba", "aab", "\u00c4", "\u00e4", "\u00a0", "\u2028x", "x\x1c", "y" * 5000, "z" * 5001, "0", "00", "\x00", "\x00\x00"]
+    for stretch in (7, 100, 1 << 20):
+        before, jaccard_join._STRETCH = jaccard_join._STRETCH, stretch
+        try:
+            known: dict[bytes, int] = {}
+            for _ in range(30):
+                chosen = rng.choices(words, k=rng.randrange(0, 12))
+                text = (rng.choice(["", " ", "\n\t"]) + "".join(w + rng.choice([" ", "\r\n", "\x0b\x0c", "  "]) for w in chosen)).encode()
+                got = jaccard_join.word_hashes(text).tolist()
+                said = text.lower().split()
+                assert len(got) == len(said)
+                assert all(known.setdefault(w, h) == h for w, h in zip(said, got))
+            assert len(set(known.values())) == len(known) > 10
+        finally:
+            jaccard_join._STRETCH = before
+    assert len(jaccard_join.shingles(b"a b c d e a b c d e")) == 5 and len(jaccard_join.shingles(b" ")) == 0 and jaccard_join.shingles(b"a B").tolist() == jaccard_join.shingles(b"A\tb ").tolist()
